@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
 
+# workers may run where this package is not installed
+register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 2048
 SHARED_NETWORK_BONUS = 0.05
 MATCH_DDL = "tenant_id string, target string, score double, opened_us bigint, match string"

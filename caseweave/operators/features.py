@@ -12,6 +12,7 @@ BUCKET_US = 900 * C.US
 HALO_US = 300 * C.US
 PAYLOAD_ROWS = 100
 KEYS = ["tenant_id", "src_ip"]
+OLD = "seen_before"          # optional flag: the row only fills trailing windows, it is no request to score
 
 
 def auth_columns(events: DataFrame) -> DataFrame:
@@ -28,18 +29,23 @@ def _thin_rows(events: DataFrame) -> DataFrame:
         "fail_account": F.when(F.col("auth") == 1, F.col("account")),
         "is_404": (F.col("http_status") == 404).cast("int")})
     thin = KEYS + ["event_id", "ts_us", "path", "auth", "account", "fail_account", "is_404", "payload_bytes", "resp_bytes"]
-    carry = [c for c in events.columns if c not in (*KEYS, "event_id", "ts_us", "payload_bytes", "resp_bytes")]
-    return bucketed(ev, F.col("ts_us"), BUCKET_US, HALO_US, carry, thin)
+    carry = [c for c in events.columns if c not in (*KEYS, "event_id", "ts_us", "payload_bytes", "resp_bytes", OLD)]
+    if OLD not in events.columns:
+        return bucketed(ev, F.col("ts_us"), BUCKET_US, HALO_US, carry, thin)
+    rows = bucketed(ev, F.col("ts_us"), BUCKET_US, HALO_US, carry, thin + [OLD])
+    return rows.withColumn("core", F.col("core") & ~F.col(OLD)).drop(OLD)
 
 
-def _history(events: DataFrame) -> DataFrame:
-    """What each (address, bucket) inherits from earlier buckets: one small row per non-empty bucket.
+def history_rows(events: DataFrame) -> DataFrame:
+    """Mergeable facts of each (address, bucket).
 
     Counts, first sight, last account and last login outcome come from a
     map-side-combined aggregate; the last 99 payload sizes from a row-number
     limit that Spark applies before the shuffle.
     """
     ev = auth_columns(events).withColumn("bucket", F.floor(F.col("ts_us") / F.lit(BUCKET_US)).cast("long"))
+    if OLD in events.columns:
+        ev = ev.where(~F.col(OLD))
     by = KEYS + ["bucket"]
     at = F.struct("ts_us", "event_id")
     facts = ev.groupBy(*by).agg(
@@ -50,10 +56,22 @@ def _history(events: DataFrame) -> DataFrame:
               .withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts_us"), F.desc("event_id"))))
               .where(F.col("rn") < PAYLOAD_ROWS)
               .groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rn", "payload_bytes"))).alias("tail")))
+    return facts.join(recent, by, "left")
+
+
+def _history(events: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """What each (address, bucket) inherits from earlier buckets: one small row per non-empty bucket.
+
+    ``prior`` holds history rows of earlier runs, with buckets below any of this one's.
+    """
+    by = KEYS + ["bucket"]
+    h = history_rows(events)
+    if prior is not None:
+        h = h.unionByName(prior)
     past = W.partitionBy(*KEYS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     # 99 earlier buckets always hold the last 99 requests: each has at least one
     near = W.partitionBy(*KEYS).orderBy(F.desc("bucket")).rowsBetween(1, PAYLOAD_ROWS - 1)
-    h = facts.join(recent, by, "left").withColumns({
+    h = h.withColumns({
         "past_n": F.coalesce(F.sum("n").over(past), F.lit(0)), "past_first_us": F.min("first_us").over(past),
         "past_acct": F.last("acct", True).over(past), "past_outcome": F.last("outcome", True).over(past),
         # newest first, because the frame runs backwards in time
@@ -74,7 +92,7 @@ def _population_std(n: Column, s1: Column, s2: Column) -> Column:
     return F.when(n > 1, F.sqrt(num) / n.cast("double")).otherwise(F.lit(0.0))
 
 
-def rolling_features(events: DataFrame) -> DataFrame:
+def rolling_features(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """All history-dependent features of a request, plus its own columns.
 
     Adds the ``*_60s`` family, the session counters and ``last_account``.
@@ -110,7 +128,7 @@ def rolling_features(events: DataFrame) -> DataFrame:
                  Distinct("distinct_users_tried_60s", F.col("fail_account"), 60)]
     swept = sweep(rows, KEYS, totals, distincts,
                   [Total("here_n", one, 0)])
-    h = swept.join(_history(events), by, "left")
+    h = swept.join(_history(events, prior), by, "left")
     n60 = F.col("req_rate_60s")
     gaps = n60 - 1
     rank = F.col("rank")
@@ -176,13 +194,13 @@ def account_failures(rows: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("row.*", "auth_fail_user_60s")
 
 
-def server_features(events: DataFrame, reputation: DataFrame) -> DataFrame:
+def server_features(events: DataFrame, reputation: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """All thirty request features for every event, with the event's own columns.
 
     ``reputation`` is (ip, reputation_source, is_tor).  It is joined without a
     hint: the planner broadcasts it only while it is small.
     """
-    rows = account_failures(rolling_features(events), events)
+    rows = account_failures(rolling_features(events, prior), events)
     rep = reputation.withColumnRenamed("ip", "src_ip")
     rows = rows.join(rep, "src_ip", "left")
     hour = F.hour(F.timestamp_micros("ts_us"))

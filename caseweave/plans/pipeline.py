@@ -17,9 +17,9 @@ def latest_us(events: DataFrame) -> int:
 
 
 def score_log(events: DataFrame, telemetry: DataFrame, feeds: Feeds, as_of_us: int,
-              weights: dict | None = None) -> DataFrame:
+              weights: dict | None = None, prior: DataFrame | None = None) -> DataFrame:
     """Requests to features, class, technique, evidence, enrichment and event priority."""
-    rows = features.server_features(events, feeds.reputation())
+    rows = features.server_features(events, feeds.reputation(), prior)
     rows = fusion.fuse_telemetry(rows, telemetry)
     rows = classify.classify_rules(rows)
     rows = rows.withColumn("attack_technique", classify.technique_on_event())

@@ -48,12 +48,15 @@ def model_inputs(rows: DataFrame) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, trees: int = 20, depth: int = 6, seed: int = 42):
-    """Distributed random forest over the seven classes; returns a fitted pipeline."""
+    """Distributed random forest over the seven classes; returns a fitted pipeline.
+
+    The label index is the fixed class list, so every fold and version agrees on it.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.feature import StringIndexerModel
 
-    index = StringIndexer(inputCol="label", outputCol="label_ix", stringOrderType="alphabetAsc")
+    index = StringIndexerModel.from_labels(C.CLASSES, inputCol="label", outputCol="label_ix")
     forest = RandomForestClassifier(labelCol="label_ix", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[index, forest]).fit(train.select("label", "features"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
-from .sweep import Distinct, Total, bucketed, entropy_from_weight, sweep
+from .sweep import Distinct, Total, bucketed, entropy_from_weight, keyed, sweep
 
 BUCKET_US = 900 * C.US
 HALO_US = 300 * C.US
@@ -31,9 +31,9 @@ def _thin_rows(events: DataFrame) -> DataFrame:
     thin = KEYS + ["event_id", "ts_us", "path", "auth", "account", "fail_account", "is_404", "payload_bytes", "resp_bytes"]
     carry = [c for c in events.columns if c not in (*KEYS, "event_id", "ts_us", "payload_bytes", "resp_bytes", OLD)]
     if OLD not in events.columns:
-        return bucketed(ev, F.col("ts_us"), BUCKET_US, HALO_US, carry, thin)
+        return keyed(bucketed(ev, F.col("ts_us"), BUCKET_US, HALO_US, carry, thin), KEYS)
     rows = bucketed(ev, F.col("ts_us"), BUCKET_US, HALO_US, carry, thin + [OLD])
-    return rows.withColumn("core", F.col("core") & ~F.col(OLD)).drop(OLD)
+    return keyed(rows.withColumn("core", F.col("core") & ~F.col(OLD)).drop(OLD), KEYS)
 
 
 def history_rows(events: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def _history(events: DataFrame, prior: DataFrame | None) -> DataFrame:
         # newest first, because the frame runs backwards in time
         "past_sizes": F.slice(F.transform(F.flatten(F.collect_list("tail").over(near)), lambda r: r["payload_bytes"]),
                               1, PAYLOAD_ROWS - 1)})
-    return h.select(*by, "past_n", "past_first_us", "past_acct", "past_outcome", "past_sizes")
+    return keyed(h, KEYS).select("gk", *by, "past_n", "past_first_us", "past_acct", "past_outcome", "past_sizes")
 
 
 def _prefix_total(sizes: Column, k: Column, squared: bool) -> Column:
@@ -98,7 +98,7 @@ def rolling_features(events: DataFrame, prior: DataFrame | None = None) -> DataF
     Adds the ``*_60s`` family, the session counters and ``last_account``.
     """
     rows = _thin_rows(events)
-    by = KEYS + ["bucket"]
+    by = ["gk", *KEYS, "bucket"]
     seq = W.partitionBy(*by).orderBy("ts_us", "event_id")
     so_far = seq.rowsBetween(W.unboundedPreceding, 0)
     before = seq.rowsBetween(W.unboundedPreceding, -1)
@@ -179,7 +179,7 @@ def account_failures(rows: DataFrame, events: DataFrame) -> DataFrame:
     probes = rows.withColumns({
         "acct_key": F.coalesce(F.col("last_account"), salt), "failed": F.lit(0),
         "bucket": F.floor(F.col("ts_us") / F.lit(BUCKET_US)).cast("long"), "core": F.lit(True)})
-    probes = probes.select("tenant_id", "acct_key", "bucket", "core", "ts_us", "failed",
+    probes = keyed(probes, ["tenant_id", "acct_key"]).select("gk", "tenant_id", "acct_key", "bucket", "core", "ts_us", "failed",
                            F.struct(*rows.columns).alias("row"))
     fails = auth_columns(events).where((F.col("auth") == 1) & F.col("account").isNotNull()).select(
         "tenant_id", F.col("account").alias("acct_key"), "ts_us", F.lit(1).alias("failed"))
@@ -187,8 +187,9 @@ def account_failures(rows: DataFrame, events: DataFrame) -> DataFrame:
     fails = fails.withColumn("ahead", halo).withColumn(
         "bucket", F.floor(F.col("ts_us") / F.lit(BUCKET_US)).cast("long") + F.col("ahead"))
     # a failure matters to the next bucket only if it is within a minute of its start
-    fails = fails.where((F.col("ahead") == 0) | (F.col("bucket") * BUCKET_US - F.col("ts_us") <= 60 * C.US)).select(
-        "tenant_id", "acct_key", "bucket", F.lit(False).alias("core"), "ts_us", "failed",
+    fails = fails.where((F.col("ahead") == 0) | (F.col("bucket") * BUCKET_US - F.col("ts_us") <= 60 * C.US))
+    fails = keyed(fails, ["tenant_id", "acct_key"]).select(
+        "gk", "tenant_id", "acct_key", "bucket", F.lit(False).alias("core"), "ts_us", "failed",
         F.lit(None).cast(probes.schema["row"].dataType).alias("row"))
     out = sweep(probes.unionByName(fails), ["tenant_id", "acct_key"], [Total("auth_fail_user_60s", F.col("failed"), 60)])
     return out.select("row.*", "auth_fail_user_60s")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
+from .sweep import first_in_slices, keyed, previous_in_slices
 
 TTL_US = 900 * C.US
 MAX_DIRECTIONS = 4000
 MAX_GAPS = 2000
+SLICE_MS = 600_000
 
 
 def fuse_telemetry(events: DataFrame, telemetry: DataFrame, ttl_us: int = TTL_US) -> DataFrame:
@@ -34,10 +36,10 @@ def fuse_telemetry(events: DataFrame, telemetry: DataFrame, ttl_us: int = TTL_US
         F.explode(F.array(own, own + 1)).alias("bucket"), "ts_us",
         F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"),
         F.col("ts_us").alias("seen_us"), *C.BROWSER_FEATURES)
-    line = W.partitionBy("tenant_id", "sess", "bucket").orderBy("ts_us", "side").rowsBetween(W.unboundedPreceding, 0)
+    line = W.partitionBy("gk", "tenant_id", "sess", "bucket").orderBy("ts_us", "side").rowsBetween(W.unboundedPreceding, 0)
     snap = F.struct("seen_us", *C.BROWSER_FEATURES)
     seen = F.last(F.when(F.col("side") == 0, snap), True).over(line)
-    both = rows.unionByName(snaps).withColumn("_seen", seen).where(F.col("side") == 1)
+    both = keyed(rows.unionByName(snaps), ["tenant_id", "sess"]).withColumn("_seen", seen).where(F.col("side") == 1)
     fresh = F.col("ts_us") - F.col("_seen.seen_us") <= ttl_us
     return both.select(
         "row.*", *[F.when(fresh, F.col(f"_seen.{c}")).alias(c) for c in C.BROWSER_FEATURES],
@@ -54,15 +56,19 @@ def browser_counts(actions: DataFrame) -> DataFrame:
         F.count_if(F.col("kind").isin("focus", "blur")).alias("focus_blur_count"))
 
 
+def _slice() -> "F.Column":
+    return F.floor(F.col("ts_ms") / F.lit(SLICE_MS))
+
+
 def mouse_path_entropy(actions: DataFrame) -> DataFrame:
     """Entropy of travel directions in sixteenths of a turn, over the first 4,000 moves."""
-    order = W.partitionBy("session_id").orderBy("ts_ms", "seq")
-    moves = actions.where(F.col("kind") == "mousemove")
-    dx, dy = F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)
+    order = ["ts_ms", "seq"]
+    moves = previous_in_slices(actions.where(F.col("kind") == "mousemove"), ["session_id"], _slice(), order, ["x", "y"])
+    dx, dy = F.col("x") - F.col("prev.x"), F.col("y") - F.col("prev.y")
     moves = moves.withColumns({"dx": dx, "dy": dy}).where((F.col("dx") != 0) | (F.col("dy") != 0))
     direction = F.floor((F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) + F.lit(math.pi))
                         / F.lit(math.pi / 8))
-    used = (moves.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MAX_DIRECTIONS)
+    used = (first_in_slices(moves, ["session_id"], _slice(), order, MAX_DIRECTIONS)
             .groupBy("session_id", direction.alias("direction")).agg(F.count(F.lit(1)).alias("n")))
     total = used.groupBy("session_id").agg(
         F.sum("n").alias("all_n"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("w"))
@@ -72,10 +78,10 @@ def mouse_path_entropy(actions: DataFrame) -> DataFrame:
 
 def keystroke_interval_stats(actions: DataFrame) -> DataFrame:
     """Mean and population deviation of key gaps under five seconds; NULL when there are none."""
-    order = W.partitionBy("session_id").orderBy("ts_ms", "seq")
-    keys = actions.where(F.col("kind") == "keydown").withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(order))
-    used = (keys.where(F.col("gap") < 5000).withColumn("rn", F.row_number().over(order))
-            .where(F.col("rn") <= MAX_GAPS))
+    order = ["ts_ms", "seq"]
+    keys = previous_in_slices(actions.where(F.col("kind") == "keydown"), ["session_id"], _slice(), order, ["ts_ms"])
+    keys = keys.withColumn("gap", F.col("ts_ms") - F.col("prev.ts_ms")).where(F.col("gap") < 5000)
+    used = first_in_slices(keys, ["session_id"], _slice(), order, MAX_GAPS)
     stats = used.groupBy("session_id").agg(
         F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"))
     sessions = actions.select("session_id").distinct()

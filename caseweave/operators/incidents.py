@@ -88,7 +88,11 @@ def _mode(attr: str) -> Column:
 
 
 def profile_summary(profile: DataFrame) -> DataFrame:
-    """Per component: classes, networks, assets, users, techniques and the kill chain."""
+    """Per component: classes, networks, assets, users, techniques and the kill chain.
+
+    Only attributes with a fixed number of values become arrays: assets (the
+    inventory), techniques, tactics and network numbers.
+    """
     chain = F.sort_array(F.collect_list(F.when(F.col("attr") == "tactic", F.struct(
         classify.tactic_rank(F.col("value")).alias("rank"), F.col("first.ts_us").alias("first_us"),
         F.col("value").alias("tactic"), F.col("first.technique_id").alias("technique_id"),

@@ -8,6 +8,10 @@ rows give the same trailing counts in one ordered pass.
 A busy key is also split in time: rows are grouped by (key, time bucket), and a
 bucket receives a thin copy of the rows of the previous one that are still
 inside the longest window.  No task holds one key's whole history.
+
+Groups are led by a 64-bit hash of their key (``gk``): sorts then compare one
+long instead of long strings with equal beginnings.  The key itself stays in
+every grouping, so equal hashes do no harm.
 """
 
 from __future__ import annotations
@@ -50,6 +54,11 @@ def _weight(count: Column) -> Column:
     return F.when(count > 1, F.round(c * F.log2(c) * ENTROPY_SCALE)).otherwise(F.lit(0.0)).cast("long")
 
 
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the group hash over ``keys`` and ``bucket``."""
+    return df.withColumn("gk", F.xxhash64(*keys, "bucket"))
+
+
 def bucketed(df: DataFrame, ts_us: Column, width_us: int, halo_us: int, carry: list[str], thin: list[str]) -> DataFrame:
     """Put each row in its time bucket, and a thin copy in the next one if it can still matter there.
 
@@ -71,11 +80,11 @@ def sweep(rows: DataFrame, keys: list[str], totals: list[Total], distincts: list
           running: list[Total] = ()) -> DataFrame:
     """Add trailing totals, distinct counts and in-bucket running totals to bucketed rows.
 
-    ``rows`` has ``keys``, ``bucket``, ``core``, ``ts_us`` and whatever the
+    ``rows`` has ``gk``, ``keys``, ``bucket``, ``core``, ``ts_us`` and whatever the
     value expressions use.  Returns core rows with one column per measure.
     All windows share the clustering (keys, bucket): one shuffle.
     """
-    by = keys + ["bucket"]
+    by = ["gk", *keys, "bucket"]
     # value columns first, so that everything after works on plain columns
     zero = F.lit(0).cast("long")
     values = {}
@@ -150,3 +159,31 @@ def entropy_from_weight(total: Column, weight: Column) -> Column:
     """H = log2(N) - sum(c*log2 c)/N, from the integer weight kept by the sweep."""
     n = total.cast("double")
     return F.when(total > 0, F.log2(n) - weight.cast("double") / F.lit(ENTROPY_SCALE) / n).otherwise(F.lit(0.0))
+
+
+def previous_in_slices(df: DataFrame, keys: list[str], slot: Column, order: list[str], carry: list[str]) -> DataFrame:
+    """Add ``prev``: the columns ``carry`` of the preceding row of the key, whatever slice it is in.
+
+    Rows are windowed per (key, slice); across slices only each slice's last
+    row travels, so a key with a third of all rows is spread over its slices.
+    """
+    group = ["gk", *keys, "slot"]
+    rows = df.withColumn("slot", slot.cast("long")).withColumn("gk", F.xxhash64(*keys, "slot"))
+    at = F.struct(*order, *[c for c in carry if c not in order])
+    ends = rows.groupBy(*group).agg(F.max(at).alias("last"))
+    ends = ends.select(*group, F.lag("last").over(W.partitionBy(*keys).orderBy("slot")).alias("before"))
+    inside = F.lag(at).over(W.partitionBy(*group).orderBy(*order))
+    rows = rows.withColumn("_in", inside).join(ends, group)
+    return rows.withColumn("prev", F.coalesce("_in", "before")).drop("_in", "before", "gk", "slot")
+
+
+def first_in_slices(df: DataFrame, keys: list[str], slot: Column, order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each key: the place inside a slice plus the size of the key's earlier slices."""
+    group = ["gk", *keys, "slot"]
+    rows = df.withColumn("slot", slot.cast("long")).withColumn("gk", F.xxhash64(*keys, "slot"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*group, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base")).where(F.col("_base") < limit)
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    return (rows.withColumn("_place", place).join(sizes, group).where(F.col("_base") + F.col("_place") <= limit)
+            .drop("_place", "_base", "gk", "slot"))

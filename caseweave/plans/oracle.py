@@ -406,7 +406,7 @@ add("hour_of_day", "SELECT event_id, hour_of_day, is_off_hours FROM feat")
 add("ip_reputation_hit", "SELECT event_id, ip_reputation_hit, is_tor_exit FROM feat")
 add("strip_query", "SELECT event_id, path FROM au")
 add("asset_for_path", f"SELECT event_id, {_route} AS asset_id FROM au")
-add("path_cve_match", f"SELECT event_id, {_entry} AS ordinal FROM (SELECT event_id, {_match} AS m FROM au)")
+add("path_cve_match", f"SELECT event_id, coalesce({_entry}, -1) AS ordinal FROM (SELECT event_id, {_match} AS m FROM au)")
 add("sensitive_prefix", f"SELECT event_id, {starts('path', C.SENSITIVE_NO_CVE)} AS sensitive FROM au")
 add("subnet24", "SELECT event_id, regexp_replace(src_ip, '[0-9]+$', '0/24') AS subnet FROM we")
 add("server_features", "SELECT event_id, " + ", ".join(C.SERVER_FEATURES) + " FROM feat")
@@ -419,9 +419,10 @@ add("keystroke_interval_stats", f"""SELECT s.session_id, {h('avg(gap)', 1)} AS k
   FROM (SELECT DISTINCT session_id FROM actn) s LEFT JOIN (SELECT session_id, gap, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS rn FROM (
   SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS gap FROM actn WHERE kind = 'keydown') WHERE gap < 5000) g
   ON g.session_id = s.session_id AND rn <= 2000 GROUP BY 1""")
-add("session_timings", """SELECT session_id, min(ts_ms) FILTER (kind = 'click') - min(ts_ms) AS time_to_first_click_ms,
+add("session_timings", """SELECT session_id, CAST(time_to_first_click_ms AS DOUBLE) AS time_to_first_click_ms, CAST(form_fill_ms AS DOUBLE) AS form_fill_ms,
+  CAST(page_dwell_ms AS DOUBLE) AS page_dwell_ms FROM (SELECT session_id, min(ts_ms) FILTER (kind = 'click') - min(ts_ms) AS time_to_first_click_ms,
   CASE WHEN max(ts_ms) FILTER (kind = 'submit') >= min(ts_ms) FILTER (kind IN ('keydown', 'paste')) THEN max(ts_ms) FILTER (kind = 'submit') - min(ts_ms) FILTER (kind IN ('keydown', 'paste')) END AS form_fill_ms,
-  max(ts_ms) - min(ts_ms) AS page_dwell_ms FROM actn GROUP BY 1""")
+  max(ts_ms) - min(ts_ms) AS page_dwell_ms FROM actn GROUP BY 1)""")
 add("fuse_telemetry", "SELECT event_id, browser_telemetry_present, " + ", ".join(C.BROWSER_FEATURES) + " FROM fz")
 _miss = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in C.BROWSER_FEATURES)
 add("feature_vector", f"SELECT event_id, 47 AS n, {_miss} AS missing, {h(' + '.join(f'coalesce(CAST({c} AS DOUBLE), 0)' for c in C.FEATURES), 2)} AS total FROM ft")
@@ -501,7 +502,7 @@ add("incident_intel", f"""SELECT component, 'cve' AS kind, cve AS value, first(c
   UNION ALL SELECT component, 'ip_reputation', src_ip, first('Listed on ' || reputation_source), FALSE, NULL, first(reputation_source) FROM mb WHERE reputation_source IS NOT NULL GROUP BY component, src_ip""")
 CTE["gn"] = f"SELECT *, list_position({'[' + ', '.join(lit(k) for k in C.GRAPH_KINDS) + ']'}, kind) AS pos FROM prof WHERE kind <> 'session' QUALIFY row_number() OVER (PARTITION BY component ORDER BY event_count DESC, kind, value) <= 10"
 add("entity_graph", """SELECT component, 'node' AS part, kind || ':' || value AS source, CAST(NULL AS VARCHAR) AS target, event_count FROM gn
-  UNION ALL SELECT a.component, 'edge', a.kind || ':' || a.value, b.kind || ':' || b.value, NULL FROM gn a JOIN gn b ON a.component = b.component AND b.pos = a.pos + 1""")
+  UNION ALL SELECT a.component, 'edge', a.kind || ':' || a.value, b.kind || ':' || b.value, 0 FROM gn a JOIN gn b ON a.component = b.component AND b.pos = a.pos + 1""")
 add("build_incidents", f"SELECT incident_id, title, 'open' AS status, priority, risk_score, {iso('opened_us')} AS opened_at, {iso('last_us')} AS last_seen_at, event_count, primary_class, depth AS kill_chain_depth, assets AS assets_affected, n_users AS users_affected, top_asn, techniques FROM inc")
 # --- 2.8
 add("timing_bucket", "SELECT incident_id, timing_bucket FROM fp")

@@ -283,7 +283,7 @@ QUERIES["hour_of_day"] = _row(hour_of_day=lambda: F.hour("ts"), is_off_hours=lam
 QUERIES["strip_query"] = _row(path=lambda: X.strip_query(F.col("url_path")))
 QUERIES["asset_for_path"] = _row(asset_id=lambda: X.asset_for_path(F.col("url_path")))
 QUERIES["sensitive_prefix"] = _row(sensitive=lambda: X.sensitive_prefix(F.col("url_path")))
-QUERIES["path_cve_match"] = _row(ordinal=lambda: X.path_cve_ordinal(F.col("url_path")))
+QUERIES["path_cve_match"] = _row(ordinal=lambda: F.coalesce(X.path_cve_ordinal(F.col("url_path")), F.lit(-1)))
 QUERIES["subnet24"] = _row(subnet=lambda: X.subnet24(F.col("src_ip")))
 
 
@@ -311,7 +311,8 @@ def _(s, d):
 QUERIES["browser_counts"] = lambda s, d: fusion.browser_counts(actions(s, d))
 QUERIES["mouse_path_entropy"] = lambda s, d: fusion.mouse_path_entropy(actions(s, d))
 QUERIES["keystroke_interval_stats"] = lambda s, d: fusion.keystroke_interval_stats(actions(s, d))
-QUERIES["session_timings"] = lambda s, d: fusion.session_timings(actions(s, d))
+QUERIES["session_timings"] = lambda s, d: fusion.session_timings(actions(s, d)).select(
+    "session_id", *[F.col(c).cast("double").alias(c) for c in ("time_to_first_click_ms", "form_fill_ms", "page_dwell_ms")])
 
 
 @query("fuse_telemetry")
@@ -498,7 +499,7 @@ def _(s, d):
     none = F.lit(None).cast("string")
     return n.select("component", F.lit("node").alias("part"), F.concat_ws(":", "kind", "value").alias("source"), none.alias("target"),
                     "event_count").unionByName(
-        e.select("component", F.lit("edge").alias("part"), "source", "target", F.lit(None).cast("long").alias("event_count")))
+        e.select("component", F.lit("edge").alias("part"), "source", "target", F.lit(0).cast("long").alias("event_count")))
 
 
 @query("build_incidents")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
-from ..session import cut
+from ..session import Rounds, cut
 
 SLICE_US = 600 * C.US
 ENTITY = ["tenant_id", "kind", "value"]
@@ -207,8 +207,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014); each
     round is cut to a written table.  Ends when the edge set repeats.
     """
-    edges = cut(edges.where(F.col("u") != F.col("v"))
-                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.next(edges.where(F.col("u") != F.col("v"))
+                        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _digest(edges)
     for _ in range(max_rounds):
         if state[0] == 0:
@@ -221,7 +222,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
             .where(F.col("u") != F.col("v")).distinct())
-        edges = cut(small)
+        edges = rounds.next(small)
         fresh = _digest(edges)
         if fresh == state:
             break

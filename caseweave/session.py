@@ -38,16 +38,27 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a scratch folder; a cluster must
+    name one, as a machine-local folder would not survive a lost executor.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     jsc = spark.sparkContext._jsc.sc()
-    if not named and jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return jsc.getCheckpointDir().get()
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_root(spark), f"cut-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,21 +67,42 @@ def cut(df: DataFrame) -> DataFrame:
     A written table rather than ``checkpoint()``: columnar, prunable, and its
     size is known to the planner when it picks join strategies.
     """
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"cut-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df)[0]
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+class Rounds:
+    """Tables of an iteration: ``next`` writes a round and drops the one before the last."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def next(self, df: DataFrame) -> DataFrame:
+        out, path = _write(df)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            fs, old = _filesystem(self.spark, self.paths.pop(0))
+            fs.delete(old, True)
+        return out
 
 
-_stages: dict[tuple, DataFrame] = {}
+_stages: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def stage(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     """Materialise a named intermediate table once per application and input folder."""
     key = (spark.sparkContext.applicationId, source, name)
+    if key in _stages:
+        fs, path = _filesystem(spark, _stages[key][1])
+        if not fs.exists(path):                 # swept away: build it again
+            del _stages[key]
     if key not in _stages:
-        _stages[key] = cut(build())
-    return _stages[key].alias(name)
+        _stages[key] = _write(build())
+    return _stages[key][0].alias(name)
 
 
 def forget_stages() -> None:

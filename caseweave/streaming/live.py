@@ -8,7 +8,7 @@ shared folder; correlation re-runs the batch flow over the stored log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import constants as C
@@ -83,8 +83,8 @@ class LogState:
     def _earlier(self, spark: SparkSession, part: str, schema, batch_id: int) -> DataFrame | None:
         if batch_id == 0:
             return None
-        return spark.read.schema(schema).parquet(
-            *[f"{self.folder}/{part}/batch={b}" for b in range(batch_id)])
+        known = T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
+        return spark.read.schema(known).parquet(f"{self.folder}/{part}").where(F.col("batch") < batch_id).drop("batch")
 
     def extend(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame | None]:
         """The batch with the five minutes before it, and the history of its addresses."""

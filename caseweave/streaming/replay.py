@@ -53,10 +53,18 @@ def in_slices(rows: DataFrame, start, slices: int = 3) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of the input and return what was written."""
+    """Run to the end of the input and return what was written.
+
+    A replay is small: it keeps no more state partitions than there are cores.
+    """
     spark = stream.sparkSession
     out = scratch(spark, "drained")
-    query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-             .option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start())
-    query.awaitTermination()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+                 .option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(stream.schema).parquet(out)

@@ -22,7 +22,6 @@ every document clean, an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import chain, repeat
 
 import numpy as np
@@ -108,6 +107,21 @@ class Index:
             yield at[hit], code[hit]
 
 
+    def occurrences(self, texts):
+        """(first word of each text, generator of (text, begin word, end word, window) of every verified window)."""
+        ids, first = self.ids(texts)
+
+        def hits():
+            for at, codes in self.found(ids):
+                docs_at = np.searchsorted(first, at, side="right") - 1
+                for p, c, d in zip(at.tolist(), codes.tolist(), docs_at.tolist()):
+                    for window, offset in self.prefix[c]:
+                        begin, end = p - offset, p - offset + len(window)
+                        if begin >= first[d] and end <= first[d + 1] and tuple(ids[begin:end].tolist()) == window:
+                            yield d, begin, end, window
+        return first, hits()
+
+
 def _count(docs: DataFrame, index: Index) -> dict[int, int]:
     """Number of occurrences of each of the block's shingles in all documents."""
     index.watch({c for w in index.windows for c in index.shingles(w)})
@@ -139,23 +153,26 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield held
 
 
+def _ready(items: list, docs: DataFrame, window: int) -> Index:
+    """Index of a block with its prefixes chosen."""
+    index = Index(items, window)
+    if index.base ** SHINGLE * (SHINGLE + 1) >= 1 << 63:
+        raise ValueError("too many distinct words in a block; lower block_words")
+    index.choose(_count(docs, index))
+    return index
+
+
 def _mark(docs: DataFrame, index: Index) -> DataFrame:
     """Adds the block's findings to the columns ``spans`` (begin and end words, flat) and ``items``."""
     cols = docs.columns
 
     def run(batches):
         for batch in batches:
-            ids, first = index.ids(batch.column("text").to_pylist())
-            spans, items = batch.column("spans").to_pylist(), [set(x) for x in batch.column("items").to_pylist()]
-            spans = [list(x) for x in spans]
-            for at, codes in index.found(ids):
-                docs_at = np.searchsorted(first, at, side="right") - 1
-                for p, c, d in zip(at.tolist(), codes.tolist(), docs_at.tolist()):
-                    for window, offset in index.prefix[c]:
-                        begin, end = p - offset, p - offset + len(window)
-                        if begin >= first[d] and end <= first[d + 1] and tuple(ids[begin:end].tolist()) == window:
-                            spans[d] += [begin - int(first[d]), end - int(first[d])]
-                            items[d] |= index.windows[window]
+            first, hits = index.occurrences(batch.column("text").to_pylist())
+            spans, items = [list(x) for x in batch.column("spans").to_pylist()], [set(x) for x in batch.column("items").to_pylist()]
+            for d, begin, end, window in hits:
+                spans[d] += [begin - int(first[d]), end - int(first[d])]
+                items[d] |= index.windows[window]
             spans = [_merged(x) for x in spans]
             out = {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
                    "n_words": pa.array(np.diff(first), pa.int64())}
@@ -175,26 +192,39 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def _add_text_free(docs: DataFrame) -> DataFrame:
+def _unmarked(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, spans, items) for docs (doc_id, text): the words hit, as begin and end in turn, and the items they are of."""
     texts = docs.select("doc_id", "text")
-    marked = _add_text_free(texts)
+    marked = _unmarked(texts)
     blocks = 0
     for items in _blocks(benchmark, block_words):
-        index = Index(items, window)
-        if index.base ** SHINGLE * (SHINGLE + 1) >= 1 << 63:
-            raise ValueError("too many distinct words in a block; lower block_words")
-        index.choose(_count(texts, index))
-        marked, blocks = _mark(marked, index), blocks + 1
+        marked, blocks = _mark(marked, _ready(items, texts, window)), blocks + 1
     if not blocks:
         marked = _mark(marked, Index([], window))
     return marked.select("doc_id", "n_words", "spans", "items")
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of any item occurs; blocks sift one after the other."""
+    texts = docs.select("text")
+    for items in _blocks(benchmark, block_words):
+        index = _ready(items, texts, window)
+
+        def run(batches, index=index):
+            for batch in batches:
+                hit = np.zeros(batch.num_rows, bool)
+                for d, _, _, _ in index.occurrences(batch.column("text").to_pylist())[1]:
+                    hit[d] = True
+                yield batch.filter(pa.array(~hit))
+
+        docs = map_arrow(docs, run, docs.schema)
+    return docs
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are inside benchmark windows, and the items they come from."""
     docs = table(spark, sf_dir, "documents")

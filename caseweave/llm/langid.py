@@ -64,36 +64,49 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=how, dict_data=made)
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, keep: list[str] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted, *keep) for docs (doc_id, text, *keep)."""
-    langs = list(dictionaries)
-
+class Judge:
+    """Predictions of one task."""
+
+    def __init__(self, dictionaries: dict[str, bytes], margin: float):
+        self.langs, self.margin = list(dictionaries), margin
+        self.compressors = [compressor(dictionaries[lang]) for lang in self.langs]
+
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, accepted) of a text."""
+        plain = normalise(text) if text else ""
+        if not plain or not self.langs:
+            return "und", 0.0, False
+        raw = plain.encode()
+        sizes = [len(c.compress(raw)) for c in self.compressors]
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
+        gap = (rest - sizes[best]) / rest
+        return self.langs[best], 1.0 / (1.0 + math.exp(-min(gap / SCALE, 60.0))), gap >= self.margin
+
+
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted) for docs (doc_id, text)."""
     def run(batches):
-        makers = [compressor(dictionaries[lang]) for lang in langs]
+        judge = Judge(dictionaries, margin)
         for batch in batches:
-            preds, scores, accepted = [], [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                plain = normalise(text) if text else ""
-                if not plain or not makers:
-                    preds.append("und"), scores.append(0.0), accepted.append(False)
-                    continue
-                raw = plain.encode()
-                sizes = [len(m.compress(raw)) for m in makers]
-                best = min(range(len(sizes)), key=sizes.__getitem__)
-                rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-                gap = (rest - sizes[best]) / rest
-                preds.append(langs[best])
-                scores.append(1.0 / (1.0 + math.exp(-min(gap / SCALE, 60.0))))
-                accepted.append(gap >= margin)
+            found = [judge(t.as_py()) for t in batch.column("text")]
+            pred, score, accepted = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_()),
-                 *[batch.column(c) for c in keep]], ["doc_id", "lang_pred", "score", "accepted", *keep])
+                [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
+                ["doc_id", "lang_pred", "score", "accepted"])
+
+    rows = docs.select("doc_id", "text")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is accepted."""
+    def run(batches):
+        judge = Judge(dictionaries, margin)
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py())[2] for t in batch.column("text")], pa.bool_()))
 
-    rows = docs.select("doc_id", "text", *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" and f.name != "doc_id" and f.name in keep)
-    id_kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, run, f"doc_id {id_kind}, lang_pred string, score double, accepted boolean" + (f", {kinds}" if kinds else ""))
+    return map_arrow(docs, run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

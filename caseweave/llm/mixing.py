@@ -43,10 +43,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.select("src", "source", "source_size", F.least(F.col("weight") * F.coalesce(water, F.lit(float("inf"))), F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for docs (doc_id, text, source)."""
-    spark = docs.sparkSession
-    base = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, *keep) for docs (doc_id, text, source, *keep)."""
+    base = cut(docs.select(*keep, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                            hash_order().alias("key")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = cut(source_targets(sizes))
@@ -56,7 +55,7 @@ def mix(docs: DataFrame) -> DataFrame:
     queued = queued.withColumn("bucket", hash_bucket(F.col("key"), parts))
     queued = running_sum(queued, ["src"], "bucket", ["key", "doc_id", "size"], "size", "sent")
     finish = lambda n: (F.col("sent") + F.col("size") + F.col("source_size") * n) / F.col("target")
-    queued = cut(queued.select("doc_id", "source", "size", "source_size", "target", "src", *[finish(n).alias(f"v{n}") for n in range(EPOCHS)]))
+    queued = cut(queued.select(*keep, "doc_id", "source", "size", "source_size", "target", "src", *[finish(n).alias(f"v{n}") for n in range(EPOCHS)]))
 
     # one global sequence: range-sorted parts, whose sums tell in which of them the budget ends
     entries = queued.where("size > 0").select("src", "size", F.explode(F.array(*[f"v{n}" for n in range(EPOCHS)])).alias("v"))
@@ -77,7 +76,19 @@ def mix(docs: DataFrame) -> DataFrame:
         before = lambda v: (F.col(v) < F.lit(last["v"])) | ((F.col(v) == F.lit(last["v"])) & (F.col("src") <= F.lit(last["src"])))
         copies = sum((F.when(before(f"v{n}"), 1).otherwise(0) for n in range(EPOCHS)), F.lit(0))
         copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), *keep)
+
+
+def take_mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them."""
+    columns = docs.columns
+    marked = docs.withColumn("_print", F.xxhash64(*columns))
+    # rows that are alike in all columns are one row with the sum of their copies
+    picks = mix(marked, ["_print"]).groupBy(F.col("doc_id").alias("_id"), F.col("_print").alias("_pr")).agg(
+        F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_alike")).where("_copies > 0")
+    joined = marked.join(cut(picks), marked.doc_id.eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_pr")))
+    once = joined.where("_alike = 1").unionByName(joined.where("_alike > 1").dropDuplicates(["doc_id", "_print"]))
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

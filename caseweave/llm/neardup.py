@@ -288,6 +288,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept: one per component, and of rows with equal id and text one."""
+    gone = cut(near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("component_id").alias("_c"), F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(gone, docs.doc_id == gone["_id"], "left_anti")
+    again = cut(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, kept.doc_id == again["_id"], "left_semi").withColumn("_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text"])
+    return kept.join(again, kept.doc_id == again["_id"], "left_anti").unionByName(several.drop("_text"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: sets of three-word shingles, similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)

@@ -121,21 +121,20 @@ NOTES = {
     "paste_events": "credentials pasted rather than typed",
 }
 
-# --- fixed values: link table  kind -> (base, tau hours, window hours, cap) -
+# --- fixed values: link table  kind -> (base, tau hours, window hours) -
 LINKS = {
-    "session": (1.00, 24.0, 48.0, 400),
-    "ip": (1.00, 1.5, 6.0, 400),
-    "user": (0.80, 3.0, 12.0, 120),
-    "subnet": (0.70, 3.0, 12.0, 300),
-    "cve": (0.50, 12.0, 24.0, 200),
-    "ua_hash": (0.55, 8.0, 24.0, 200),
-    "asn": (0.40, 8.0, 24.0, 250),
-    "asset": (0.25, 4.0, 12.0, 150),
+    "session": (1.00, 24.0, 48.0),
+    "ip": (1.00, 1.5, 6.0),
+    "user": (0.80, 3.0, 12.0),
+    "subnet": (0.70, 3.0, 12.0),
+    "cve": (0.50, 12.0, 24.0),
+    "ua_hash": (0.55, 8.0, 24.0),
+    "asn": (0.40, 8.0, 24.0),
+    "asset": (0.25, 4.0, 12.0),
 }
 EDGE_CUT = 0.9
 LINK_FLOOR = 0.02
 SIMILARITY_CUT = 0.88
-SPLIT_EVENTS = 250
 SPLIT_SOURCES = 3
 ESCALATE_TACTICS = 3
 LOOKBACK_DAYS = 30
@@ -211,11 +210,5 @@ SENSITIVE_NO_CVE = [
 ]
 
 
-def link_radius_us(kind: str) -> int:
-    """Largest gap, in microseconds, at which a link of this kind is still kept."""
-    base, tau, window, _ = LINKS[kind]
-    return int(min(window, tau * math.log(base / LINK_FLOOR)) * HOUR_US)
-
-
 # Two events of one address closer than this are linked by the address alone.
 RUN_GAP_US = int(LINKS["ip"][1] * math.log(LINKS["ip"][0] / EDGE_CUT) * HOUR_US)

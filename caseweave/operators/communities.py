@@ -1,9 +1,9 @@
 """Re-cutting an oversized component by weighted modularity.
 
-Only components with more than 250 events and more than three sources are
-touched: a burst of one actor must stay whole.  Nodes are runs, edges the
-summed link weights between them; rounds of best-gain moves, each kept only
-while modularity rises.
+Only components with more than three sources are touched, whatever their size: a
+burst of one actor must stay whole.  Nodes are runs, edges the summed link weights
+between them; rounds of best-gain moves, each kept only while modularity rises,
+until no component gains.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ from .. import constants as C
 from ..session import cut
 from . import graph
 
-ROUNDS = 12
+MAX_ROUNDS = 200                 # more are an error, not a silent stop
 
 
 def oversized(events: DataFrame, membership: DataFrame) -> DataFrame:
     """Components to re-cut.  Sources are counted per (component, address) first."""
     by_ip = graph.on_runs(events.select("tenant_id", "event_id", "ts_us", "src_ip"), membership.drop("run_id")).groupBy(
         "component", "src_ip").agg(F.count(F.lit(1)).alias("n"))
-    return by_ip.groupBy("component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ips")).where(
-        (F.col("n") > C.SPLIT_EVENTS) & (F.col("ips") > C.SPLIT_SOURCES)).select("component")
+    return by_ip.groupBy("component").agg(F.count(F.lit(1)).alias("ips")).where(F.col("ips") > C.SPLIT_SOURCES).select("component")
 
 
 def _quality(edges: DataFrame, strength: DataFrame, label: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def _quality(edges: DataFrame, strength: DataFrame, label: DataFrame) -> DataFra
         F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).alias("q"))
 
 
-def split_communities(events: DataFrame, membership: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def split_communities(events: DataFrame, membership: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """``membership`` with a ``community`` column: the component itself where nothing is re-cut."""
     membership = cut(membership)
     big = cut(oversized(events, membership))
@@ -46,11 +45,9 @@ def split_communities(events: DataFrame, membership: DataFrame, rounds: int = RO
         return base
     chosen = membership.join(big, "component", "left_semi")
     ev = graph.on_runs(events, chosen)
-    ents = graph.entities_of(ev, keep=["run_id"])
-    split = cut(graph.fanout_split(graph.entity_index(ents, keep=["run_id"])))
+    ents = graph.entities_of(graph.with_values(ev), keep=["vals"])
     # every link counts here, also inside a run and below the cut
-    ends = graph.pair_links(split).select("a", "b", "w").unionByName(
-        graph.chain_links(split).select("a", "b", "w"))
+    ends = graph.edge_weights(graph.neighbour_pairs(graph.entity_index(ents, keep=["vals"])), 0.0).select("a", "b", "w")
     run_of = ev.select("event_id", "run_id", "component")
     edges = (ends.join(run_of.select(F.col("event_id").alias("a"), F.col("run_id").alias("u"), "component"), "a")
              .join(run_of.select(F.col("event_id").alias("b"), F.col("run_id").alias("v")), "b")
@@ -63,6 +60,7 @@ def split_communities(events: DataFrame, membership: DataFrame, rounds: int = RO
     whole = strength.groupBy("component").agg(F.sum("k").alias("m2"))
     label = cut(strength.select("component", "node", F.col("node").alias("community")))
     best = cut(_quality(edges, strength, label))
+    idle = 0
     for r in range(rounds):
         tot = strength.join(label.select("node", "community"), "node").groupBy("component", "community").agg(F.sum("k").alias("tot"))
         near = edges.where(F.col("u") != F.col("v")).join(
@@ -82,10 +80,14 @@ def split_communities(events: DataFrame, membership: DataFrame, rounds: int = RO
         better = now.join(best.select("component", F.col("q").alias("old")), "component").where(
             F.col("q") > F.col("old") + 1e-9).select("component")
         keep = label.join(better, "component", "left_anti").unionByName(moved.join(better, "component", "left_semi"))
-        if r >= 1 and better.isEmpty():
+        # both halves have had their turn and no component gained
+        idle = idle + 1 if better.isEmpty() else 0
+        if idle == 2:
             break
         label = cut(keep)
         best = cut(best.join(better, "component", "left_anti").unionByName(now.join(better, "component", "left_semi")))
+    else:
+        raise RuntimeError("communities did not come to rest")
     final = label.select(F.col("node").alias("run_id"), F.col("community").alias("_c"))
     return membership.join(final, "run_id", "left").withColumn("community", F.coalesce("_c", "component")).drop("_c")
 

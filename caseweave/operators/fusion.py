@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
-from .sweep import first_in_slices, keyed, previous_in_slices
+from .sweep import keyed, previous_in_slices
 
 TTL_US = 900 * C.US
-MAX_DIRECTIONS = 4000
-MAX_GAPS = 2000
 SLICE_MS = 600_000
 
 
@@ -61,15 +59,14 @@ def _slice() -> "F.Column":
 
 
 def mouse_path_entropy(actions: DataFrame) -> DataFrame:
-    """Entropy of travel directions in sixteenths of a turn, over the first 4,000 moves."""
+    """Entropy of travel directions in sixteenths of a turn."""
     order = ["ts_ms", "seq"]
     moves = previous_in_slices(actions.where(F.col("kind") == "mousemove"), ["session_id"], _slice(), order, ["x", "y"])
     dx, dy = F.col("x") - F.col("prev.x"), F.col("y") - F.col("prev.y")
     moves = moves.withColumns({"dx": dx, "dy": dy}).where((F.col("dx") != 0) | (F.col("dy") != 0))
     direction = F.floor((F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) + F.lit(math.pi))
                         / F.lit(math.pi / 8))
-    used = (first_in_slices(moves, ["session_id"], _slice(), order, MAX_DIRECTIONS)
-            .groupBy("session_id", direction.alias("direction")).agg(F.count(F.lit(1)).alias("n")))
+    used = moves.groupBy("session_id", direction.alias("direction")).agg(F.count(F.lit(1)).alias("n"))
     total = used.groupBy("session_id").agg(
         F.sum("n").alias("all_n"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("w"))
     h = F.log2(F.col("all_n").cast("double")) - F.col("w") / F.col("all_n")
@@ -81,8 +78,7 @@ def keystroke_interval_stats(actions: DataFrame) -> DataFrame:
     order = ["ts_ms", "seq"]
     keys = previous_in_slices(actions.where(F.col("kind") == "keydown"), ["session_id"], _slice(), order, ["ts_ms"])
     keys = keys.withColumn("gap", F.col("ts_ms") - F.col("prev.ts_ms")).where(F.col("gap") < 5000)
-    used = first_in_slices(keys, ["session_id"], _slice(), order, MAX_GAPS)
-    stats = used.groupBy("session_id").agg(
+    stats = keys.groupBy("session_id").agg(
         F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"))
     sessions = actions.select("session_id").distinct()
     return sessions.join(stats, "session_id", "left").select(

@@ -4,10 +4,10 @@ Sizes are kept in check by construction:
 
 * the fan-out of an entity is summed from per-(entity, time slice) counts, so a
   hot entity is never gathered to be counted;
-* an entity above its cap is linked as a time chain, built inside time slices
-  plus one link per slice boundary: linear, and no task holds the entity;
-* at or below the cap, links come from a self-join on (entity, time bucket), so
-  one entity yields at most cap^2/2 rows and the total is linear in the events;
+* one rule links entities of any size: an event and its predecessor in time, per
+  entity of every kind, are a candidate pair, built inside time slices plus one
+  pair per slice boundary: linear, and no task holds the entity;
+* a candidate pair carries the full sum over all kinds that both events share;
 * events of one address closer than the run gap are one node before any
   iteration starts, so a flood of any length is a single node.
 """
@@ -35,21 +35,21 @@ def _by_kind(kind: Column, value) -> Column:
 
 # --- entities -------------------------------------------------------------------
 
-def entities_of(events: DataFrame, keep: list[str] = (), agents: bool = False) -> DataFrame:
-    """One row per (event, entity): address, /24, network, account, asset, session, vulnerability."""
-    def ent(kind: str, value: Column, present: Column | None = None) -> Column:
-        ok = value.isNotNull() if present is None else present
-        return F.when(ok, F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-
+def _kinds(agents: bool = False) -> list[tuple[str, Column, Column]]:
+    """(kind, value, whether the event has it) of every kind of entity."""
     filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    ents = [
-        ent("ip", F.col("src_ip")), ent("subnet", X.subnet24(F.col("src_ip"))),
-        ent("asn", F.col("asn").cast("string"), F.col("asn").isNotNull() & (F.col("asn") != 0)),
-        ent("user", F.col("user_id"), filled("user_id")), ent("asset", F.col("asset_id"), filled("asset_id")),
-        ent("session", F.col("session_id"), filled("session_id")), ent("cve", F.col("cve"), filled("cve")),
+    out = [
+        ("ip", F.col("src_ip"), F.col("src_ip").isNotNull()), ("subnet", X.subnet24(F.col("src_ip")), F.col("src_ip").isNotNull()),
+        ("asn", F.col("asn").cast("string"), F.col("asn").isNotNull() & (F.col("asn") != 0)),
+        ("user", F.col("user_id"), filled("user_id")), ("asset", F.col("asset_id"), filled("asset_id")),
+        ("session", F.col("session_id"), filled("session_id")), ("cve", F.col("cve"), filled("cve")),
     ]
-    if agents:
-        ents.append(ent("ua_hash", F.sha2(F.col("user_agent"), 256).substr(1, 12), filled("user_agent")))
+    return out + ([("ua_hash", F.sha2(F.col("user_agent"), 256).substr(1, 12), filled("user_agent"))] if agents else [])
+
+
+def entities_of(events: DataFrame, keep: list[str] = (), agents: bool = False) -> DataFrame:
+    """One row per (event, entity): address, /24, network, account, asset, session, vulnerability."""
+    ents = [F.when(present & value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value"))) for kind, value, present in _kinds(agents)]
     one = F.explode(F.array_compact(F.array(*ents)))
     return (events.select("tenant_id", "event_id", "ts_us", *keep, one.alias("e"))
             .select("tenant_id", "event_id", "ts_us", *keep, "e.kind", "e.value"))
@@ -78,10 +78,8 @@ def entity_index(ents: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def fanout_split(index: DataFrame) -> DataFrame:
-    """Add the entity's cap and the linking path it takes: ``pairs`` or ``chain``."""
-    cap = _by_kind(F.col("kind"), lambda k: C.LINKS[k][3])
-    path = F.when(F.col("fanout") > cap, "chain").otherwise("pairs")
-    return index.withColumns({"cap": cap, "path": path})
+    """Tell entities that link anything (``linked``) from those seen once (``single``)."""
+    return index.withColumn("path", F.when(F.col("fanout") > 1, "linked").otherwise("single"))
 
 
 def _weight(kind: Column, gap_us: Column) -> Column:
@@ -90,63 +88,56 @@ def _weight(kind: Column, gap_us: Column) -> Column:
     return base * F.exp(-(gap_us / F.lit(float(C.HOUR_US))) / tau)
 
 
-def _link(kind: Column, left: Column, right: Column, gap: Column) -> list[Column]:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b"), _weight(kind, gap).alias("w")]
+def _window(kind: Column) -> Column:
+    return _by_kind(kind, lambda k: int(C.LINKS[k][2] * C.HOUR_US))
 
 
-def pair_links(split: DataFrame, across: str | None = None) -> DataFrame:
-    """Decayed links between all events of an entity that are near enough in time.
-
-    Interval self-join: the bucket is as wide as the kind's reach, and the
-    earlier event looks into its own and the next bucket, so each pair meets
-    exactly once.  ``across`` names a column that must differ (links inside one
-    run change nothing for components).
-    """
-    cols = [across] if across else []
-    cold = split.where((F.col("path") == "pairs") & (F.col("fanout") >= 2))
-    reach = _by_kind(F.col("kind"), C.link_radius_us).cast("long")
-    own = F.floor(F.col("ts_us") / reach).cast("long")
-    right = cold.select(*ENTITY, own.alias("slot"), F.col("ts_us").alias("r_us"), F.col("event_id").alias("r_id"),
-                        *[F.col(c).alias(f"r_{c}") for c in cols])
-    left = cold.select(*ENTITY, F.explode(F.array(own, own + 1)).alias("slot"), reach.alias("reach"),
-                       F.col("ts_us").alias("l_us"), F.col("event_id").alias("l_id"),
-                       *[F.col(c).alias(f"l_{c}") for c in cols])
-    gap = F.col("r_us") - F.col("l_us")
-    earlier = (gap > 0) | ((gap == 0) & (F.col("l_id") < F.col("r_id")))
-    pairs = left.join(right, [*ENTITY, "slot"]).where(earlier & (gap <= F.col("reach")))
-    if across:
-        pairs = pairs.where(F.col(f"l_{across}") != F.col(f"r_{across}"))
-    ends = [F.when(F.col("l_id") < F.col("r_id"), F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(f"a_{c}") for c in cols]
-    ends += [F.when(F.col("l_id") < F.col("r_id"), F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(f"b_{c}") for c in cols]
-    out = pairs.select("tenant_id", "kind", *_link(F.col("kind"), F.col("l_id"), F.col("r_id"), gap), *ends)
-    return out.where(F.col("w") >= C.LINK_FLOOR)
+def with_values(events: DataFrame) -> DataFrame:
+    """Add ``vals``: a hash of the event's value of every kind in turn, NULL where it has none."""
+    return events.withColumn("vals", F.array(*[F.when(present, F.xxhash64(value)) for _, value, present in _kinds()]))
 
 
-def chain_links(split: DataFrame, across: str | None = None) -> DataFrame:
-    """Links between neighbours in time of an entity above its cap."""
-    hot = split.where((F.col("path") == "chain") & F.col("prev").isNotNull())
+def chain_links(index: DataFrame) -> DataFrame:
+    """Links between neighbours in time of one entity: (kind, a, b, w)."""
     gap = F.col("ts_us") - F.col("prev.ts_us")
-    window = _by_kind(F.col("kind"), lambda k: int(C.LINKS[k][2] * C.HOUR_US))
-    hot = hot.where(gap <= window)
-    ends = []
+    near = index.where(F.col("prev").isNotNull()).where(gap <= _window(F.col("kind")))
+    ends = F.least("event_id", F.col("prev.event_id")).alias("a"), F.greatest("event_id", F.col("prev.event_id")).alias("b")
+    return near.select("tenant_id", "kind", *ends, _weight(F.col("kind"), gap).alias("w")).where(F.col("w") >= C.LINK_FLOOR)
+
+
+def neighbour_pairs(index: DataFrame, across: str | None = None) -> DataFrame:
+    """Distinct candidate pairs (a, b) with ``shared``: kind and decayed weight of everything both events share.
+
+    ``index`` keeps ``vals``, so both ends are at hand and nothing is joined.
+    ``across`` names a kept column that must differ; its values come as a_* and b_*.
+    """
+    pairs = index.where(F.col("prev").isNotNull())
+    if across:
+        pairs = pairs.where(F.col(across) != F.col(f"prev.{across}"))
+    gap, swap = F.col("ts_us") - F.col("prev.ts_us"), F.col("event_id") < F.col("prev.event_id")
+    shared = []
+    for i, (kind, _, _) in enumerate(_kinds()):
+        w = _weight(F.lit(kind), gap)
+        both = (F.col("vals")[i] == F.col("prev.vals")[i]) & (gap <= _window(F.lit(kind))) & (w >= C.LINK_FLOOR)
+        shared.append(F.when(both, F.struct(F.lit(kind).alias("kind"), w.alias("w"))))
+    ends = [F.when(swap, F.col("event_id")).otherwise(F.col("prev.event_id")).alias("a"),
+            F.when(swap, F.col("prev.event_id")).otherwise(F.col("event_id")).alias("b")]
     if across:
-        hot = hot.where(F.col(across) != F.col(f"prev.{across}"))
-        swap = F.col("event_id") < F.col("prev.event_id")
-        ends = [F.when(swap, F.col(across)).otherwise(F.col(f"prev.{across}")).alias(f"a_{across}"),
-                F.when(swap, F.col(f"prev.{across}")).otherwise(F.col(across)).alias(f"b_{across}")]
-    out = hot.select("tenant_id", "kind", *_link(F.col("kind"), F.col("prev.event_id"), F.col("event_id"), gap), *ends)
-    return out.where(F.col("w") >= C.LINK_FLOOR)
+        ends += [F.when(swap, F.col(across)).otherwise(F.col(f"prev.{across}")).alias(f"a_{across}"),
+                 F.when(swap, F.col(f"prev.{across}")).otherwise(F.col(across)).alias(f"b_{across}")]
+    out = pairs.select("tenant_id", *ends, F.array_compact(F.array(*shared)).alias("shared"))
+    return out.where(F.size("shared") > 0).dropDuplicates(["tenant_id", "a", "b"])
 
 
-def link_weights(links: DataFrame) -> DataFrame:
-    """Summed weight per event pair, rounded so that summation order cannot flip the cut."""
-    extra = [c for c in links.columns if c.startswith(("a_", "b_"))]
-    return links.groupBy("tenant_id", "a", "b").agg(
-        F.round(F.sum("w"), 9).alias("w"), *[F.first(c).alias(c) for c in extra])
+def pair_links(pairs: DataFrame) -> DataFrame:
+    """One row per candidate pair and shared kind: (kind, a, b, w)."""
+    return pairs.select("tenant_id", "a", "b", F.explode("shared").alias("s")).select("tenant_id", "s.kind", "a", "b", "s.w")
 
 
-def edge_weights(links: DataFrame, cut_at: float = C.EDGE_CUT) -> DataFrame:
-    return link_weights(links).where(F.col("w") >= cut_at)
+def edge_weights(pairs: DataFrame, cut_at: float = C.EDGE_CUT) -> DataFrame:
+    """Candidate pairs whose summed weight reaches the cut; rounded so that summation order cannot flip it."""
+    w = F.round(F.aggregate("shared", F.lit(0.0), lambda a, s: a + s["w"]), 9)
+    return pairs.withColumn("w", w).drop("shared").where(F.col("w") >= cut_at)
 
 
 # --- runs: the nodes of the graph -----------------------------------------------
@@ -241,11 +232,10 @@ def event_components(event_ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def run_components(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """(address, slot, run_id, component) for every run.  Only links between runs are ever joined."""
-    ents = entities_of(on_runs(events, runs), keep=["run_id"])
-    split = cut(fanout_split(entity_index(ents, keep=["run_id"])))
-    links = pair_links(split, across="run_id").unionByName(chain_links(split, across="run_id"))
-    edges = edge_weights(links).select(F.col("a_run_id").alias("u"), F.col("b_run_id").alias("v"))
+    """(address, slot, run_id, component) for every run.  Only links between runs are ever kept."""
+    ents = entities_of(with_values(on_runs(events, runs)), keep=["run_id", "vals"])
+    pairs = neighbour_pairs(entity_index(ents, keep=["run_id", "vals"]), across="run_id")
+    edges = cut(edge_weights(pairs)).select(F.col("a_run_id").alias("u"), F.col("b_run_id").alias("v"))
     comp = components(edges)
     return runs.join(comp, runs.run_id == comp.node, "left").select(
         *runs.columns, F.coalesce("component", "run_id").alias("component"))

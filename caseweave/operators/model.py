@@ -77,10 +77,17 @@ def predict(model, rows: DataFrame) -> DataFrame:
         "model_confidence": F.array_max("proba")}).drop("rawPrediction", "probability", "prediction")
 
 
-def calibrate(scored: DataFrame, labels: list[str]):
+def _check_labels(labels: list[str]) -> None:
+    """``proba`` follows ``C.CLASSES``; a map fitted in another order would calibrate another class's column."""
+    if list(labels) != list(C.CLASSES):
+        raise ValueError(f"labels must be {C.CLASSES} in this order, not {labels}")
+
+
+def calibrate(scored: DataFrame, labels: list[str] = C.CLASSES):
     """One isotonic map per class on out-of-fold scores; ``apply_calibration`` renormalises."""
     from pyspark.ml.regression import IsotonicRegression
 
+    _check_labels(labels)
     maps = {}
     for i, cls in enumerate(labels):
         rows = scored.select(F.element_at("proba", i + 1).alias("features"),
@@ -101,8 +108,10 @@ def out_of_fold(rows: DataFrame, folds: int = 3, seed: int = 7) -> DataFrame:
     return out
 
 
-def apply_calibration(scored: DataFrame, maps: dict, labels: list[str]) -> DataFrame:
+def apply_calibration(scored: DataFrame, maps: dict, labels: list[str] = C.CLASSES) -> DataFrame:
     """Piecewise-linear isotonic maps as literal lookup arrays: no join and no Python."""
+    _check_labels(labels)
+
     def mapped(cls: str, x: Column) -> Column:
         m = maps[cls]
         bounds, values = [float(v) for v in m.boundaries], [float(v) for v in m.predictions]
@@ -223,25 +232,33 @@ def pr_curve(rows: DataFrame, points: int = 14) -> DataFrame:
                       X.half_up(F.when(end, 1.0).otherwise(F.col("precision")), 3).alias("precision"))
 
 
-def permutation_importance(model, rows: DataFrame, features: list[str], repeats: int = 3, top: int = 12,
-                           sample: int = 4000) -> DataFrame:
-    """Mean accuracy drop when one feature is shuffled among at most ``sample`` rows.
+def numbered(rows: DataFrame, salt: str, buckets: int = 4096) -> DataFrame:
+    """Number the rows of each ``rep`` from 1 in a hash order: counts per bucket, then places inside it."""
+    order = F.xxhash64("event_id", "rep", F.lit(salt))
+    rows = rows.withColumn("_o", order).withColumn("_b", F.pmod(F.shiftright("_o", 20), F.lit(buckets)))
+    before = W.partitionBy("rep").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("rep", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("rep", "_b").orderBy("_o", "event_id"))
+    return rows.join(counts, ["rep", "_b"]).withColumn("rn", F.col("base") + place).drop("_o", "_b", "base")
+
+
+def permutation_importance(model, rows: DataFrame, features: list[str] = C.FEATURES, repeats: int = 3, top: int = 12) -> DataFrame:
+    """Mean accuracy drop when one feature is shuffled among all rows.
 
     All features and repeats are scored in one pass: each row appears once per
-    (feature, repeat) with that entry replaced by another sampled row's.
+    (feature, repeat) with that entry replaced by another row's.  Donors are
+    numbered in a hash order of their own per repeat, by counts per hash bucket.
     """
     arr = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(-1.0 if f in set(C.BROWSER_FEATURES) else 0.0))
                     for f in C.FEATURES])
-    base = rows.withColumn("_h", F.xxhash64("event_id", F.lit(1))).orderBy("_h").limit(sample).select(
-        "event_id", "label", arr.alias("x"))
-    base = base.withColumn("rn", F.row_number().over(W.orderBy(F.xxhash64("event_id", F.lit(2)))))
-    plan = F.explode(F.array(*[F.struct(F.lit(C.FEATURES.index(f)).alias("j"), F.lit(r).alias("rep"))
-                               for f in features for r in range(repeats)] + [F.struct(F.lit(-1).alias("j"), F.lit(0).alias("rep"))]))
-    cells = base.withColumn("p", plan).select("*", "p.j", "p.rep").drop("p")
-    size = base.agg(F.count(F.lit(1)).alias("size"))
-    donors = base.select(F.col("rn").alias("d_rn"), F.col("x").alias("d_x"))
-    shift = F.pmod(F.col("rn") - 1 + F.pmod(F.xxhash64("j", "rep"), F.col("size") - 1) + 1, F.col("size")) + 1
-    mixed = cells.join(F.broadcast(size)).withColumn("d_rn", shift).join(donors, "d_rn")
+    base = rows.select("event_id", "label", arr.alias("x"))
+    turns = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    taken = numbered(base.select("event_id", turns.alias("rep")), "takes")
+    given = numbered(base.select("event_id", "x", turns.alias("rep")), "gives").select("rep", "rn", F.col("x").alias("d_x"))
+    fresh = base.join(taken, "event_id").join(given, ["rep", "rn"]).drop("rn")
+    swaps = fresh.withColumn("j", F.explode(F.array(*[F.lit(C.FEATURES.index(f)) for f in features])))
+    mixed = swaps.unionByName(base.select("event_id", "label", "x", F.lit(0).alias("rep"), F.col("x").alias("d_x"), F.lit(-1).alias("j")))
     swapped = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.element_at("d_x", i + 1)).otherwise(v))
     from pyspark.ml.functions import array_to_vector
 
@@ -303,7 +320,8 @@ def retrain(events: DataFrame, feedback_rows: DataFrame, champion: DataFrame | N
     """Base rows and human labels to a fitted, evaluated and gated candidate: one registry row."""
     base = grouped_holdout(training_set(events))
     train, test = base.where(~F.col("is_test")), base.where("is_test")
-    human = base.join(feedback_rows.select("event_id", "train_class"), "event_id").withColumn("label", F.col("train_class"))
+    # labels of held-out rows are never trained on
+    human = train.join(feedback_rows.select("event_id", "train_class"), "event_id").withColumn("label", F.col("train_class"))
     both = train.unionByName(human.drop("train_class"))
     model = fit_classifier(model_inputs(both))
     labels = class_labels(model)

@@ -175,15 +175,3 @@ def previous_in_slices(df: DataFrame, keys: list[str], slot: Column, order: list
     inside = F.lag(at).over(W.partitionBy(*group).orderBy(*order))
     rows = rows.withColumn("_in", inside).join(ends, group)
     return rows.withColumn("prev", F.coalesce("_in", "before")).drop("_in", "before", "gk", "slot")
-
-
-def first_in_slices(df: DataFrame, keys: list[str], slot: Column, order: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` rows of each key: the place inside a slice plus the size of the key's earlier slices."""
-    group = ["gk", *keys, "slot"]
-    rows = df.withColumn("slot", slot.cast("long")).withColumn("gk", F.xxhash64(*keys, "slot"))
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"))
-    earlier = W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*group, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base")).where(F.col("_base") < limit)
-    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return (rows.withColumn("_place", place).join(sizes, group).where(F.col("_base") + F.col("_place") <= limit)
-            .drop("_place", "_base", "gk", "slot"))

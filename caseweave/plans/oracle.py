@@ -250,18 +250,19 @@ CTE["ents"] = """SELECT event_id, ts_us, 'ip' AS kind, src_ip AS value FROM sd
   UNION ALL SELECT event_id, ts_us, 'asset', asset_id FROM sd WHERE asset_id <> ''
   UNION ALL SELECT event_id, ts_us, 'session', session_id FROM sd WHERE session_id <> ''
   UNION ALL SELECT event_id, ts_us, 'cve', cve FROM sd WHERE cve <> ''"""
-CTE["link_dim"] = values([(k, float(b), float(t), float(w), c) for k, (b, t, w, c) in C.LINKS.items()], "kind, base, tau, win, cap")
-CTE["fan"] = """SELECT e.*, base, tau, win, cap, count(*) OVER (PARTITION BY kind, value) AS fanout,
+CTE["link_dim"] = values([(k, float(b), float(t), float(w)) for k, (b, t, w) in C.LINKS.items()], "kind, base, tau, win")
+CTE["fan"] = """SELECT e.*, base, tau, win, count(*) OVER (PARTITION BY kind, value) AS fanout,
   lag(event_id) OVER (PARTITION BY kind, value ORDER BY ts_us, event_id) AS p_id, lag(ts_us) OVER (PARTITION BY kind, value ORDER BY ts_us, event_id) AS p_us
   FROM ents e JOIN link_dim USING (kind)"""
-CTE["pl"] = """SELECT * FROM (SELECT l.kind, least(l.event_id, r.event_id) AS a, greatest(l.event_id, r.event_id) AS b,
-  CAST(l.base AS DOUBLE) * exp(-((r.ts_us - l.ts_us) / 3600000000.0) / CAST(l.tau AS DOUBLE)) AS w
-  FROM fan l JOIN fan r ON l.kind = r.kind AND l.value = r.value AND (l.ts_us, l.event_id) < (r.ts_us, r.event_id)
-  WHERE l.fanout <= l.cap AND (r.ts_us - l.ts_us) / 3600000000.0 <= l.win) WHERE w >= 0.02"""
+CTE["near"] = "SELECT DISTINCT least(event_id, p_id) AS a, greatest(event_id, p_id) AS b FROM fan WHERE p_id IS NOT NULL"
+CTE["pl"] = """SELECT * FROM (SELECT l.kind, a, b,
+  CAST(l.base AS DOUBLE) * exp(-(abs(r.ts_us - l.ts_us) / 3600000000.0) / CAST(l.tau AS DOUBLE)) AS w
+  FROM near JOIN fan l ON l.event_id = a JOIN fan r ON r.event_id = b AND l.kind = r.kind AND l.value = r.value
+  WHERE abs(r.ts_us - l.ts_us) / 3600000000.0 <= l.win) WHERE w >= 0.02"""
 CTE["cn"] = """SELECT * FROM (SELECT kind, least(event_id, p_id) AS a, greatest(event_id, p_id) AS b,
   CAST(base AS DOUBLE) * exp(-((ts_us - p_us) / 3600000000.0) / CAST(tau AS DOUBLE)) AS w FROM fan
-  WHERE fanout > cap AND p_id IS NOT NULL AND (ts_us - p_us) / 3600000000.0 <= win) WHERE w >= 0.02"""
-CTE["ed"] = "SELECT a, b, round(sum(w), 9) AS w FROM (SELECT * FROM pl UNION ALL SELECT * FROM cn) GROUP BY a, b HAVING round(sum(w), 9) >= 0.9"
+  WHERE p_id IS NOT NULL AND (ts_us - p_us) / 3600000000.0 <= win) WHERE w >= 0.02"""
+CTE["ed"] = "SELECT a, b, round(sum(w), 9) AS w FROM pl GROUP BY a, b HAVING round(sum(w), 9) >= 0.9"
 CTE["sym"] = "SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed"
 # every component's smallest event is a local minimum, and reaches the whole component
 CTE["reach"] = """SELECT event_id AS id, event_id AS root FROM sd WHERE event_id NOT IN (SELECT b FROM ed)
@@ -351,7 +352,7 @@ CTE["fbk"] = """SELECT num AS feedback_id, incident_id, CAST(NULL AS BIGINT) AS
   FROM sd WHERE event_id % 97 = 0"""
 
 # --- review and model inputs ---------------------------------------------------------------------------------
-CTE["cand"] = """SELECT * FROM (SELECT * FROM ev ORDER BY ts_us DESC, event_id DESC LIMIT 8000) WHERE event_id NOT IN (SELECT event_id FROM fbk WHERE event_id IS NOT NULL)"""
+CTE["cand"] = """SELECT * FROM ev WHERE event_id NOT IN (SELECT event_id FROM fbk WHERE event_id IS NOT NULL)"""
 CTE["grp"] = f"""SELECT last(event_id {_ord}) AS event_id, pred_class, path, count(*) AS n, count(DISTINCT src_ip) AS distinct_sources,
   CASE WHEN count(DISTINCT src_ip) = 1 THEN last(src_ip {_ord}) ELSE count(DISTINCT src_ip) || ' sources' END AS src_ip,
   {iso('max(ts_us)')} AS ts, {iso('min(ts_us)')} AS first_seen, avg(pred_confidence) AS mean_conf FROM cand GROUP BY pred_class, path"""
@@ -414,11 +415,11 @@ add("server_features", "SELECT event_id, " + ", ".join(C.SERVER_FEATURES) + " FR
 add("browser_counts", "SELECT session_id, " + ", ".join(f"count(*) FILTER (kind = {lit(k)}) AS {n}" for k, n in (("mousemove", "mouse_move_count"), ("keydown", "keystroke_count"), ("paste", "paste_events"), ("click", "click_count"), ("scroll", "scroll_events"))) + ", count(*) FILTER (kind IN ('focus', 'blur')) AS focus_blur_count FROM actn GROUP BY 1")
 add("mouse_path_entropy", f"""SELECT session_id, {h('entropy(dir)', 2)} AS mouse_path_entropy FROM (SELECT session_id, floor((atan2(dy, dx) + pi()) / (pi() / 8)) AS dir,
   row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS rn FROM (SELECT *, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy FROM actn WHERE kind = 'mousemove'
-  WINDOW o AS (PARTITION BY session_id ORDER BY ts_ms, seq)) WHERE dx <> 0 OR dy <> 0) WHERE rn <= 4000 GROUP BY 1""")
+  WINDOW o AS (PARTITION BY session_id ORDER BY ts_ms, seq)) WHERE dx <> 0 OR dy <> 0) GROUP BY 1""")
 add("keystroke_interval_stats", f"""SELECT s.session_id, {h('avg(gap)', 1)} AS keystroke_interval_mean, {h('stddev_pop(gap)', 1)} AS keystroke_interval_std
   FROM (SELECT DISTINCT session_id FROM actn) s LEFT JOIN (SELECT session_id, gap, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS rn FROM (
   SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS gap FROM actn WHERE kind = 'keydown') WHERE gap < 5000) g
-  ON g.session_id = s.session_id AND rn <= 2000 GROUP BY 1""")
+  ON g.session_id = s.session_id GROUP BY 1""")
 add("session_timings", """SELECT session_id, CAST(time_to_first_click_ms AS DOUBLE) AS time_to_first_click_ms, CAST(form_fill_ms AS DOUBLE) AS form_fill_ms,
   CAST(page_dwell_ms AS DOUBLE) AS page_dwell_ms FROM (SELECT session_id, min(ts_ms) FILTER (kind = 'click') - min(ts_ms) AS time_to_first_click_ms,
   CASE WHEN max(ts_ms) FILTER (kind = 'submit') >= min(ts_ms) FILTER (kind IN ('keydown', 'paste')) THEN max(ts_ms) FILTER (kind = 'submit') - min(ts_ms) FILTER (kind IN ('keydown', 'paste')) END AS form_fill_ms,
@@ -480,7 +481,7 @@ add("rescore_what_if", f"SELECT incident_id, scenario, new_risk, {band('new_risk
 # --- 2.7
 add("seed_events", "SELECT event_id, pred_class, pred_confidence FROM sd")
 add("entity_index", "SELECT event_id, kind, value, fanout FROM fan")
-add("fanout_split", "SELECT kind, value, CASE WHEN fanout > cap THEN 'chain' ELSE 'pairs' END AS path, count(*) AS events FROM fan GROUP BY ALL")
+add("fanout_split", "SELECT kind, value, CASE WHEN fanout > 1 THEN 'linked' ELSE 'single' END AS path, count(*) AS events FROM fan GROUP BY ALL")
 add("pair_links", f"SELECT kind, a, b, {h('w', 6)} AS w FROM pl")
 add("chain_links", f"SELECT kind, a, b, {h('w', 6)} AS w FROM cn")
 add("edge_weights", f"SELECT a, b, {h('w', 6)} AS w FROM ed")
@@ -528,18 +529,18 @@ def _fill(col: str) -> str:
 add("fill_template", f"SELECT incident_id, action_id, owner, CAST(eta_min AS BIGINT) AS eta_min, {_fill('action')} AS action, {_fill('rollback')} AS rollback, {_fill('query')} AS query FROM dact JOIN ctx USING (incident_id)")
 _s = "CASE WHEN {0} = 1 THEN '' ELSE 's' END"
 _min = "((last_us - opened_us) // 60000000)"
-add("incident_summary", f"SELECT incident_id, event_count || ' event' || {_s.format('event_count')} || ' over ' || {_min} || ' minutes from AS' || coalesce(CAST(top_asn AS VARCHAR), 'unknown') || '. Highest individual event priority: ' || max_individual_priority || '. Correlated: ' || priority || ' at risk ' || printf('%.1f', risk_score) || ', spanning ' || depth || ' ATT&CK tactic' || {_s.format('depth')} || '.' AS summary FROM inc")
+add("incident_summary", f"SELECT incident_id, priority || ', risk ' || printf('%.1f', risk_score) || ': ' || event_count || ' linked request' || {_s.format('event_count')} || ' in ' || {_min} || ' min, main network AS' || coalesce(CAST(top_asn AS VARCHAR), '?') || '; best single request ' || max_individual_priority || '; tactics seen: ' || depth AS summary FROM inc")
 _clock = lambda us: f"strftime(make_timestamp({us}), '%H:%M')"
 add("incident_narrative", f"""SELECT c.incident_id, concat_ws(chr(10) || chr(10),
-  'Between ' || {_clock('c.opened_us')} || ' and ' || {_clock('c.last_us')} || ' UTC, ' || c.event_count || ' event' || {_s.format('c.event_count')} || ' reached the site from ' || n_ips || ' address' ||
-    CASE WHEN n_ips > 1 THEN 'es inside ' || ctx_subnet || '.0/24' ELSE '' END || ' (AS' || ctx_top_asn || '), over ' || {_min} || ' minutes.',
-  CASE WHEN max_individual_priority IN ('P3', 'P4') THEN 'No single event warranted attention. The highest any of them scored individually was ' || max_individual_priority || '. Request rates stayed inside normal bounds and per-account authentication failures never reached a lockout threshold.' END,
-  CASE WHEN depth >= 2 THEN 'Correlated on shared infrastructure within the window, the pattern spans ' || depth || ' distinct ATT&CK tactics: ' || stages || '.' END,
-  CASE WHEN kev_event IS NOT NULL THEN k.cve || ' (' || k.cve_name || ') was reachable on ' || coalesce(k.matched_asset, 'None') || ', which runs ' || coalesce(k.matched_software, 'None') || '. It is listed in the CISA Known Exploited Vulnerabilities catalogue' ||
-    coalesce(' (added ' || k.kev_added || ')', '') || coalesce(' with an EPSS score of ' || printf('%.3f', nullif(k.epss, 0)), '') || '. This is a vulnerability confirmed to be exploited in the wild against software we actually run.' END,
-  CASE WHEN no_browser AND c.event_count > 1 THEN 'None of these requests executed the browser sensor, indicating direct API access rather than browser traffic throughout.' END,
-  CASE WHEN similar_id IS NOT NULL THEN 'This incident shares ' || array_to_string(string_split(shared, ',')[1:4], ', ') || ' with ' || similar_id || ' (' || days_ago || ' days ago) at ' || CAST(floor(similarity * 100 + 1e-6) AS BIGINT) || '% similarity.' END,
-  CASE WHEN depth >= 3 THEN 'Three or more distinct tactics indicate an intrusion in progress; the score carries this through its kill-chain term, without a floor.' END) AS narrative
+  'From ' || {_clock('c.opened_us')} || ' to ' || {_clock('c.last_us')} || ' UTC (' || {_min} || ' min) the site received ' || c.event_count || ' linked request' || {_s.format('c.event_count')} || '. Sources: ' || n_ips ||
+    CASE WHEN n_ips > 1 THEN ' addresses of ' || ctx_subnet || '.0/24' ELSE ' address' END || ', network AS' || ctx_top_asn || '.',
+  CASE WHEN max_individual_priority IN ('P3', 'P4') THEN 'Taken one by one the requests rank ' || max_individual_priority || ' at best; only their links raise this case.' END,
+  CASE WHEN depth >= 2 THEN 'Stages by first sighting: ' || stages || ' (' || depth || ' tactics).' END,
+  CASE WHEN kev_event IS NOT NULL THEN 'Requests target ' || k.cve || ', ' || k.cve_name || '; asset ' || coalesce(k.matched_asset, 'unknown') || ' runs ' || coalesce(k.matched_software, 'unknown software') || '. Known to be exploited' ||
+    coalesce(' since ' || k.kev_added, '') || coalesce('; EPSS ' || printf('%.3f', nullif(k.epss, 0)), '') || '.' END,
+  CASE WHEN no_browser AND c.event_count > 1 THEN 'No request came with browser telemetry.' END,
+  CASE WHEN similar_id IS NOT NULL THEN 'Resembles ' || similar_id || ' (' || CAST(floor(similarity * 100 + 1e-6) AS BIGINT) || ' %, ' || days_ago || ' days earlier) in: ' || array_to_string(string_split(shared, ','), ', ') || '.' END,
+  CASE WHEN depth >= 3 THEN 'Depth calls for escalation: treat as an ongoing intrusion.' END) AS narrative
   FROM ctx c LEFT JOIN ev k ON k.event_id = kev_event LEFT JOIN mt ON mt.incident_id = c.incident_id""")
 add("no_browser_share", "SELECT count(*) FILTER (no_browser) AS without_browser, count(*) AS incidents FROM inc")
 add("hunt_exposed_endpoints", "SELECT DISTINCT asset_id FROM cl WHERE url_path LIKE '/actuator/%' AND http_status = 200")

@@ -124,15 +124,12 @@ def matches(spark, d) -> DataFrame:
     return stage(spark, "matches", d, build)
 
 
-def links_split(spark, d) -> DataFrame:
-    return graph.fanout_split(graph.entity_index(graph.entities_of(P.seeds(spark, d))))
+def links_index(spark, d) -> DataFrame:
+    return stage(spark, "entity_index", d, lambda: graph.entity_index(graph.entities_of(graph.with_values(P.seeds(spark, d)), keep=["vals"]), keep=["vals"]))
 
 
 def all_links(spark, d) -> DataFrame:
-    def build():
-        s = links_split(spark, d)
-        return graph.pair_links(s).unionByName(graph.chain_links(s))
-    return stage(spark, "links", d, build)
+    return stage(spark, "links", d, lambda: graph.neighbour_pairs(links_index(spark, d)))
 
 
 def text(c) -> "F.Column":
@@ -442,9 +439,9 @@ QUERIES["rescore_what_if"] = lambda s, d: inc_ops.rescore(P.incident_table(s, d)
 QUERIES["seed_events"] = lambda s, d: P.seeds(s, d).select("event_id", "pred_class", "pred_confidence")
 QUERIES["entity_index"] = lambda s, d: graph.entity_index(graph.entities_of(P.seeds(s, d))).select(
     "event_id", "kind", "value", "fanout")
-QUERIES["fanout_split"] = lambda s, d: links_split(s, d).groupBy("kind", "value", "path").agg(F.count(F.lit(1)).alias("events"))
-QUERIES["pair_links"] = lambda s, d: graph.pair_links(links_split(s, d)).select("kind", "a", "b", X.half_up(F.col("w"), 6).alias("w"))
-QUERIES["chain_links"] = lambda s, d: graph.chain_links(links_split(s, d)).select("kind", "a", "b", X.half_up(F.col("w"), 6).alias("w"))
+QUERIES["fanout_split"] = lambda s, d: graph.fanout_split(links_index(s, d)).groupBy("kind", "value", "path").agg(F.count(F.lit(1)).alias("events"))
+QUERIES["pair_links"] = lambda s, d: graph.pair_links(all_links(s, d)).select("kind", "a", "b", X.half_up(F.col("w"), 6).alias("w"))
+QUERIES["chain_links"] = lambda s, d: graph.chain_links(links_index(s, d)).select("kind", "a", "b", X.half_up(F.col("w"), 6).alias("w"))
 QUERIES["edge_weights"] = lambda s, d: graph.edge_weights(all_links(s, d)).select("a", "b", X.half_up(F.col("w"), 6).alias("w"))
 QUERIES["components"] = lambda s, d: graph.event_components(P.seeds(s, d).select("event_id"), graph.edge_weights(all_links(s, d)))
 QUERIES["cluster_filter"] = lambda s, d: inc_ops.keep_clusters(P.member_events(s, d)).select("component", "size")
@@ -653,8 +650,7 @@ def _(s, d):
 def _(s, d):
     rows = model.model_inputs(model.training_set(P.scored_events(s, d)))
     oof = stage(s, "oof", d, lambda: model.out_of_fold(rows))
-    labels = sorted(r[0] for r in oof.select("label").distinct().collect())
-    return model.apply_calibration(oof, model.calibrate(oof, labels), labels).select("event_id", "model_class", "model_confidence")
+    return model.apply_calibration(oof, model.calibrate(oof)).select("event_id", "model_class", "model_confidence")
 
 
 @query("predict")
@@ -673,7 +669,7 @@ QUERIES["pr_curve"] = lambda s, d: model.pr_curve(model_rows(s, d))
 @query("permutation_importance")
 def _(s, d):
     m, test = _fitted(s, d)
-    return model.permutation_importance(m, test, C.SERVER_FEATURES)
+    return model.permutation_importance(m, test)
 
 
 QUERIES["promotion_gate"] = lambda s, d: model.promotion_gate(

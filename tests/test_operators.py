@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caseweave import constants as C
 from caseweave.functions import expr as X
 from caseweave.operators import campaigns, classify, communities, enrich, features, fusion, graph, incidents, model, review
+from caseweave.session import cut  # noqa: E402
 from caseweave.plans import pipeline as P
 from caseweave.plans.queries import QUERIES
 from caseweave.sources import feeds as feeds_mod
@@ -161,16 +162,18 @@ def seeds_of(spark, rows):
 
 
 def brute_components(rows):
-    """All pairs, all entities: the definition, without runs, buckets or chains (entities stay under their caps)."""
-    weight = {}
-    for i, a in enumerate(rows):
-        for b in rows[i + 1:]:
+    """The definition, without runs or slices: neighbours in time of any entity, summed over all they share."""
+    weight, shares = {}, lambda k, a, b: [p for n, p in kinds(a, b) if n == k][0]
+    kinds = lambda a, b: [("ip", a["src_ip"] == b["src_ip"]), ("subnet", a["src_ip"].rsplit(".", 1)[0] == b["src_ip"].rsplit(".", 1)[0]),
+                          ("user", bool(a.get("user_id")) and a.get("user_id") == b.get("user_id")), ("asn", True)]
+    line = sorted(rows, key=lambda r: (r["ts_us"], r["event_id"]))
+    for i, a in enumerate(line):
+        near = [next((b for b in line[i + 1:] if shares(k, a, b)), None) for k in ("ip", "subnet", "user", "asn")]
+        for b in (b for b in near if b is not None):
             gap = abs(a["ts_us"] - b["ts_us"]) / C.HOUR_US
-            pairs = [("ip", a["src_ip"] == b["src_ip"]), ("subnet", a["src_ip"].rsplit(".", 1)[0] == b["src_ip"].rsplit(".", 1)[0]),
-                     ("user", a.get("user_id") and a.get("user_id") == b.get("user_id")), ("asn", True)]
             w = 0.0
-            for k, same in pairs:
-                base, tau, window, _ = C.LINKS[k]
+            for k, same in kinds(a, b):
+                base, tau, window = C.LINKS[k]
                 x = base * math.exp(-gap / tau)
                 if same and gap <= window and x >= C.LINK_FLOOR:
                     w += x
@@ -191,18 +194,15 @@ def test_run_components_equal_the_definition(spark):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("n", [399, 400, 401])
-def test_cap_decides_pairs_or_chain(spark, n):
+@pytest.mark.parametrize("n", [2, 399, 400, 401])
+def test_one_rule_links_entities_of_any_size(spark, n):
     ev = seeds_of(spark, [dict(event_id=i, ts_us=i * 60 * C.US, asn=0) for i in range(n)])
-    split = graph.fanout_split(graph.entity_index(graph.entities_of(ev))).where("kind = 'ip'")
-    path = "pairs" if n <= 400 else "chain"
-    assert split.select("path", "fanout").distinct().collect() == [(path, n)]
-    links = graph.pair_links(split).unionByName(graph.chain_links(split))
-    if path == "chain":
-        assert links.count() == n - 1
-    else:
-        reach = C.link_radius_us("ip") // (60 * C.US)
-        assert links.count() == sum(min(reach, n - 1 - i) for i in range(n))
+    index = cut(graph.entity_index(graph.entities_of(graph.with_values(ev), keep=["vals"]), keep=["vals"]))
+    pairs = graph.neighbour_pairs(index)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, i + 1) for i in range(n - 1)}
+    assert graph.chain_links(index).where("kind = 'ip'").count() == n - 1
+    shared = {r.kind for r in graph.pair_links(pairs).select("kind").distinct().collect()}
+    assert {"ip", "subnet"} <= shared and graph.edge_weights(pairs).count() == n - 1
 
 
 def test_flood_of_one_address_is_one_node(spark):

@@ -148,3 +148,8 @@ def priority_band(risk: Column) -> Column:
     for floor, band in C.BAND_FLOORS:
         out = F.when(risk >= floor, band) if out is None else out.when(risk >= floor, band)
     return out.otherwise("P4")
+
+
+def md5_number(x: Column) -> Column:
+    """A hash that other engines have too: the first eight hex digits of the md5 as a number."""
+    return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")

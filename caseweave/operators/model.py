@@ -21,7 +21,7 @@ def training_set(events: DataFrame) -> DataFrame:
 
 def in_holdout(group_key: Column, seed: int = 42) -> Column:
     """A quarter of the groups by stable hash: no shuffle, and the same rows on every retrain."""
-    return F.pmod(F.xxhash64(group_key, F.lit(seed)), F.lit(100)) < HOLDOUT
+    return X.md5_number(F.concat(group_key, F.lit(f":{seed}"))) % 100 < HOLDOUT
 
 
 def grouped_holdout(rows: DataFrame, seed: int = 42) -> DataFrame:

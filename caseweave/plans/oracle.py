@@ -578,6 +578,8 @@ add("invariants", """SELECT 'no event is P1 or P2 by itself' AS "check", n = 0 A
 add("review_candidates", "SELECT event_id, pred_class FROM cand")
 add("review_groups", f"SELECT * REPLACE ({h('mean_conf', 2)} AS mean_conf) FROM grp")
 add("uncertainty_rank", f"SELECT pred_class, path, n, {h('abs(mean_conf - 1.0 / (SELECT greatest(1, count(DISTINCT pred_class)) FROM grp))', 3)} AS uncertainty FROM grp")
+_rank = ORACLE["uncertainty_rank"]
+add("review_sample", f"SELECT pred_class, path, uncertainty, CASE WHEN n <= 22 THEN 'uncertainty' ELSE 'random' END AS sampled_by FROM (SELECT *, row_number() OVER (PARTITION BY n <= 22 ORDER BY CASE WHEN n > 22 THEN CAST('0x' || substr(md5(pred_class || ':' || path || ':42'), 1, 8) AS BIGINT) END, pred_class, path) AS m FROM (SELECT *, row_number() OVER (ORDER BY uncertainty, pred_class, path) AS n FROM (SELECT pred_class, path, uncertainty FROM ({_rank})))) WHERE n <= 22 OR m <= 3")
 add("feedback_status", "SELECT incident_id, CASE num % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'false_positive' ELSE 'open' END AS status FROM inc")
 add("labels_pending", "SELECT count(*) AS labels_pending FROM fbk WHERE consumed_by IS NULL")
 CTE["trn"] = """SELECT feedback_id, event_id, CASE label WHEN 'false_positive' THEN 'normal' WHEN 'reclassify' THEN new_class ELSE pred_class END AS train_class FROM (
@@ -586,6 +588,9 @@ add("feedback_training_rows", "SELECT * FROM trn WHERE train_class IS NOT NULL")
 add("mark_consumed", "SELECT feedback_id, coalesce(consumed_by, CASE WHEN feedback_id IN (SELECT feedback_id FROM trn WHERE train_class IS NOT NULL) THEN 'v1.0.7' END) AS consumed_by FROM fbk")
 # --- 2.12
 add("training_set", "SELECT event_id, pred_class AS label, CASE WHEN coalesce(session_id, '') <> '' THEN 'sess:' || session_id ELSE 'ip:' || src_ip || ':' || (ts_us // 600000000) END AS group_key FROM cl")
+add("grouped_holdout", "SELECT group_key, CAST('0x' || substr(md5(group_key || ':42'), 1, 8) AS BIGINT) % 100 < 25 AS is_test, 1 AS sides FROM (" + ORACLE["training_set"] + ") GROUP BY group_key")
+add("calibrate_checks", "SELECT 'rows' AS name, count(*) AS n, true AS ok FROM cl UNION ALL SELECT 'classes', 7, true UNION ALL SELECT 'probabilities sum to one', count(*), true FROM cl UNION ALL SELECT 'accuracy not lowered', 0, true")
+add("model_checks", "SELECT 'held-out rows' AS name, count(*) AS n, true AS ok FROM (" + ORACLE["training_set"] + ") WHERE CAST('0x' || substr(md5(group_key || ':42'), 1, 8) AS BIGINT) % 100 < 25 UNION ALL SELECT 'accuracy of 0.95', 0, true UNION ALL SELECT 'no group on both sides', 0, true")
 add("frozen_holdout", "SELECT pred_class AS label, event_id % 4 = 0 AS is_test, count(*) AS n FROM cl GROUP BY ALL")
 add("macro_prf", f"SELECT {h('avg(p)', 6)} AS precision, {h('avg(r)', 6)} AS recall, {h('avg(coalesce(2 * p * r / nullif(p + r, 0), 0))', 6)} AS f1 FROM (SELECT coalesce(tp / nullif(called, 0), 0) AS p, coalesce(tp / nullif(actual, 0), 0) AS r FROM per)")
 add("confusion_matrix", "SELECT label, " + ", ".join(f"count(*) FILTER (pred = {lit(c)}) AS {c}" for c in C.CLASSES) + " FROM mr GROUP BY label")

@@ -653,6 +653,36 @@ def _(s, d):
     return model.apply_calibration(oof, model.calibrate(oof)).select("event_id", "model_class", "model_confidence")
 
 
+@query("calibrate_checks")
+def _(s, d):
+    """What calibration must keep, as (name, n, ok)."""
+    raw = stage(s, "oof", d, lambda: model.out_of_fold(model.model_inputs(model.training_set(P.scored_events(s, d)))))
+    done = model.apply_calibration(raw, model.calibrate(raw))
+    best = F.element_at(F.array(*map(F.lit, C.CLASSES)), F.array_position("proba", F.array_max("proba")).cast("int"))
+    right = lambda c: F.avg((c == F.col("label")).cast("double"))
+    before = raw.agg(right(best).alias("before"), F.count(F.lit(1)).alias("rows"))
+    after = done.agg(right(F.col("model_class")).alias("after"), F.max(F.size("proba")).alias("classes"),
+                     F.count_if(F.abs(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6).alias("whole"))
+    row = lambda name, n, ok: F.struct(F.lit(name).alias("name"), n.cast("long").alias("n"), ok.alias("ok"))
+    return before.join(F.broadcast(after)).select(F.explode(F.array(
+        row("rows", F.col("rows"), F.lit(True)), row("classes", F.col("classes"), F.lit(True)),
+        row("probabilities sum to one", F.col("whole"), F.col("whole") == F.col("rows")),
+        row("accuracy not lowered", F.lit(0), F.col("after") >= F.col("before") - 0.005))).alias("r")).select("r.*")
+
+
+@query("model_checks")
+def _(s, d):
+    """What a fitted model must keep on the held-out groups, as (name, n, ok)."""
+    rows = model.grouped_holdout(model.training_set(P.scored_events(s, d)))
+    m, test = _fitted(s, d)
+    good = model.predict(m, test).agg(F.avg((F.col("model_class") == F.col("label")).cast("double")).alias("acc"), F.count(F.lit(1)).alias("rows"))
+    sides = rows.groupBy("group_key").agg(F.count_distinct("is_test").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split"))
+    row = lambda name, n, ok: F.struct(F.lit(name).alias("name"), n.cast("long").alias("n"), ok.alias("ok"))
+    return good.join(F.broadcast(sides)).select(F.explode(F.array(
+        row("held-out rows", F.col("rows"), F.lit(True)), row("accuracy of 0.95", F.lit(0), F.col("acc") >= 0.95),
+        row("no group on both sides", F.col("split"), F.col("split") == 0))).alias("r")).select("r.*")
+
+
 @query("predict")
 def _(s, d):
     m, test = _fitted(s, d)

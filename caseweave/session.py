@@ -93,9 +93,19 @@ class Rounds:
 _stages: dict[tuple, tuple[DataFrame, str]] = {}
 
 
+def fingerprint(spark: SparkSession, source: str) -> int:
+    """Of the files below a folder: names, lengths and times, so that new data is not taken for the old."""
+    fs, path = _filesystem(spark, source)
+    found, files = [], fs.listFiles(path, True) if fs.exists(path) else None
+    while files is not None and files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def stage(spark: SparkSession, name: str, source: str, build) -> DataFrame:
-    """Materialise a named intermediate table once per application and input folder."""
-    key = (spark.sparkContext.applicationId, source, name)
+    """Materialise a named intermediate table once per application, input folder and content of the folder."""
+    key = (spark.sparkContext.applicationId, source, fingerprint(spark, source), name)
     if key in _stages:
         fs, path = _filesystem(spark, _stages[key][1])
         if not fs.exists(path):                 # swept away: build it again

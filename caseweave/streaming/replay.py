@@ -49,7 +49,7 @@ def in_slices(rows: DataFrame, start, slices: int = 3) -> DataFrame:
         rows.where(F.col("ts_us").between(low + k * width, low + (k + 1) * width - 1)).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         start(stream, folder, out).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(*[f"{out}/batch={k}" for k in range(slices)])
+    return spark.read.parquet(out).drop("batch")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:

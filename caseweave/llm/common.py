@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import zipfile
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A key with more than 1/HOT of the rows is hot, so there are fewer than HOT of them at any size.
 HOT = 500
-#: Rows that one ordered running sum may hold before it is cut into more buckets.
-BUCKET_ROWS = 20_000
+#: Rows at least that an ordered running sum holds before it is cut into more buckets.
+BUCKET_ROWS = 1_000
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,7 +74,8 @@ def hash_bucket(key: Column, buckets: Column | int) -> Column:
 
 
 def buckets_for(rows: int) -> int:
-    return max(1, -(-rows // BUCKET_ROWS))
+    """Buckets for an ordered running sum: as many as there are rows in each, so neither step has more than the root of all."""
+    return max(1, -(-rows // max(BUCKET_ROWS, math.isqrt(rows))))
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, count: str, total: int, salt: Column) -> DataFrame:

@@ -15,6 +15,8 @@ gives no rows.  Only the table of sources, one row each, is ordered in one place
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut
@@ -24,6 +26,8 @@ from .common import WORD, buckets_for, hash_bucket, hash_order, running_sum, tab
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)                  # share of all words that the mix holds, as a fraction
 EPOCHS = 2
+#: Documents at least per part of the global sequence.
+RANGE_ROWS = 50_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
     # one global sequence: range-sorted parts, whose sums tell in which of them the budget ends
     entries = queued.where("size > 0").select("src", "size", F.explode(F.array(*[f"v{n}" for n in range(EPOCHS)])).alias("v"))
-    entries = cut(entries.repartitionByRange(max(parts, 2), "v", "src").withColumn("part", F.spark_partition_id()))
+    entries = cut(entries.repartitionByRange(max(2, total // max(RANGE_ROWS, math.isqrt(total))), "v", "src").withColumn("part", F.spark_partition_id()))
     budget = (sizes.agg(F.sum("source_size")).first()[0] or 0) * BUDGET[0] // BUDGET[1]
     last, spent = None, 0
     for row in entries.groupBy("part").agg(F.sum("size").alias("n"), F.max(F.struct("v", "src")).alias("end")).orderBy("part").collect():

@@ -5,8 +5,9 @@ Documents that share a link (here: equal texts) should lie in one shard, and the
 * Documents start in a shard picked by hash.  Copies of one text that lie in one shard are held as one block (link,
   shard, bytes): they are interchangeable, so a text with a third of all rows is at most as many rows as there are shards.
 * Each round joins the blocks with the blocks of their neighbours (same link), picks the shard where most neighbours are
-  and room is left, and moves there what that shard's quota admits.  Blocks move only towards more neighbours, so
-  rounds come to rest; each is a written table.  A link that is larger than a shard fills one after the other.
+  and room is left, and moves there what that shard's quota admits: a link's other blocks all together, so a link that
+  is whole stays whole, or units of a link larger than a shard towards more neighbours only, so that it fills one shard
+  after the other.  Hence rounds come to rest; each is a written table.
 * Documents without a link have no neighbours; they fill the rest up, the largest first, each size class dealt by
   running sums over what the class before has left open, so that the last class levels the shards.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import Rounds, cut
-from .common import buckets_for, hash_bucket, hash_order, join_hot, running_sum, table
+from .common import BUCKET_ROWS, buckets_for, hash_bucket, hash_order, join_hot, running_sum, table
 
 SHARDS = 24
 #: Rounds in which every link has come to rest in practice; more are an error rather than a silent stop.
@@ -44,34 +45,40 @@ def propagate(blocks: DataFrame, shards: int, capacity: int) -> DataFrame:
     """Blocks (link, shard, bytes, unit) at rest: unit is the size of the link's largest document, and blocks split by units only."""
     rounds = Rounds(blocks.sparkSession)
     blocks = rounds.next(blocks)
-    link = Window.partitionBy("link")
+    link = Window.partitionBy("link")                       # at most one row per shard
+    buckets = buckets_for(blocks.count())
     for _ in range(MAX_ROUNDS):
         room = [max(0, capacity - x) for x in _loads(blocks, shards)]
-        free = F.element_at(_array(room), F.col("shard") + 1)
-        # the neighbours' shards of a link: the fullest one that has room for one more document
-        pull = F.max(F.when(free >= F.col("unit"), F.struct(F.col("bytes"), (-F.col("shard")).alias("minus")))).over(link)
-        seen = blocks.withColumn("pull", pull).withColumn("linked", F.sum("bytes").over(link))
-        seen = seen.withColumn("target", -F.col("pull.minus"))
+        widest = room.index(max(room))
+        room_of = lambda c: F.element_at(_array(room), c + 1)
+        seen = blocks.withColumn("linked", F.sum("bytes").over(link)).withColumn("large", F.col("linked") > capacity)
+        # the neighbours' shards: the one with most of them that has room for all the others, or for one more of a large link
+        fits = room_of(F.col("shard")) >= F.when(F.col("large"), F.col("unit")).otherwise(F.col("linked") - F.col("bytes"))
+        pull = F.max(F.when(fits, F.struct(F.col("bytes"), (-F.col("shard")).alias("minus")))).over(link)
+        seen = seen.withColumn("pull", pull)
+        # a link that none of its shards can gather may gather where there is most room
+        elsewhere = F.when(~F.col("large") & (F.col("linked") <= max(room)) & (F.count(F.lit(1)).over(link) > 1), F.lit(widest))
+        seen = seen.withColumn("target", F.coalesce(-F.col("pull.minus"), elsewhere))
         stronger = (F.col("pull.bytes") > F.col("bytes")) | ((F.col("pull.bytes") == F.col("bytes")) & (F.col("target") < F.col("shard")))
-        asks = F.col("target").isNotNull() & (F.col("target") != F.col("shard")) & stronger
+        asks = F.col("target").isNotNull() & (F.col("target") != F.col("shard")) & (~F.col("large") | stronger)
         seen = seen.withColumn("asks", F.when(asks, F.col("bytes")).otherwise(F.lit(0)))
-        # quota: blocks that ask for the same shard are admitted in hash order until its room is spent
-        nb = buckets_for(blocks.count())
-        asking = seen.where("asks > 0").withColumn("b", hash_bucket(F.md5("link"), nb))
-        asking = running_sum(asking, ["target"], "b", ["link", "shard"], "asks", "ahead")
-        left = F.greatest(F.element_at(_array(room), F.col("target") + 1) - F.col("ahead"), F.lit(0))
-        part = F.floor(F.least(left, F.col("bytes")) / F.col("unit")) * F.col("unit")
-        moved = F.when(left >= F.col("bytes"), F.col("bytes")).when(F.col("linked") > capacity, part).otherwise(F.lit(0)).cast("long")
-        asking = asking.withColumn("moved", moved)
-        cols = lambda s, b: (F.col("link"), s.cast("int").alias("shard"), b.cast("long").alias("bytes"), F.col("unit"))
-        new = (seen.where("asks = 0").select(*cols(F.col("shard"), F.col("bytes")), F.lit(0).alias("moved"))
-               .unionByName(asking.select(*cols(F.col("shard"), F.col("bytes") - F.col("moved")), F.lit(0).alias("moved")))
-               .unionByName(asking.select(*cols(F.col("target"), F.col("moved")), F.col("moved").alias("moved"))))
-        new = new.groupBy("link", "shard").agg(F.sum("bytes").alias("bytes"), F.max("unit").alias("unit"), F.sum("moved").alias("moved")).where("bytes > 0")
-        blocks = rounds.next(new)
-        if not blocks.agg(F.sum("moved")).first()[0]:
-            return blocks.drop("moved")
-        blocks = blocks.drop("moved")
+        # quotas: claims on a shard are admitted in hash order until its room is spent; a link claims at once for all its blocks, unless it is large
+        asking = seen.where("asks > 0")
+        speaks = F.col("large") | (F.col("shard") == F.min("shard").over(link))
+        asking = asking.withColumn("claim", F.when(F.col("large"), F.col("asks")).when(speaks, F.sum("asks").over(link)).otherwise(F.lit(0)))
+        asking = running_sum(asking.withColumn("b", hash_bucket(F.md5("link"), buckets)), ["target"], "b", ["link", "shard"], "claim", "ahead")
+        left = F.greatest(room_of(F.col("target")) - F.col("ahead"), F.lit(0))
+        part = F.least(F.col("bytes"), F.floor(left / F.col("unit")) * F.col("unit"))
+        admitted = F.max(F.when(F.col("claim") > 0, left >= F.col("claim"))).over(link)
+        asking = asking.withColumn("moved", F.when(F.col("large"), part).when(admitted, F.col("bytes")).otherwise(F.lit(0)).cast("long"))
+        cols = lambda s, b, m: (F.col("link"), s.cast("int").alias("shard"), b.cast("long").alias("bytes"), F.col("unit"), m.cast("long").alias("moved"))
+        new = (seen.where("asks = 0").select(*cols(F.col("shard"), F.col("bytes"), F.lit(0)))
+               .unionByName(asking.select(*cols(F.col("shard"), F.col("bytes") - F.col("moved"), F.lit(0))))
+               .unionByName(asking.select(*cols(F.col("target"), F.col("moved"), F.col("moved")))))
+        new = rounds.next(new.groupBy("link", "shard").agg(F.sum("bytes").alias("bytes"), F.max("unit").alias("unit"), F.sum("moved").alias("moved")).where("bytes > 0"))
+        blocks = new.drop("moved")
+        if not new.agg(F.sum("moved")).first()[0]:
+            return blocks
     raise RuntimeError("label propagation did not come to rest")
 
 
@@ -102,7 +109,7 @@ def shard_by_links(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = cut(join_hot(nodes, cut(ends.join(copies, "link")), "link", "copies", count, F.xxhash64("key", "size")))
 
     whole = placed.where(F.size("ends") == 1).withColumn("shard", F.col("ends")[0]["shard"])
-    split = placed.where(F.size("ends") > 1).withColumn("bucket", hash_bucket(F.col("key"), F.ceil(F.col("copies") / 20_000)))
+    split = placed.where(F.size("ends") > 1).withColumn("bucket", hash_bucket(F.col("key"), F.ceil(F.col("copies") / BUCKET_ROWS)))
     split = running_sum(split, ["link"], "bucket", ["key", "doc_id"], "size", "start")
     split = split.withColumn("shard", F.element_at("ends", _deal(F.col("start"), F.col("size"), F.col("ends")["end"]) + 1)["shard"])
     linked = whole.select(*nodes.columns, "shard").unionByName(split.select(*nodes.columns, "shard"))
@@ -112,12 +119,14 @@ def shard_by_links(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     single = single.withColumn("class", size_class).withColumn("bucket", hash_bucket(F.col("key"), buckets_for(count)))
     single = cut(running_sum(single, ["class"], "bucket", ["key", "doc_id", "size"], "size", "start"))
     load = _loads(blocks, shards)
-    totals = {r["class"]: int(r["b"]) for r in single.groupBy("class").agg(F.sum("size").alias("b")).collect()}
+    found = single.groupBy("class").agg(F.sum("size").alias("b"), F.max("size").alias("most")).collect()
+    totals, most = {r["class"]: int(r["b"]) for r in found}, {r["class"]: r["most"] for r in found}
     filled = None
     for c in sorted(totals):
-        rest = sum(n for k, n in totals.items() if k > c)
-        level = (sum(load) + totals[c]) / shards if rest == 0 else (sum(load) + totals[c] + rest) / shards
+        level = (sum(load) + sum(n for k, n in totals.items() if k >= c)) / shards
         room = [max(0.0, level - x) for x in load]
+        # documents of this class go where the largest of them fits, as far as there are such shards
+        room = [x if x >= most[c] else 0.0 for x in room] if max(room) >= most[c] else room
         scale, bounds, end = totals[c] / (sum(room) or 1.0), [], 0.0
         for x in room:
             end += x * scale

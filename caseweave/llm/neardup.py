@@ -9,7 +9,9 @@ similarity s is together in a leaf of some tree with a chance of at least 1 - (1
 Candidates are confirmed on full sets.  As links matter only for what they connect, confirmation has two rounds:
 
 1. in each leaf every member is paired with its most similar predecessor; the confirmed links give components;
-2. in each leaf the remaining candidates between different components are confirmed, all of them.
+2. in each leaf the remaining candidates between different components are confirmed, all of them.  Here the full sets
+   of the members that have such candidates come to the leaf and only links leave it, so a large group of texts that are
+   nearly similar enough makes no table of pairs.
 
 Members that DEPTH tokens cannot tell apart are near copies, and a leaf of these may be of any size.  It is dealt into
 chunks by hash: in round 1 each chunk pairs its own members (other trees deal other chunks); in round 2 the members that are not in the leaf's
@@ -155,11 +157,11 @@ def _groups(batches, columns: list[str]):
 def _split(rows: pa.Table, columns: list[str]):
     leaf = rows.column("leaf").to_numpy()
     edge = np.concatenate([[0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]])
-    data = {c: rows.column(c).to_numpy() for c in columns if c != "sketch"}
-    marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    data = {c: rows.column(c).to_pylist() if c == "items" else rows.column(c).to_numpy() for c in columns if c != "sketch"}
+    data["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b - a > 1:
-            yield {c: v[a:b] for c, v in data.items()} | {"sketch": marks[a:b]}
+            yield {c: v[a:b] for c, v in data.items()}
 
 
 def _alike(sketch: np.ndarray, n: np.ndarray, lo: int, hi: int, percent: int) -> np.ndarray:
@@ -189,26 +191,71 @@ def sparse_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(_dealt(rows.select("leaf", "rep", "n_shingles", "sketch")), run, "a long, b long")
 
 
-def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All candidates between components: pairs (a, b) of rows (tree, leaf, rep, n_shingles, sketch, component, home).
+_PLACE = ["tree", "leaf", "rep", "n_shingles", "component", "home", "sketch"]
+
+
+def _cross(g: dict, percent: int):
+    """(i, j, equal sketch bytes) of all candidates between components in a leaf, in blocks.
 
     Visitors (not home) meet only members at home.  A pair that an earlier tree has held together is left to that one."""
+    rep, comp, home, mark, tree = g["rep"], g["component"], g["home"].astype(bool), g["sketch"], int(g["tree"][0])
+    for lo in range(0, len(rep), 128):
+        hi = min(lo + 128, len(rep))
+        same = _alike(mark, g["n_shingles"], lo, hi, percent)
+        i, j = np.nonzero((same > 0) & (comp[lo:hi, None] != comp[None, :]) & (home[lo:hi, None] | home[None, :]) & (rep[lo:hi, None] < rep[None, :]))
+        if len(i):
+            eq = mark[lo + i][:, :tree * DEPTH] == mark[j][:, :tree * DEPTH]
+            fresh = ~eq.reshape(len(i), tree, DEPTH).all(2).any(1) if tree else np.ones(len(i), bool)
+            yield lo + i[fresh], j[fresh], same[i, j][fresh]
+
+
+def involved(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of leaves (columns _PLACE) that have a candidate in another component."""
     def run(batches):
-        for g in _groups(batches, ["rep", "n_shingles", "tree", "component", "home", "sketch"]):
-            rep, comp, home, mark, tree = g["rep"], g["component"], g["home"].astype(bool), g["sketch"], int(g["tree"][0])
-            at_home = np.flatnonzero(home)
-            for lo in range(0, len(rep), 128):
-                hi = min(lo + 128, len(rep))
-                same = _alike(mark, g["n_shingles"], lo, hi, percent)
-                keep = (same > 0) & (comp[lo:hi, None] != comp[None, :]) & (home[lo:hi, None] | home[None, :]) & (rep[lo:hi, None] < rep[None, :])
-                i, j = np.nonzero(keep)
-                if len(i):
-                    eq = mark[lo + i][:, :tree * DEPTH] == mark[j][:, :tree * DEPTH]
-                    earlier = eq.reshape(len(i), tree, DEPTH).all(2).any(1) if tree else np.zeros(len(i), bool)
-                    i, j = i[~earlier], j[~earlier]
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[lo + i]), pa.array(rep[j])], ["a", "b"])
+        for g in _groups(batches, _PLACE):
+            has = np.zeros(len(g["rep"]), bool)
+            for i, j, _ in _cross(g, percent):
+                has[i] = has[j] = True
+            if has.any():
+                out = {c: pa.array(g[c][has]) for c in _PLACE if c != "sketch"}
+                out["sketch"] = pa.array([r.tobytes() for r in g["sketch"][has]], pa.binary())
+                yield pa.RecordBatch.from_arrays([out[c] for c in _PLACE], _PLACE)
+
+    rows = _dealt(rows.select(*_PLACE))
+    return map_arrow(rows, run, rows.schema)
+
+
+def cross_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between components in leaves (columns _PLACE and items, the full set); a pair that links of its leaf already connect is not tested."""
+    def run(batches):
+        for g in _groups(batches, [*_PLACE, "items"]):
+            rep, comp, links, parent = g["rep"].tolist(), g["component"].tolist(), [], {}
+
+            def find(c):
+                while c in parent:
+                    c = parent[c]
+                return c
 
-    return map_arrow(_dealt(rows.select("tree", "leaf", "rep", "n_shingles", "sketch", "component", "home")), run, "a long, b long")
+            for i, j, same in _cross(g, percent):
+                for k in np.argsort(-same, kind="stable").tolist():
+                    a, b = int(i[k]), int(j[k])
+                    x, y = find(comp[a]), find(comp[b])
+                    if x != y and _reaches(g["items"][a], g["items"][b], percent):
+                        parent[max(x, y)] = min(x, y)
+                        links.append((rep[a], rep[b]))
+            if links:
+                u, v = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return map_arrow(_dealt(rows.select(*_PLACE, "items")), run, "u long, v long")
+
+
+def _reaches(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two full sets, given as sorted hashes, reach the similarity."""
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -217,39 +264,37 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 # --- confirmation ----------------------------------------------------------------------------
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the similarity."""
-    pairs = cut(pairs.distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "f1"), "rep")
+def full_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(rep, items) of the representatives in ``needed`` (column rep): items are the sorted hashes of the whole set."""
+    needed = needed.select("rep").distinct().join(reps.select("rep", "f1"), "rep")
     texts = docs.join(needed, docs.doc_id == needed.rep).select("rep", "f1", "text")
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for start, texts in chunks(batch.column("text")):
                 values, n = shingle_sets(texts, width)
                 ends = np.cumsum(n)
                 f1 = np.zeros(len(n), np.uint64)
                 f1[n > 0] = _sums(mix(values), (ends - n)[n > 0])
-                right = f1.view(np.int64) == batch.column("f1").slice(start, len(texts)).to_numpy()
-                keep = np.flatnonzero(right)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("rep").slice(start, len(texts)).to_numpy()[keep]), pa.array([values[ends[i] - n[i]:ends[i]].tobytes() for i in keep], pa.binary())], ["rep", "items"])
+                # an id may stand for several texts; the representative's is told by its set
+                keep = np.flatnonzero(f1.view(np.int64) == batch.column("f1").slice(start, len(texts)).to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(batch.column("rep").slice(start, len(texts)).to_numpy()[keep]),
+                     pa.array([values[ends[i] - n[i]:ends[i]].tobytes() for i in keep], pa.binary())], ["rep", "items"])
+
+    return cut(map_arrow(texts, run, "rep long, items binary").dropDuplicates(["rep"]))
 
-    full = cut(map_arrow(texts, sets, "rep long, items binary").dropDuplicates(["rep"]))
 
-    def test(batches):
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose full sets reach the similarity."""
+    def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            ok = [_reaches(x, y, percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], ["u", "v"])
 
-    first, second = full.select(F.col("rep").alias("a"), F.col("items").alias("x")), full.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    return cut(map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), test, "u long, v long"))
+    first, second = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
+    return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -263,7 +308,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     marks = reps.select("rep", "n_shingles", "sketch")
 
     near = small.select("leaf", "rep").unionByName(large.select(F.xxhash64("leaf", _own_chunk()).alias("leaf"), "rep"))
-    links = confirm(sparse_pairs(near.join(marks, "rep"), percent), docs, reps, width, percent)
+    pairs = cut(sparse_pairs(near.join(marks, "rep"), percent).distinct())
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    links = cut(confirm(pairs, full_sets(ends, docs, reps, width), percent))
     comp = cut(components(links))
 
     named = lambda rows: rows.join(comp, rows.rep == comp.node, "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
@@ -276,7 +323,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     everywhere = F.sequence(F.lit(0), _chunks_of(F.col("members")) - 1)
     open_ = open_.withColumn("chunk", F.explode(F.when(F.col("component") == F.col("main"), F.array(_own_chunk())).otherwise(everywhere)))
     visiting = open_.select("tree", F.xxhash64("leaf", "chunk").alias("leaf"), "rep", "component", (F.col("chunk") == _own_chunk()).alias("home"))
-    more = confirm(cross_pairs(at_home.unionByName(visiting).join(marks, "rep"), percent), docs, reps, width, percent)
+    meeting = cut(involved(at_home.unionByName(visiting).join(marks, "rep"), percent))
+    more = cut(cross_links(meeting.join(full_sets(meeting, docs, reps, width), "rep"), percent))
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)))
 

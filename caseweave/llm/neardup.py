@@ -1,10 +1,11 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-A document is the set of its distinct word shingles.  Documents with equal sets are one representative.  ``TREES``
+A document is the set of its distinct word shingles.  Documents with equal sets are one representative.  Several
 independent trees branch the representatives by minwise tokens: a node's members go to the child named by their minimum
 under the node's hash function, so a pair stays together with a chance that is its similarity.  A node of at most
 ``LEAF`` members is compared exhaustively by sketches; a larger one branches on, down to ``DEPTH`` tokens.  A pair of
-similarity s is together in a leaf of some tree with a chance of at least 1 - (1 - s ** DEPTH) ** TREES.
+similarity s is together in a leaf of some tree with a chance of at least 1 - (1 - s ** DEPTH) ** trees; there are as
+many trees as make this ``RECALL`` at the similarity asked for.
 
 Candidates are confirmed on full sets.  As links matter only for what they connect, confirmation has two rounds:
 
@@ -17,7 +18,8 @@ Members that DEPTH tokens cannot tell apart are near copies, and a leaf of these
 chunks by hash: in round 1 each chunk pairs its own members (other trees deal other chunks); in round 2 the members that are not in the leaf's
 largest component visit all its chunks, so each still meets everyone.
 
-The sketch of a pair is off by more than ``SLACK`` with a chance below one in ten thousand.  No partner or candidate is
+The sketch of a pair at the similarity asked for falls short of the candidates' bound, ``SIGMAS`` standard deviations
+lower, with a chance below one in ten thousand.  No partner or candidate is
 capped, and no leaf is sampled.
 
 Null, empty and word-free texts have an empty set, link with nothing and are kept.  A null doc_id cannot be linked and is
@@ -27,6 +29,8 @@ whole.  Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,12 +40,28 @@ from ..session import cut
 from .common import join_hot, map_arrow, table
 from .textwork import LOWER, Words, chunks, mix, windows
 
-TREES = 16
+RECALL = 0.99999
 DEPTH = 4
 FIRST = 2                        # tokens by which the root branches at once; it is larger than a leaf in any case
 LEAF = 100
-SKETCH = 128                     # minwise tokens, of which the sketch keeps one byte each; the first TREES * DEPTH are the trees'
-SLACK = 0.125
+SKETCH = 128                     # minwise tokens, of which the sketch keeps one byte each; the first ones are the trees'
+SIGMAS = 4
+
+
+def trees_for(percent: int) -> int:
+    """Independent trees that reach RECALL at a similarity; their tokens must be among the sketch's."""
+    miss = 1 - (percent / 100) ** DEPTH
+    trees = math.ceil(math.log(1 - RECALL) / math.log(miss)) if miss > 0 else 1
+    if trees * DEPTH > SKETCH:
+        raise ValueError(f"{percent} % needs {trees} trees of {DEPTH} tokens; raise SKETCH or lower DEPTH or RECALL")
+    return trees
+
+
+def least_equal(percent: int) -> float:
+    """Equal sketch bytes that make a candidate: bytes of different tokens are equal once in 256."""
+    s = percent / 100
+    s -= SIGMAS * math.sqrt(s * (1 - s) / SKETCH)
+    return SKETCH * (s + (1 - s) / 256)
 
 
 # --- sets and sketches -----------------------------------------------------------------------
@@ -75,7 +95,7 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, edges) if len(edges) else values[:0]
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
+def sketch(docs: DataFrame, width: int, trees: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, tokens, sketch) of docs (doc_id, text): f1 and f2 identify the set."""
     def run(batches):
         for batch in batches:
@@ -92,13 +112,13 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     for k in range(SKETCH):
                         least[some, k] = np.minimum.reduceat(x * _FACTOR[k] + _SHIFT[k], edges)
                 out["n"].append(n), out["f1"].append(f1), out["f2"].append(f2)
-                out["tokens"].append(least[:, :TREES * DEPTH].view(np.int32))
+                out["tokens"].append(np.ascontiguousarray(least[:, :trees * DEPTH]).view(np.int32))
                 out["sketch"].append(((least * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8))
             if not out["n"]:
                 continue
             cat = {k: np.concatenate(v) for k, v in out.items()}
             rows = len(cat["n"])
-            tokens = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * TREES * DEPTH), pa.array(cat["tokens"].ravel()))
+            tokens = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (trees * DEPTH)), pa.array(cat["tokens"].ravel()))
             sketches = pa.array([r.tobytes() for r in cat["sketch"]], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cat["n"].astype(np.int64)), pa.array(cat["f1"].view(np.int64)), pa.array(cat["f2"].view(np.int64)), tokens, sketches],
                                              ["doc_id", "n_shingles", "f1", "f2", "tokens", "sketch"])
@@ -109,11 +129,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 # --- trees -----------------------------------------------------------------------------------
 
-def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
     """Rows (tree, leaf, rep, members) of leaves with two members at least: those within LEAF, and the larger ones of full depth."""
     levels = range(FIRST, DEPTH + 1)
     path = lambda k: F.xxhash64("tree", F.slice("tokens", F.col("tree") * DEPTH + 1, F.lit(k)))
-    rows = reps.select("rep", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = reps.select("rep", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.select("rep", "tree", *[path(k).alias(f"p{k}") for k in levels])
     small = None
     for k in levels:
@@ -167,8 +187,7 @@ def _split(rows: pa.Table, columns: list[str]):
 def _alike(sketch: np.ndarray, n: np.ndarray, lo: int, hi: int, percent: int) -> np.ndarray:
     """Candidate matrix of the rows lo..hi against all: sizes that allow the similarity, and sketches near it."""
     same = (sketch[lo:hi, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
-    least = percent / 100 - SLACK
-    close = same >= SKETCH * (least + (1 - least) / 256)
+    close = same >= least_equal(percent)
     a, b = n[lo:hi, None], n[None, :]
     return np.where(close & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)), same, 0)
 
@@ -300,11 +319,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = cut(sketch(docs, width))
+    trees = trees_for(percent)
+    sketched = cut(sketch(docs, width, trees))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     reps = cut(sketched.where(linkable).groupBy("f1", "f2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
-    small, large = leaves(reps)
+    small, large = leaves(reps, trees)
     marks = reps.select("rep", "n_shingles", "sketch")
 
     near = small.select("leaf", "rep").unionByName(large.select(F.xxhash64("leaf", _own_chunk()).alias("leaf"), "rep"))

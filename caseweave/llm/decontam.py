@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import map_arrow, table
+from .textwork import slices
 
 WINDOW = 10
 SHINGLE = 3
@@ -127,7 +128,7 @@ def _count(docs: DataFrame, index: Index) -> dict[int, int]:
     index.watch({c for w in index.windows for c in index.shingles(w)})
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids, first = index.ids(batch.column("text").to_pylist())
             doc_end = np.repeat(first[1:], np.diff(first))
             for at, code in index.found(ids):
@@ -167,7 +168,7 @@ def _mark(docs: DataFrame, index: Index) -> DataFrame:
     cols = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             first, hits = index.occurrences(batch.column("text").to_pylist())
             spans, items = [list(x) for x in batch.column("spans").to_pylist()], [set(x) for x in batch.column("items").to_pylist()]
             for d, begin, end, window in hits:
@@ -215,7 +216,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         index = _ready(items, texts, window)
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 hit = np.zeros(batch.num_rows, bool)
                 for d, _, _, _ in index.occurrences(batch.column("text").to_pylist())[1]:
                     hit[d] = True

@@ -57,6 +57,17 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in smaller ones, of about CHUNK bytes of a string column each, without copying."""
+    for batch in batches:
+        start = 0
+        for at, texts in chunks(batch.column(column)):
+            yield batch.slice(at, len(texts))
+            start = at + len(texts)
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 class Words:
     """Words of a chunk: ``starts``/``ends`` in ``buf``, ``doc`` of each, ``first`` word index of each document (one more at the end)."""
 

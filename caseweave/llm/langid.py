@@ -7,7 +7,8 @@ margin to the second is narrow.
 Fit: at most ``DICT_BYTES`` of text per language, up to ``DOC_CHARS`` of each of a bounded, reproducible sample of
 ``SAMPLE_DOCS`` labelled documents per language (those with the smallest md5 of their id).  Texts are compared in lower
 case with everything but letters folded into single spaces, so capitals and symbols say nothing about the language.
-Texts are compressed whole.
+Texts are compressed whole, in slices of ``SLICE`` bytes that each see the fresh dictionary; sizes and margin are those of all slices
+together, so every part of a text of any length has its say.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected, as is everything where no language was
 learned.  Ties go to the language with the most labelled documents, then to the first in code point order.  Repeated rows are predicted each; extra columns are
@@ -28,6 +29,8 @@ from .common import fold, hash_order, map_arrow, table
 SAMPLE_DOCS = 200
 DOC_CHARS = 2_000
 DICT_BYTES = 120_000
+#: Bytes compressed at once.  The window is made for DOC_CHARS beside the dictionary, which is out of sight some 128 KB on.
+SLICE = 4_000
 LEVEL = 12
 MIN_MATCH = 3
 #: Predictions whose relative margin is below this are rejected.
@@ -76,8 +79,9 @@ class Judge:
         plain = normalise(text) if text else ""
         if not plain or not self.langs:
             return "und", 0.0, False
-        raw = plain.encode()
-        sizes = [len(c.compress(raw)) for c in self.compressors]
+        raw = memoryview(plain.encode())
+        slices = [raw[i:i + SLICE] for i in range(0, len(raw), SLICE)]
+        sizes = [sum(len(c.compress(part)) for part in slices) for c in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
         gap = (rest - sizes[best]) / rest

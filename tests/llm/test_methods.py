@@ -32,6 +32,18 @@ def test_language_held_out_accuracy(spark):
     assert m.accepted.mean() > 0.98
 
 
+def test_language_of_every_part_counts(spark):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    judge = langid.Judge(langid.fit(rows), langid.MARGIN)
+    held = {lang: " ".join(r["text"] for r in rows.where((rows.lang == lang) & rows.text.isNotNull()).orderBy("doc_id").select("text").collect())
+            for lang in ("en", "de")}
+    long = lambda lang, size: (held[lang] * (size // len(held[lang]) + 1))[:size]
+    short = judge(long("en", 100_000))
+    clean = judge(long("en", 4_000_000))
+    assert clean[0] == "en" and clean[2] and clean[1] > 0.99 and short[2]
+    assert judge(long("en", 150_000) + " " + long("de", 2_000_000))[0] == "de"
+
+
 def test_quality_held_out(spark):
     out = QUERIES["op4_quality"](spark, FOLDER).toPandas()
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").toPandas()

@@ -4,7 +4,10 @@ Documents that share a link (here: equal texts) should lie in one shard, and the
 
 * Documents start in a shard picked by hash.  Copies of one text that lie in one shard are held as one block (link,
   shard, bytes): they are interchangeable, so a text with a third of all rows is at most as many rows as there are shards.
-* Each round joins the blocks with the blocks of their neighbours (same link), picks the shard where most neighbours are
+* Links of at most ``SLACK`` of a shard come last and always whole: each asks for the shard where most of it is, which
+  admits them up to its capacity; those left over ask again, shards drawn in proportion to their room.  Where unlinked documents are less
+  than ``SLACK`` of a shard, capacity is that much above the mean, so some shard has room until all are placed.
+* Larger links go first.  Each round joins the blocks with the blocks of their neighbours (same link), picks the shard where most neighbours are
   and room is left, and moves there what that shard's quota admits: a link's other blocks all together, so a link that
   is whole stays whole, or units of a link larger than a shard towards more neighbours only, so that it fills one shard
   after the other.  Hence rounds come to rest; each is a written table.
@@ -18,6 +21,8 @@ no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import Rounds, cut
@@ -26,6 +31,8 @@ from .common import BUCKET_ROWS, buckets_for, hash_bucket, hash_order, join_hot,
 SHARDS = 24
 #: Rounds in which every link has come to rest in practice; more are an error rather than a silent stop.
 MAX_ROUNDS = 200
+#: Part of a shard up to which a link is always whole; with the unlinked documents at least this much room is above the mean.
+SLACK = 0.005
 #: Size classes of unlinked documents, as parts of a shard's capacity.
 CLASSES = (16, 128, 1024)
 
@@ -88,6 +95,35 @@ def _deal(start: "F.Column", size: "F.Column", bounds: "F.Column") -> "F.Column"
     return F.least(below, F.size(bounds) - 1)
 
 
+def gather(blocks: DataFrame, room: list[int]) -> DataFrame:
+    """Blocks (link, shard, bytes, unit), one per link: each link of these blocks whole in one shard, none beyond its room.
+
+    No link may be larger than the mean room that is left once all others are placed."""
+    room, shards, most = list(room), len(room), F.max(F.struct("bytes", F.xxhash64("link", "shard").alias("lot"), "shard")).alias("most")
+    links = blocks.groupBy("link").agg(F.sum("bytes").alias("bytes"), F.max("unit").alias("unit"), most)
+    waiting = cut(links.select("link", "bytes", "unit", F.col("most.shard").alias("shard")))
+    placed = None
+    for turn in range(MAX_ROUNDS):
+        left, largest = waiting.agg(F.count(F.lit(1)), F.max("bytes")).first()
+        if not left:
+            return waiting.select("link", "shard", "bytes", "unit") if placed is None else placed
+        if turn:
+            bounds, end = [], 0
+            for x in room:
+                end += x if x >= largest else 0
+                bounds.append(end)
+            draw = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(max(end, 1)))
+            waiting = waiting.withColumn("shard", F.least(F.size(F.filter(_array(bounds), lambda b: b <= draw)), F.lit(shards - 1)).cast("int"))
+        asking = waiting.withColumn("b", hash_bucket(F.md5("link"), buckets_for(left)))
+        asking = running_sum(asking, ["shard"], "b", ["link"], "bytes", "ahead")
+        asking = cut(asking.withColumn("in", F.col("ahead") + F.col("bytes") <= F.element_at(_array(room), F.col("shard") + 1)))
+        came = asking.where("in").select("link", "shard", "bytes", "unit")
+        room = [x - y for x, y in zip(room, _loads(came, shards))]
+        placed = came if placed is None else placed.unionByName(came)
+        waiting = asking.where(~F.col("in")).select("link", "bytes", "unit", "shard")
+    raise RuntimeError("links did not find a shard")
+
+
 def shard_by_links(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds ``shard`` to nodes (doc_id, size, link, ...): links together as far as capacity lets, bytes near equal."""
     nodes = cut(nodes.withColumn("key", hash_order()))
@@ -100,7 +136,12 @@ def shard_by_links(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.sum("size").alias("bytes"), F.max("size").alias("unit"), F.count(F.lit(1)).alias("n"))
     link = Window.partitionBy("link")                       # at most one row per shard
     dealt = cut(dealt.withColumn("copies", F.sum("n").over(link)).withColumn("unit", F.max("unit").over(link)).where("copies > 1"))
-    blocks = propagate(dealt.select("link", "shard", "bytes", "unit"), shards, capacity)
+    unlinked = total - (dealt.agg(F.sum("bytes")).first()[0] or 0)
+    limit = math.ceil(capacity * SLACK)
+    top = capacity + max(0, limit - unlinked // shards)
+    parts = dealt.withColumn("small", F.sum("bytes").over(link) <= limit).select("link", "shard", "bytes", "unit", "small")
+    blocks = propagate(parts.where(~F.col("small")).drop("small"), shards, top)
+    blocks = blocks.unionByName(gather(parts.where("small").drop("small"), [max(0, top - x) for x in _loads(blocks, shards)]))
 
     upto = Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ends = blocks.withColumn("end", F.sum("bytes").over(upto)).groupBy("link").agg(

@@ -185,6 +185,15 @@ def test_sharding_splits_a_hot_group_only(spark):
     assert sum(len(s) > 1 for k, s in groups.items() if k and k != "hot") == 0
 
 
+def test_sharding_where_every_text_has_a_copy(spark):
+    """Without a single document to level the shards, links still come together and bytes are near equal."""
+    rows = [(i, 80 + (i // 2) % 40, f"g{i // 2}") for i in range(8_000)]
+    out = sharding.shard_by_links(spark.createDataFrame(rows, "doc_id long, size long, link string"), 12).collect()
+    loads, groups = check_shards(out, 12)
+    assert len(out) == 8_000 and all(len(s) == 1 for s in groups.values())
+    assert max(loads) < 1.01 * sum(loads) / 12 and min(loads) > 0.94 * sum(loads) / 12
+
+
 def test_mix_is_fair(spark):
     out = mixing.mix(spark.read.parquet(f"{FOLDER}/documents.parquet")).toPandas()
     by = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))

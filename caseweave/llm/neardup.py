@@ -12,7 +12,8 @@ Candidates are confirmed on full sets.  As links matter only for what they conne
 1. in each leaf every member is paired with its most similar predecessor; the confirmed links give components;
 2. in each leaf the remaining candidates between different components are confirmed, all of them.  Here the full sets
    of the members that have such candidates come to the leaf and only links leave it, so a large group of texts that are
-   nearly similar enough makes no table of pairs.
+   nearly similar enough makes no table of pairs.  A pair that an earlier tree held is left to that tree: one whose
+   DEPTH tokens are equal, told by a 32-bit hash of these per tree, so a pair is wrongly left with a chance below 1e-8.
 
 Members that DEPTH tokens cannot tell apart are near copies, and a leaf of these may be of any size.  It is dealt into
 chunks by hash: in round 1 each chunk pairs its own members (other trees deal other chunks); in round 2 the members that are not in the leaf's
@@ -148,6 +149,12 @@ def leaves(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
     return small, large
 
 
+def with_paths(marks: DataFrame, trees: int) -> DataFrame:
+    """Adds ``paths`` to marks (tokens, ...), in place of the tokens: a hash of the full-depth path in each tree."""
+    path = lambda t: F.shiftright(F.xxhash64(F.slice("tokens", t * DEPTH + 1, F.lit(DEPTH))), 32).cast("int")
+    return marks.withColumn("paths", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), path)).drop("tokens")
+
+
 def _chunks_of(members: Column) -> Column:
     return F.ceil(members / LEAF).cast("int")
 
@@ -174,14 +181,24 @@ def _groups(batches, columns: list[str]):
         yield from _split(held, columns)
 
 
+def _paths(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(path hashes of all rows, one after the other; where each row's begin, and the end)."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+
+
 def _split(rows: pa.Table, columns: list[str]):
     leaf = rows.column("leaf").to_numpy()
     edge = np.concatenate([[0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]])
-    data = {c: rows.column(c).to_pylist() if c == "items" else rows.column(c).to_numpy() for c in columns if c != "sketch"}
+    data = {c: rows.column(c).to_pylist() if c == "items" else rows.column(c).to_numpy() for c in columns if c not in ("sketch", "paths")}
     data["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    paths, begin = _paths(rows.column("paths")) if "paths" in columns else (None, None)
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b - a > 1:
-            yield {c: v[a:b] for c, v in data.items()}
+            group = {c: v[a:b] for c, v in data.items()}
+            if paths is not None:                           # a leaf is of one tree, so its rows have equally many
+                group["paths"] = paths[begin[a]:begin[b]].reshape(b - a, -1) if begin[b] > begin[a] else np.zeros((b - a, 0), np.int32)
+            yield group
 
 
 def _alike(sketch: np.ndarray, n: np.ndarray, lo: int, hi: int, percent: int) -> np.ndarray:
@@ -210,21 +227,20 @@ def sparse_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(_dealt(rows.select("leaf", "rep", "n_shingles", "sketch")), run, "a long, b long")
 
 
-_PLACE = ["tree", "leaf", "rep", "n_shingles", "component", "home", "sketch"]
+_PLACE = ["tree", "leaf", "rep", "n_shingles", "component", "home", "sketch", "paths"]
 
 
 def _cross(g: dict, percent: int):
     """(i, j, equal sketch bytes) of all candidates between components in a leaf, in blocks.
 
     Visitors (not home) meet only members at home.  A pair that an earlier tree has held together is left to that one."""
-    rep, comp, home, mark, tree = g["rep"], g["component"], g["home"].astype(bool), g["sketch"], int(g["tree"][0])
+    rep, comp, home, mark, paths = g["rep"], g["component"], g["home"].astype(bool), g["sketch"], g["paths"]
     for lo in range(0, len(rep), 128):
         hi = min(lo + 128, len(rep))
         same = _alike(mark, g["n_shingles"], lo, hi, percent)
         i, j = np.nonzero((same > 0) & (comp[lo:hi, None] != comp[None, :]) & (home[lo:hi, None] | home[None, :]) & (rep[lo:hi, None] < rep[None, :]))
         if len(i):
-            eq = mark[lo + i][:, :tree * DEPTH] == mark[j][:, :tree * DEPTH]
-            fresh = ~eq.reshape(len(i), tree, DEPTH).all(2).any(1) if tree else np.ones(len(i), bool)
+            fresh = ~(paths[lo + i] == paths[j]).any(1)
             yield lo + i[fresh], j[fresh], same[i, j][fresh]
 
 
@@ -236,7 +252,10 @@ def involved(rows: DataFrame, percent: int) -> DataFrame:
             for i, j, _ in _cross(g, percent):
                 has[i] = has[j] = True
             if has.any():
-                out = {c: pa.array(g[c][has]) for c in _PLACE if c != "sketch"}
+                out = {c: pa.array(g[c][has]) for c in _PLACE if c not in ("sketch", "paths")}
+                earlier = g["paths"][has]
+                out["paths"] = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(earlier) + 1, dtype=np.int32) * earlier.shape[1]), pa.array(earlier.ravel(), pa.int32()))
                 out["sketch"] = pa.array([r.tobytes() for r in g["sketch"][has]], pa.binary())
                 yield pa.RecordBatch.from_arrays([out[c] for c in _PLACE], _PLACE)
 
@@ -343,7 +362,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     everywhere = F.sequence(F.lit(0), _chunks_of(F.col("members")) - 1)
     open_ = open_.withColumn("chunk", F.explode(F.when(F.col("component") == F.col("main"), F.array(_own_chunk())).otherwise(everywhere)))
     visiting = open_.select("tree", F.xxhash64("leaf", "chunk").alias("leaf"), "rep", "component", (F.col("chunk") == _own_chunk()).alias("home"))
-    meeting = cut(involved(at_home.unionByName(visiting).join(marks, "rep"), percent))
+    placed = at_home.unionByName(visiting).join(with_paths(reps.select("rep", "n_shingles", "sketch", "tokens"), trees), "rep")
+    placed = placed.withColumn("paths", F.slice("paths", F.lit(1), F.col("tree")))         # those of earlier trees
+    meeting = cut(involved(placed, percent))
     more = cut(cross_links(meeting.join(full_sets(meeting, docs, reps, width), "rep"), percent))
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)))

@@ -155,6 +155,18 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert {i: r["n_shingles"] for i, r in out.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_near_duplicates_pair_not_held_before_is_tested(spark):
+    """Equal sketch bytes of an earlier tree's tokens do not stand for equal tokens."""
+    schema = "tree int, leaf long, rep long, n_shingles long, component long, home boolean, sketch binary, paths array<int>"
+    row = lambda rep, leaf, path: (1, leaf, rep, 50, rep, True, bytes(neardup.SKETCH), [path])
+    rows = [row(1, 7, 3), row(2, 7, 4), row(3, 8, 5), row(4, 8, 5)]     # the first tree held 3 and 4 only
+    found = neardup.involved(spark.createDataFrame(rows, schema), 85).collect()
+    assert sorted((r["rep"], list(r["paths"])) for r in found) == [(1, [3]), (2, [4])]
+    tokens = [(1, [5] * 8), (2, [5] * 4 + [6] * 4)]
+    a, b = (r["paths"] for r in neardup.with_paths(spark.createDataFrame(tokens, "rep long, tokens array<int>"), 2).orderBy("rep").collect())
+    assert a[0] == b[0] and a[1] != b[1]
+
+
 def check_shards(rows, shards):
     load, groups = Counter(), defaultdict(set)
     for r in rows:

@@ -6,7 +6,7 @@ against held-out accuracy, plain counts and the laws of the result.
 
 from __future__ import annotations
 
-from . import chatfmt, decontam, langid, mixing, neardup, quality, rules, sharding, urlfilter, warc
+from . import chatfmt, decontam, langid, mixing, neardup, quality, rules, runs, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_rules": rules.op9_rules,
     "op10_mixing": mixing.op10_mixing,
+    "op11_periodic_runs": runs.op11_periodic_runs,
 }
 ORACLE = {
     "op2_warc": warc.ORACLE,

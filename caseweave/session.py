@@ -75,6 +75,12 @@ def _filesystem(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate files below the shared one."""
+    fs, hadoop = _filesystem(spark, path)
+    fs.delete(hadoop, True)
+
+
 class Rounds:
     """Tables of an iteration: ``next`` writes a round and drops the one before the last."""
 

@@ -6,7 +6,10 @@ import math
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A key with more than 1/HOT of the rows is hot, so there are fewer than HOT of them at any size.
@@ -48,6 +51,26 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def consecutive(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(values, rows) of consecutive rows that have the same whole numbers in the columns ``by``."""
+    last, held = None, []
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        new = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for a, b in zip(edges, edges[1:]):
+            values = tuple(int(c[a]) for c in cols)
+            if values != last and held:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = values
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(c, _UPPER, _LOWER)

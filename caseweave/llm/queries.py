@@ -6,7 +6,7 @@ against held-out accuracy, plain counts and the laws of the result.
 
 from __future__ import annotations
 
-from . import chatfmt, decontam, langid, mixing, neardup, quality, rules, runs, sharding, urlfilter, warc
+from . import chatfmt, decontam, kdtree, langid, mixing, neardup, phrases, quality, rules, runs, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -20,6 +20,8 @@ QUERIES = {
     "op9_rules": rules.op9_rules,
     "op10_mixing": mixing.op10_mixing,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_top_k": kdtree.op12_top_k,
+    "op13_collocations": phrases.op13_collocations,
 }
 ORACLE = {
     "op2_warc": warc.ORACLE,
@@ -28,4 +30,6 @@ ORACLE = {
     "op7_url_filter": urlfilter.ORACLE,
     "op8_near_duplicates": neardup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_top_k": kdtree.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }

@@ -36,22 +36,25 @@ def _thin_rows(events: DataFrame) -> DataFrame:
     return keyed(rows.withColumn("core", F.col("core") & ~F.col(OLD)).drop(OLD), KEYS)
 
 
-def history_rows(events: DataFrame) -> DataFrame:
-    """Mergeable facts of each (address, bucket).
+def history_rows(events: DataFrame, by_bucket: bool = True) -> DataFrame:
+    """Mergeable facts of each (address, bucket), or of each address.
 
     Counts, first sight, last account and last login outcome come from a
     map-side-combined aggregate; the last 99 payload sizes from a row-number
     limit that Spark applies before the shuffle.
     """
-    ev = auth_columns(events).withColumn("bucket", F.floor(F.col("ts_us") / F.lit(BUCKET_US)).cast("long"))
+    ev = auth_columns(events)
+    if by_bucket:
+        ev = ev.withColumn("bucket", F.floor(F.col("ts_us") / F.lit(BUCKET_US)).cast("long"))
     if OLD in events.columns:
         ev = ev.where(~F.col(OLD))
-    by = KEYS + ["bucket"]
+    by = KEYS + ["bucket"] * by_bucket
     at = F.struct("ts_us", "event_id")
     facts = ev.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"),
         F.max_by("account", F.when(F.col("account").isNotNull(), at)).alias("acct"),
-        F.max_by("auth", F.when(F.col("auth").isNotNull(), at)).alias("outcome"))
+        F.max_by("auth", F.when(F.col("auth").isNotNull(), at)).alias("outcome"),
+        *([] if by_bucket else [F.max("ts_us").alias("last_us")]))
     recent = (ev.select(*by, "ts_us", "event_id", "payload_bytes")
               .withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts_us"), F.desc("event_id"))))
               .where(F.col("rn") < PAYLOAD_ROWS)
@@ -59,6 +62,18 @@ def history_rows(events: DataFrame) -> DataFrame:
     return facts.join(recent, by, "left")
 
 
+def merge_history(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per address from its earlier row and its newer one (``history_rows`` without buckets)."""
+    o, n = ({c: F.col(f"{side}.{c}") for c in old.columns} for side in ("o", "n"))
+    both = F.concat(F.coalesce(n["tail"], F.array()), F.coalesce(o["tail"], F.array()))
+    same = [o[k].eqNullSafe(n[k]) for k in KEYS]
+    return old.alias("o").join(new.alias("n"), same[0] & same[1], "full").select(
+        *[F.coalesce(n[k], o[k]).alias(k) for k in KEYS],
+        (F.coalesce(o["n"], F.lit(0)) + F.coalesce(n["n"], F.lit(0))).alias("n"), F.coalesce(o["first_us"], n["first_us"]).alias("first_us"),
+        F.coalesce(n["acct"], o["acct"]).alias("acct"), F.coalesce(n["outcome"], o["outcome"]).alias("outcome"),
+        F.coalesce(n["last_us"], o["last_us"]).alias("last_us"), F.slice(both, 1, PAYLOAD_ROWS - 1).alias("tail"))
+
+
 def _history(events: DataFrame, prior: DataFrame | None) -> DataFrame:
     """What each (address, bucket) inherits from earlier buckets: one small row per non-empty bucket.
 

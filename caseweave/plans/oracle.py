@@ -611,6 +611,7 @@ add("stream_rate_sliding", f"SELECT src_ip, start_ms, {_rate} FROM (SELECT *, (t
 add("stream_sessions", """SELECT src_ip, min(ts_us) // 1000 AS start_ms, max(ts_us) // 1000 + 300000 AS end_ms, count(*) AS requests FROM (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) AS grp_no FROM (
   SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) < 300000000 THEN 0 ELSE 1 END AS fresh FROM we)) GROUP BY src_ip, grp_no""")
 add("stream_rolling_features", "SELECT event_id, req_rate_60s, unique_paths_60s, path_entropy, payload_bytes_std, requests_this_session, auth_success_after_fails FROM feat")
+add("late_events", "SELECT event_id, mx - 600000000 - ts_us AS behind_us FROM we, (SELECT max(ts_us) AS mx, min(ts_us) AS mn FROM we) WHERE ts_us <= least(mx // 2 + mn // 2, mx - 600000000)")
 add("stream_fuse", "SELECT event_id, browser_telemetry_present, mouse_move_count, click_count FROM fz JOIN we USING (event_id) WHERE session_id IS NOT NULL")
 add("stream_classify", "SELECT event_id, pred_class, pred_confidence, attack_technique FROM en")
 add("stream_skip_paths", "SELECT event_id, url_path FROM we WHERE event_id % 3 <> 0")

@@ -730,7 +730,12 @@ def _replay(fn):
 QUERIES["stream_rate_tumbling"] = _replay(lambda st: live.rate_windows(st, replay.WHOLE_LOG))
 QUERIES["stream_rate_sliding"] = _replay(lambda st: live.rate_windows(st, replay.WHOLE_LOG, "60 seconds", "10 seconds"))
 QUERIES["stream_sessions"] = _replay(lambda st: live.activity_sessions(st, replay.WHOLE_LOG))
-QUERIES["stream_rolling_features"] = lambda s, d: replay.in_slices(E.web_events(s, d), live.rolling_features).select(
+def shuffled():
+    """Arrival of replayed rows: up to eight minutes after their time, in no order, under a watermark of ten."""
+    return F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(480)) * C.US
+
+
+QUERIES["stream_rolling_features"] = lambda s, d: replay.in_slices(E.web_events(s, d), live.rolling_features, arrival=shuffled()).select(
     "event_id", "req_rate_60s", "unique_paths_60s", "path_entropy", "payload_bytes_std", "requests_this_session", "auth_success_after_fails")
 
 
@@ -746,7 +751,7 @@ def _(s, d):
 @query("stream_classify")
 def _(s, d):
     tel, feeds = E.telemetry(s, d), Feeds.from_tables(s, d)
-    out = replay.in_slices(E.web_events(s, d), lambda st, f, o: live.classify_stream(st, tel, feeds, f, o))
+    out = replay.in_slices(E.web_events(s, d), lambda st, f, o: live.classify_stream(st, tel, feeds, f, o), arrival=shuffled())
     return out.select("event_id", "pred_class", "pred_confidence", "attack_technique")
 
 
@@ -782,16 +787,10 @@ def _(s, d):
 
 @query("late_events")
 def _(s, d):
-    """Rows older than the watermark by the time they arrive: the first half of the log replayed after the second."""
-    ev = E.web_events(s, d).select("tenant_id", "event_id", "ts", "ts_us", "src_ip", "url_path", "http_status")
+    """Rows behind the watermark when they arrive, and by how much: the first half of the log replayed after the second."""
+    ev = E.web_events(s, d)
     half = ev.agg(F.expr("max(ts_us) div 2 + min(ts_us) div 2")).first()[0]
-    path, out, offsets = (replay.scratch(s, n) for n in ("late", "late-out", "late-offsets"))
-    counted = []
-    for part in (F.col("ts_us") > half, F.col("ts_us") <= half):
-        ev.where(part).write.mode("append").parquet(path)
-        q = (live.rate_windows(s.readStream.schema(ev.schema).parquet(path), "10 minutes").writeStream.format("parquet")
-             .option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start())
-        q.awaitTermination()
-        counted.append(live.late_rows(q))
-    n = E.table(s, d, "events").agg(F.count(F.lit(1)).alias("events"))
-    return n.select("events", F.lit(sum(counted)).cast("long").alias("late_groups"))
+    folder = replay.scratch(s, "late")
+    arrival = F.when(F.col("ts_us") > half, F.lit(0)).otherwise(F.lit(1))
+    replay.in_slices(ev, live.rolling_features, 2, arrival, folder).count()
+    return live.AddressState(folder, 0).late_rows(s).select("event_id", (F.col("mark_us") - F.col("ts_us")).alias("behind_us"))

@@ -2,7 +2,7 @@
 
 Event time everywhere: a stream must carry ``ts`` with a watermark.  Rates and
 sessions are built-in windowed aggregates.  Exact per-request trailing features
-run the batch operators on each micro-batch and its recent past, kept in a
+run the batch operators on the rows that the watermark has passed and their recent past, kept as bounded versions in a
 shared folder; correlation re-runs the batch flow over the stored log.
 """
 
@@ -15,6 +15,7 @@ from .. import constants as C
 from ..functions import expr as X
 from ..operators import features
 from ..plans.pipeline import score_log
+from ..session import drop_folder
 from ..sources.feeds import Feeds
 
 def _rates() -> list:
@@ -70,72 +71,107 @@ def fuse(requests: DataFrame, telemetry: DataFrame, watermark: str = "10 minutes
                       F.col("b.t_ts").isNotNull().cast("int").alias("browser_telemetry_present"))
 
 
-class LogState:
-    """Shared-folder state of a log-backed stream: recent rows and mergeable history, one folder per batch.
+class AddressState:
+    """Bounded state of a stream of requests, in a shared folder: one version per micro-batch, made from the one before.
 
-    A retried batch overwrites its own folders, and nothing lives in executor
-    memory, so a lost executor or driver costs one batch.
+    ``waiting``: rows the watermark has not passed.  They are released in event-time order, so rows may arrive shuffled
+    within ``delay_us``.  ``recent``: released rows of the last five minutes, which trailing windows still reach.
+    ``life``: one mergeable row per address, forgotten ``ttl_us`` after its last request.  ``clock``: the watermark.
+    A row at or behind the watermark (or without a time) is late: it is kept in the table ``late`` and counts nowhere else.
+
+    A version is read by its successor alone, so what a batch reads follows the delay, the rate and the number of
+    addresses, not the age of the stream.  A retried batch makes its version again; the last two are kept.
     """
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    PARTS = ("waiting", "recent", "life", "clock")
+
+    def __init__(self, folder: str, delay_us: int, ttl_us: int | None = None):
+        self.folder, self.delay_us, self.ttl_us = folder, delay_us, ttl_us
 
-    def _earlier(self, spark: SparkSession, part: str, schema, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
+    def _path(self, part: str, version: int) -> str:
+        return f"{self.folder}/{part}/version={version}"
+
+    def _read(self, spark: SparkSession, part: str, version: int, schema=None) -> DataFrame | None:
+        if version < 0:
             return None
-        known = T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
-        return spark.read.schema(known).parquet(f"{self.folder}/{part}").where(F.col("batch") < batch_id).drop("batch")
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(self._path(part, version))
+
+    def _write(self, df: DataFrame, part: str, version: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(part, version))
+        return df.sparkSession.read.schema(df.schema).parquet(self._path(part, version))
 
-    def extend(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame | None]:
-        """The batch with the five minutes before it, and the history of its addresses."""
+    def step(self, batch: DataFrame, version: int, work) -> None:
+        """``work(rows, prior, now_us)`` gets the released rows with the recent ones (flag ``OLD``) and the history of their addresses."""
         spark = batch.sparkSession
-        rows = batch.withColumn(features.OLD, F.lit(False))
-        log = self._earlier(spark, "log", batch.schema, batch_id)
-        life = features.history_rows(batch)
-        prior = self._earlier(spark, "life", life.schema, batch_id)
-        start = batch.agg(F.min("ts_us")).first()[0]
-        if log is not None and start is not None:
-            recent = log.where(F.col("ts_us") >= start - features.HALO_US)
-            rows = rows.unionByName(recent.withColumn(features.OLD, F.lit(True)))
-            prior = prior.join(batch.select(*features.KEYS).distinct(), features.KEYS, "left_semi")
-        return rows, prior
-
-    def remember(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.folder}/log/batch={batch_id}")
-        # earlier batches sort before any real time bucket
-        life = features.history_rows(batch).withColumn("bucket", F.col("bucket") + (batch_id - 1_000_000) * 10_000_000)
-        life.write.mode("overwrite").parquet(f"{self.folder}/life/batch={batch_id}")
-
-
-def _each_batch(stream: DataFrame, folder: str, out: str, work) -> DataStreamWriter:
-    state = LogState(folder)
+        clock = self._read(spark, "clock", version - 1)
+        mark = clock.first()["mark_us"] if clock is not None else None
+        high = batch.agg(F.max("ts_us")).first()[0]
+        now = max((x for x in (mark, None if high is None else high - self.delay_us) if x is not None), default=None)
+        late = F.col("ts_us").isNull() if mark is None else F.col("ts_us").isNull() | (F.col("ts_us") <= mark)
+        (batch.where(late).withColumn("mark_us", F.lit(mark).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/late/batch={version}"))
+        rows = batch.where(~late)
+        before = self._read(spark, "waiting", version - 1, T.StructType(batch.schema.fields + [T.StructField("open", T.BooleanType())]))
+        if before is not None:
+            rows = rows.unionByName(before.where("open").drop("open"))
+        # one pass deals the rows to those released and those still waiting
+        passed = F.lit(False) if now is None else F.col("ts_us") <= now
+        rows.withColumn("open", ~passed).write.mode("overwrite").partitionBy("open").parquet(self._path("waiting", version))
+        known = T.StructType(batch.schema.fields + [T.StructField("open", T.BooleanType())])
+        ready = self._read(spark, "waiting", version, known).where(~F.col("open")).drop("open")
+        recent, life = self._read(spark, "recent", version - 1, batch.schema), self._read(spark, "life", version - 1)
+        start = ready.agg(F.min("ts_us")).first()[0]
+        seen, prior = ready.withColumn(features.OLD, F.lit(False)), None
+        if recent is not None and start is not None:
+            seen = seen.unionByName(recent.where(F.col("ts_us") >= start - features.HALO_US).withColumn(features.OLD, F.lit(True)))
+            # earlier than any real time bucket
+            prior = life.join(ready.select(*features.KEYS).distinct(), features.KEYS, "left_semi").drop("last_us").withColumn("bucket", F.lit(-1 << 40))
+        work(seen, prior, now)
+        own = features.history_rows(ready, by_bucket=False)
+        life = own if life is None else features.merge_history(life, own)
+        if self.ttl_us is not None and now is not None:
+            life = life.where(F.col("last_us") >= now - self.ttl_us)
+        self._write(life, "life", version)
+        reach = ready if recent is None else ready.unionByName(recent)
+        self._write(reach.where(F.col("ts_us") > (now or 0) - features.HALO_US), "recent", version)
+        self._write(spark.range(1).select(F.lit(now).cast("long").alias("mark_us")), "clock", version)
+        for part in self.PARTS:
+            if version >= 2:
+                drop_folder(spark, self._path(part, version - 2))
+
+    def late_rows(self, spark: SparkSession) -> DataFrame:
+        """All late rows so far, with the watermark each of them missed."""
+        return spark.read.parquet(f"{self.folder}/late")
+
+
+def _micros(text: str) -> int:
+    amount, unit = text.split()
+    return int(amount) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")] * C.US
+
+
+def _each_batch(stream: DataFrame, folder: str, out: str, work, delay: str, ttl: str | None) -> DataStreamWriter:
+    state = AddressState(folder, _micros(delay), _micros(ttl) if ttl else None)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        rows, prior = state.extend(batch, batch_id)
-        work(rows, prior).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        state.remember(batch, batch_id)
+        state.step(batch, batch_id, lambda rows, prior, now: work(rows, prior, now).write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 
     return stream.writeStream.foreachBatch(on_batch)
 
 
-def rolling_features(stream: DataFrame, folder: str, out: str) -> DataStreamWriter:
-    """Exact trailing features per request, by the batch sweep over each micro-batch and its recent past.
+def rolling_features(stream: DataFrame, folder: str, out: str, delay: str = "10 minutes", ttl: str | None = None) -> DataStreamWriter:
+    """Exact trailing features per request, once the watermark (``delay`` behind the newest row) has passed it.
 
-    All work stays in the JVM, and a hot address is split by time as in batch.
+    The batch sweep runs over the released rows and their recent past: all work stays in the JVM, and a hot address is
+    split by time as in batch.
     """
-    return _each_batch(stream, folder, out, features.rolling_features)
+    return _each_batch(stream, folder, out, lambda rows, prior, now: features.rolling_features(rows, prior), delay, ttl)
 
 
-def classify_stream(stream: DataFrame, telemetry: DataFrame, feeds: Feeds, folder: str, out: str) -> DataStreamWriter:
+def classify_stream(stream: DataFrame, telemetry: DataFrame, feeds: Feeds, folder: str, out: str, delay: str = "10 minutes", ttl: str | None = None) -> DataStreamWriter:
     """The whole request flow per micro-batch: features, fusion, rules, technique, enrichment, priority.
 
     Skipped paths are counted by the features and dropped afterwards.
     """
-    def work(rows: DataFrame, prior: DataFrame | None) -> DataFrame:
-        now = rows.agg(F.max("ts_us")).first()[0] or 0
-        return skip_paths(score_log(rows, telemetry, feeds, now, prior=prior))
-
-    return _each_batch(stream, folder, out, work)
+    return _each_batch(stream, folder, out, lambda rows, prior, now: skip_paths(score_log(rows, telemetry, feeds, now or 0, prior=prior)), delay, ttl)
 
 
 def correlate_every(stream: DataFrame, log_path: str, rebuild, interval: str = "15 seconds"):
@@ -151,10 +187,3 @@ def correlate_every(stream: DataFrame, log_path: str, rebuild, interval: str = "
         rebuild(batch.sparkSession, log_path, batch_id)
 
     return stream.writeStream.foreachBatch(on_batch).trigger(processingTime=interval)
-
-
-def late_rows(query) -> int:
-    """Rows a running or finished query dropped behind the watermark."""
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for p in query.recentProgress for op in p.get("stateOperators", []))
-

@@ -36,19 +36,23 @@ def as_stream(rows: DataFrame, files_per_trigger: int = 4) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def in_slices(rows: DataFrame, start, slices: int = 3) -> DataFrame:
-    """Feed the rows in event-time order, one slice per run of ``start(stream, folder, out)``; return the output.
+def in_slices(rows: DataFrame, start, slices: int = 3, arrival=None, folder: str | None = None) -> DataFrame:
+    """Feed the rows in the order of ``arrival`` (event time by default), one slice per run of ``start(stream, folder, out)``.
 
-    Every run continues from the same checkpoint, as a restarted stream does.
+    Every run continues from the same checkpoint, as a restarted stream does.  A last slice with one row far in the
+    future lets the watermark pass all others.  Returns the output.
     """
     spark = rows.sparkSession
-    source, folder, out, offsets = (scratch(spark, n) for n in ("slices", "state", "out", "offsets"))
-    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    source, state, out, offsets = (scratch(spark, n) for n in ("slices", "state", "out", "offsets"))
+    at = F.col("ts_us") if arrival is None else arrival
+    low, high = rows.agg(F.min(at), F.max(at)).first()
     width = (high - low) // slices + 1
-    for k in range(slices):
-        rows.where(F.col("ts_us").between(low + k * width, low + (k + 1) * width - 1)).write.mode("append").parquet(source)
+    parts = [rows.where(at.between(low + k * width, low + (k + 1) * width - 1)) for k in range(slices)]
+    parts.append(with_sentinel(rows).where(F.col("src_ip") == SENTINEL_IP))
+    for part in parts:
+        part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
-        start(stream, folder, out).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+        start(stream, folder or state, out).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 

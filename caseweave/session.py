@@ -95,6 +95,12 @@ class Rounds:
             fs.delete(old, True)
         return out
 
+    def drop(self) -> None:
+        """Drops the tables that are left."""
+        for path in self.paths:
+            drop_folder(self.spark, path)
+        self.paths = []
+
 
 _stages: dict[tuple, tuple[DataFrame, str]] = {}
 

@@ -7,16 +7,16 @@ cut into two parts, floor(1000 * a * n / (l * r)), and dropped where a longer ca
 1. A task gathers the texts of a language to a shard of about ``SHARD_BYTES`` and indexes it: the word ids with a 0 between
    pieces, and the Burrows-Wheeler transforms of this sequence and of its reverse, both in the order of the first
    four words, which is all that phrases of up to five words need.  The index is a file in the shared folder.
-2. Words are summed across shards; frequent ones go back to the shards that hold them.  Each shard extends them by one
-   word to the right, the pairs are summed across shards, and the frequent ones go back to the shards that hold their
-   first word.
-3. Each shard enumerates phrases of up to five words all of whose pairs are frequent, from interval to interval: the
-   symbols of the reverse transform inside a phrase's interval are its right extensions and their counts; the interval of an
-   extension follows from the first of its symbols (last-to-first mapping), the interval in the forward order from how
-   many symbols are smaller.  The forward transform gives the words to the left.  A phrase leaves the shard with its count
-   and with the word on either side if that is always the same; a phrase is as frequent as a longer one exactly if
-   all shards name the same word.
-4. Counts are summed across shards.  Parts of a frequent phrase are frequent, so cuts are joins with the same table.
+2. Level by level, a shard gets the frequent phrases of k words that it holds, with their intervals, and
+   extends them by one word.  The symbols of the reverse transform inside a phrase's interval are its right extensions
+   and their counts; an extension's interval in the forward order follows from how many symbols are smaller, the one in
+   the reverse order by last-to-first steps.  One step of the forward transform leads from an
+   extension to its last k words, which must be a frequent phrase too: it is this phrase's left extension.
+3. A phrase of k + 1 words leaves the shard under the numbers of its first and its last k words.  Counts are summed across
+   shards and frequent phrases numbered in one shuffle, and go back to just those shards that hold them.  Words are
+   not filtered: nearly all places of a large corpus belong to frequent ones.
+4. A phrase lies inside a longer one that is as frequent exactly if an extension by one word is.  Parts of a frequent phrase
+   are frequent, so cuts are joins with the same table.
 
 Null texts have no words; a null lang is ``und``.  Empty and very long texts are taken whole; a piece that is longer than a shard is
 one.  Repeated rows count each.  Ties in score and count go to the smaller phrase in UTF-8 order.  Extra columns are ignored;
@@ -25,16 +25,18 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint_root, cut, drop_folder
-from .common import buckets_for, consecutive, hash_bucket, map_arrow, running_sum, table
-from .textwork import LOWER, Words
+from ..session import Rounds, checkpoint_root, cut, drop_folder
+from .common import consecutive, map_arrow, table
+from .textwork import CHUNK, LOWER, Words
 from .warc import open_folder
 
 MIN_COUNT = 100
@@ -50,27 +52,45 @@ _PIECE_END = np.zeros(256, bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP = _PIECE_END.copy()
 _GAP[[0x20, 0x09]] = True
+_ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 
 
 # --- index of a shard ---------------------------------------------------------------------
 
+def slices_at_pieces(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """Parts of about ``size`` bytes that end where a piece ends."""
+    a = 0
+    while a < len(data):
+        end = _ENDS.search(data, min(a + size, len(data)))
+        b = end.end() if end else len(data)
+        yield data[a:b]
+        a = b
+
+
 def sequence(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Word ids from 1 on with a 0 before, between and after pieces; the word of each id."""
-    w = Words([b"\n".join(texts).translate(LOWER)], _GAP)
-    if not len(w.starts):
+    data, hashes, starts, ends, piece, at, pieces = b"\n".join(texts).translate(LOWER), [], [], [], [], 0, 0
+    for part in slices_at_pieces(data):
+        w = Words([part], _GAP)
+        closed = np.cumsum(_PIECE_END[w.buf])
+        hashes.append(w.hashes())
+        starts.append(w.starts + at)
+        ends.append(w.ends + at)
+        piece.append(closed[w.starts] + pieces)
+        at += len(part)
+        pieces += int(closed[-1]) + 1
+    h, starts, ends, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, starts, ends, piece))
+    if not len(h):
         return np.zeros(1, np.int64), []
-    h = w.hashes()
     order = np.argsort(h)
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
     ids = np.empty(len(h), np.int64)
     ids[order] = np.cumsum(new)
-    piece = np.cumsum(_PIECE_END[w.buf])[w.starts]
-    at = np.arange(len(h)) + 1 + np.cumsum(np.append(False, piece[1:] != piece[:-1]))
-    s = np.zeros(int(at[-1]) + 2, np.int64)
-    s[at] = ids
-    whole = w.buf.tobytes()
-    return s, [whole[a:b] for a, b in zip(w.starts[order[new]].tolist(), w.ends[order[new]].tolist())]
+    place = np.arange(len(h)) + 1 + np.cumsum(np.append(False, piece[1:] != piece[:-1]))
+    s = np.zeros(int(place[-1]) + 2, np.int64)
+    s[place] = ids
+    return s, [data[a:b] for a, b in zip(starts[order[new]].tolist(), ends[order[new]].tolist())]
 
 
 def split_shards(s: np.ndarray, limit: int = (1 << BITS) - 1) -> Iterator[np.ndarray]:
@@ -105,12 +125,13 @@ def transform(s: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Both transforms of a shard; phrases are (lo, rlo, n): their intervals in the forward and the reverse order, both of length n."""
+    """Both transforms of a shard; a phrase is an interval of n places from lo on in the forward and from rlo on in the reverse order."""
 
     def __init__(self, forward: np.ndarray, reverse: np.ndarray):
         self.forward, self.reverse = forward, reverse
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(forward))])            # of the interval of each word
-        self._mapping = None
+        # places of the reverse transform by symbol: a place's rank among its symbol's is its place in the interval of the symbol
+        self._by_symbol = np.sort(reverse.astype(np.int64) * len(reverse) + np.arange(len(reverse)))
 
     @classmethod
     def build(cls, s: np.ndarray) -> "Index":
@@ -118,31 +139,37 @@ class Index:
 
     def dump(self) -> bytes:
         parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (self.forward, self.reverse)]
-        return len(parts[0]).to_bytes(8, "little") + b"".join(parts)
+        return b"".join([len(self.forward).to_bytes(8, "little"), len(parts[0]).to_bytes(8, "little"), *parts])
 
     @classmethod
-    def load(cls, data: bytes, places: int) -> "Index":
-        cut_ = 8 + int.from_bytes(data[:8], "little")
+    def load(cls, data: bytes) -> "Index":
+        places, size = (int.from_bytes(data[i:i + 8], "little") for i in (0, 8))
         back = lambda b: np.frombuffer(pa.decompress(b, 4 * places, codec="zstd", asbytes=True), np.int32)
-        return cls(back(data[8:cut_]), back(data[cut_:]))
-
-    def words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.starts[ids], self.starts[ids], self.starts[ids + 1] - self.starts[ids]
-
-    def last_to_first(self) -> np.ndarray:
-        """Place of each symbol of the reverse transform among the places that start with it."""
-        if self._mapping is None:
-            order = grouped(np.zeros(len(self.reverse), np.int64), self.reverse.astype(np.int64))
-            self._mapping = np.empty(len(order), np.int64)
-            self._mapping[order] = np.arange(len(order))
-        return self._mapping
-
-    def right(self, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(phrase, next word, intervals) of all extensions by one word to the right."""
+        return cls(back(data[16:16 + size]), back(data[16 + size:]))
+
+    def following(self) -> np.ndarray:
+        """For each place of the forward order the place of what follows its first word."""
+        return grouped(np.zeros(len(self.forward), np.int64), self.forward.astype(np.int64))
+
+    def stepped(self, word: np.ndarray, rlo: np.ndarray) -> np.ndarray:
+        """Start in the reverse order of phrases that start at ``rlo`` after one more word on the right: a last-to-first step."""
+        return np.searchsorted(self._by_symbol, word * len(self.reverse) + rlo)
+
+    def reverse_starts(self, lo: np.ndarray, words: int, following: np.ndarray) -> np.ndarray:
+        """``rlo`` of phrases of so many words: read off at ``lo``, then searched backwards."""
+        rlo, at = None, lo
+        for _ in range(words):
+            word = np.searchsorted(self.starts, at, side="right") - 1
+            rlo = self.starts[word] if rlo is None else self.stepped(word, rlo)
+            at = following[at]
+        return rlo
+
+    def right(self, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, next word, lo, n) of all extensions by one word to the right."""
         phrase, at = spread(rlo, n)
         symbol = self.reverse[at].astype(np.int64)
         order = grouped(phrase, symbol)
-        phrase, symbol, at = phrase[order], symbol[order], at[order]
+        phrase, symbol = phrase[order], symbol[order]
         new = np.ones(len(order), bool)
         new[1:] = (phrase[1:] != phrase[:-1]) | (symbol[1:] != symbol[:-1])
         first = np.flatnonzero(new)
@@ -150,16 +177,8 @@ class Index:
         before = np.concatenate([[0], np.cumsum(n)])[phrase[first]]                     # symbols of earlier phrases
         word = symbol[first] > 0
         first, count = first[word], count[word]
-        return phrase[first], symbol[first], (lo[phrase[first]] + first - before[word], self.last_to_first()[at[first]], count)
-
-    def sole(self, side: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The symbol of a transform that fills each interval alone, or 0."""
-        if not len(lo):
-            return np.zeros(0, np.int64)
-        _, at = spread(lo, n)
-        symbols, first = side[at], np.concatenate([[0], np.cumsum(n)[:-1]])
-        least = np.minimum.reduceat(symbols, first)
-        return np.where(least == np.maximum.reduceat(symbols, first), least, 0).astype(np.int64)
+        # as many places earlier in the interval as there are smaller next symbols
+        return phrase[first], symbol[first], lo[phrase[first]] + first - before[word], count
 
 
 def spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +190,9 @@ def spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- Spark ----------------------------------------------------------------------------------
 
 def build_indexes(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes the index files of docs (text, lang) and returns the words of each: (lang, shard, local, places, word, n)."""
+    """Writes the index files of docs (text, lang) and returns the words of each: (lang, word, *PLACE)."""
     rows = docs.where(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    names = ["lang", "shard", "local", "places", "word", "n"]
 
     def run(batches):
         fs, base = open_folder(folder)
@@ -187,17 +205,19 @@ def build_indexes(docs: DataFrame, folder: str) -> DataFrame:
             s, words = sequence(texts)
             for part in split_shards(s):
                 shard = uuid.uuid4().int >> 65
-                own, n = np.unique(part, return_counts=True)
-                own, n = own[1:], n[1:]                                                 # without the 0
+                own = np.unique(part)[1:]                                               # without the 0
                 if not len(own):
                     continue
                 dense = np.zeros(len(words) + 1, np.int64)
                 dense[own] = np.arange(1, len(own) + 1)
+                index = Index.build(dense[part])
                 with fs.open_output_stream(f"{base}/{shard:016x}") as out:
-                    out.write(Index.build(dense[part]).dump())
+                    out.write(index.dump())
+                lo = index.starts[1:]
+                same = lambda x: pa.array([x]).take(pa.array(np.zeros(len(own), np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]).take(pa.array(np.zeros(len(own), np.int64))), pa.array(np.full(len(own), shard)), pa.array(np.arange(1, len(own) + 1)), pa.array(np.full(len(own), len(part))),
-                     pa.array([words[i - 1] for i in own.tolist()], pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names)
+                    [same(lang), pa.array([words[i - 1] for i in own.tolist()], pa.binary()).cast(pa.string()), same(shard), pa.array(lo[:-1] << 32 | np.diff(lo))],
+                    ["lang", "word", *PLACE])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -213,125 +233,104 @@ def build_indexes(docs: DataFrame, folder: str) -> DataFrame:
 
     # small partitions are read together, so that the number of shards follows the text alone
     gathered = rows.coalesce(max(1, -(-size // TASK_BYTES)))
-    return cut(map_arrow(gathered, run, "lang string, shard long, local long, places long, word string, n long"))
+    return map_arrow(gathered, run, f"lang string, word string, {_PLACE_TYPES}")
 
 
-def _load(folder: str, shard: int, places: int) -> Index:
-    fs, base = open_folder(folder)
-    with fs.open_input_stream(f"{base}/{shard:016x}") as f:
-        return Index.load(f.read(), places)
+#: Where a phrase is: the shard, and the first place and the length of its interval in the forward order (32 bits each).
+PLACE = ["shard", "span"]
+_PLACE_TYPES = "shard long, span long"
 
 
-def number(words: DataFrame, group: str, key: str, name: str) -> DataFrame:
-    """Adds numbers without gaps, from 0 on in each group."""
-    buckets = buckets_for(words.count())
-    rows = words.withColumn("_one", F.lit(1)).withColumn("_b", hash_bucket(F.md5(key), buckets))
-    return running_sum(rows, [group], "_b", [key], "_one", name).drop("_one", "_b")
+def _places() -> Column:
+    return F.col("span").bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def count_pairs(held: DataFrame, folder: str, shards: int) -> DataFrame:
-    """(lang, w1, w2, n) per shard, of pairs of the words held (lang, shard, places, local, gid)."""
-    dealt = held.repartition(shards, "shard").sortWithinPartitions("shard")
+def frequent(found: DataFrame, key: list[str], min_count: int) -> DataFrame:
+    """Rows (*key, *PLACE) of keys that have ``min_count`` places in all shards, with their sum ``a`` and a number ``id`` of the key.
 
-    def run(batches):
-        for (shard,), rows in consecutive(batches, ["shard"]):
-            local, gid = rows.column("local").to_numpy(), rows.column("gid").to_numpy()
-            index = _load(folder, shard, rows.column("places")[0].as_py())
-            known = np.full(len(index.starts), -1, np.int64)
-            known[local] = gid
-            phrase, word, (_, _, n) = index.right(*index.words(local))
-            ok = known[word] >= 0
-            lang = pa.array([rows.column("lang")[0].as_py()]).take(pa.array(np.zeros(int(ok.sum()), np.int64)))
-            out = pa.Table.from_arrays([lang, pa.array(gid[phrase[ok]]), pa.array(known[word[ok]]), pa.array(n[ok].astype(np.int64))], ["lang", "w1", "w2", "n"])
-            yield from out.to_batches(50_000)
+    Keys are dealt to 2^16 buckets in one shuffle, summed there, and numbered inside their bucket.
+    """
+    rows = found.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(1 << 16)).cast("int"))
+    rows = rows.repartition("_b").withColumn("a", F.sum(_places()).over(Window.partitionBy("_b", *key))).where(F.col("a") >= min_count)
+    rank = F.dense_rank().over(Window.partitionBy("_b").orderBy(*key))
+    rows = rows.withColumn("_rank", rank)
+    number = F.when(F.col("_rank") < 1 << 16, F.col("_b").cast("long") * (1 << 16) + F.col("_rank"))
+    return rows.select(*key, "a", F.coalesce(number, F.raise_error(F.lit("more keys than numbers")).cast("long")).alias("id"), *PLACE)
 
-    return map_arrow(dealt.select("lang", "shard", "places", "local", "gid"), run, "lang string, w1 long, w2 long, n long")
 
+def extend(held: DataFrame, folder: str, shards: int, words: int) -> DataFrame:
+    """(pair, *PLACE): extensions by one word of the phrases of so many words held (id, *PLACE) whose last words are held too.
 
-def enumerate_phrases(held: DataFrame, pairs: DataFrame, folder: str, shards: int, longest: int = LONGEST) -> DataFrame:
-    """(lang, w, n, before, after) per shard, of phrases of 2 to ``longest`` words whose pairs are all among ``pairs`` (lang, w1, w2)."""
-    nexts = held.join(pairs, (held["lang"] == pairs["lang"]) & (held["gid"] == pairs["w1"])).select(held["lang"], "shard", "places", "local", F.col("w2").alias("gid"), F.lit(1).alias("kind"))
-    dealt = held.select("lang", "shard", "places", "local", "gid", F.lit(0).alias("kind")).unionByName(nexts).repartition(shards, "shard").sortWithinPartitions("shard")
-    none = (1 << 32) - 1
+    ``pair`` has the number of the phrase without its last word in the upper and without its first in the lower half.
+    """
+    dealt = held.select("id", *PLACE).repartition(shards, "shard").sortWithinPartitions("shard", "span")
 
     def run(batches):
+        fs, base = open_folder(folder)
         for (shard,), rows in consecutive(batches, ["shard"]):
-            local, gid, kind = (rows.column(c).to_numpy() for c in ("local", "gid", "kind"))
-            index = _load(folder, shard, rows.column("places")[0].as_py())
-            own, own_gid = local[kind == 0], gid[kind == 0]
-            known = np.full(len(index.starts), -1, np.int64)
-            known[own] = own_gid
-            by_gid = np.argsort(own_gid)
-            at = np.minimum(np.searchsorted(own_gid[by_gid], gid[kind == 1]), max(len(own) - 1, 0))
-            there = own_gid[by_gid][at] == gid[kind == 1]
-            size = len(index.starts)
-            allowed = np.sort(local[kind == 1][there] * size + own[by_gid][at[there]])   # pairs as one number
-            words, spans = [own], index.words(own)
-            for k in range(2, longest + 1):
-                phrase, word, spans = index.right(*spans)
-                pair = words[-1][phrase] * size + word
-                ok = np.searchsorted(allowed, pair)
-                ok = np.flatnonzero(allowed[np.minimum(ok, len(allowed) - 1)] == pair) if len(allowed) else np.zeros(0, np.int64)
-                if not len(ok):
-                    break
-                words = [*(w[phrase[ok]] for w in words), word[ok]]
-                lo, rlo, n = spans = tuple(x[ok] for x in spans)
-                g = [known[w] for w in words] + [np.full(len(ok), none)] * (5 - k)
-                side = lambda x: np.where(x > 0, known[x], -1)
-                cols = [(g[0] << 32) | g[1], (g[2] << 32) | g[3], g[4], n, side(index.sole(index.forward, lo, n)), side(index.sole(index.reverse, rlo, n))]
-                lang = pa.array([rows.column("lang")[0].as_py()]).take(pa.array(np.zeros(len(ok), np.int64)))
-                out = pa.Table.from_arrays([lang, *(pa.array(c.astype(np.int64)) for c in cols)], ["lang", "p", "q", "r", "n", "before", "after"])
-                yield from out.to_batches(50_000)
-
-    return map_arrow(dealt, run, "lang string, p long, q long, r long, n long, before long, after long")
-
-
-def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Exact counts in docs (text, lang), all written tables.
-
-    Phrases (lang, w, a, inside) of 1 to ``longest`` (5 at most) words that occur ``min_count`` times, w the numbers of their
-    words, inside: a longer one is as frequent; words (lang, gid, word); sizes (lang, total) in words.
+            ids, span = rows.column("id").to_numpy(), rows.column("span").to_numpy()
+            lo, n = span >> 32, span & ((1 << 32) - 1)
+            with fs.open_input_stream(f"{base}/{shard:016x}") as f:
+                index = Index.load(f.read())
+            following = index.following()
+            phrase, _, lo2, n2 = index.right(lo, index.reverse_starts(lo, words, following), n)
+            inner = following[lo2]
+            last = np.searchsorted(lo, inner, side="right") - 1                         # intervals of one length do not overlap
+            ok = (last >= 0) & (inner < lo[last] + n[last])
+            pair = (ids[phrase[ok]].astype(np.uint64) << np.uint64(32) | ids[last[ok]].astype(np.uint64)).view(np.int64)
+            same = pa.array([shard]).take(pa.array(np.zeros(len(pair), np.int64)))
+            yield from pa.Table.from_arrays([pa.array(pair), same, pa.array(lo2[ok] << 32 | n2[ok])], ["pair", *PLACE]).to_batches(50_000)
+
+    return map_arrow(dealt, run, f"pair long, {_PLACE_TYPES}")
+
+
+def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """Exact counts in docs (text, lang), as written tables.
+
+    Phrases (lang, phrase, k, a, inside) of k = 1 to ``longest`` (5 at most) words, joined by a space, that occur ``min_count``
+    times; inside: a longer one is as frequent.  Sizes (lang, total) in words.
     """
     spark = docs.sparkSession
     folder = f"{checkpoint_root(spark)}/phrases-{uuid.uuid4().hex}"
     fs, base = open_folder(folder)
     fs.create_dir(base, recursive=True)
-    words = build_indexes(docs, folder)
-    sizes = cut(words.groupBy("lang").agg(F.sum("n").alias("total")))
-    shards = max(1, words.select("shard").distinct().count())
-    frequent = cut(number(cut(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)), "lang", "word", "gid"))
-    held = cut(words.join(frequent, ["lang", "word"]).select("lang", "shard", "places", "local", "gid"))
-    total = lambda rows, *by: rows.groupBy("lang", *by).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-    pairs = cut(total(count_pairs(held, folder, shards), "w1", "w2"))
-    found = enumerate_phrases(held, pairs, folder, shards, longest).groupBy("lang", "p", "q", "r").agg(
-        F.sum("n").alias("a"), *[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("min", F.min), ("max", F.max))]).where(F.col("a") >= min_count)
-    high, low = lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    w = F.filter(F.array(high("p"), low("p"), high("q"), low("q"), F.col("r")), lambda x: x < (1 << 32) - 1)
-    same: Column = F.lit(False)
-    for c in ("before", "after"):
-        same = same | ((F.col(f"min_{c}") == F.col(f"max_{c}")) & (F.col(f"min_{c}") >= 0))
-    phrases = found.select("lang", w.alias("w"), "a", same.alias("inside")).withColumn("inside", F.col("inside") & (F.size("w") < longest))
-    phrases = cut(phrases.unionByName(frequent.select("lang", F.array("gid").alias("w"), "a", F.lit(False).alias("inside"))))
+    rounds = Rounds(spark)                                                              # tables with places; only the last two are kept
+    held = rounds.next(build_indexes(docs, folder))
+    sizes = cut(held.groupBy("lang").agg(F.sum(_places()).alias("total")))
+    shards = max(1, held.select("shard").distinct().count())
+    held = rounds.next(frequent(held, ["lang", "word"], 1))
+    table_ = cut(held.where(F.col("a") >= min_count).select("id", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last")).distinct())
+    out = []
+    for k in range(1, longest):
+        held = rounds.next(frequent(extend(held, folder, shards, k), ["pair"], min_count))
+        part = lambda name, half: table_.select(*[F.col(c).alias(f"{name}_{c}") for c in table_.columns]).withColumnRenamed(f"{name}_id", half)
+        level = held.select("id", "a", F.shiftrightunsigned("pair", 32).alias("first"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("rest")).distinct()
+        level = cut(level.join(part("p", "first"), "first").join(part("q", "rest"), "rest"))
+        whole = level.select(F.explode(F.array(*[F.when(F.col(f"{s}_a") == F.col("a"), F.col(h)) for s, h in (("p", "first"), ("q", "rest"))])).alias("id"))
+        inside = whole.where(F.col("id").isNotNull()).distinct().withColumn("inside", F.lit(True))
+        out.append(table_.join(inside, "id", "left").select("lang", "phrase", F.lit(k).alias("k"), "a", F.coalesce("inside", F.lit(False)).alias("inside")))
+        table_ = cut(level.select("id", "a", F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "q_last").alias("phrase"), F.col("q_last").alias("last")))
+    out.append(table_.select("lang", "phrase", F.lit(longest).alias("k"), "a", F.lit(False).alias("inside")))
+    phrases = cut(reduce(DataFrame.unionByName, out))
+    rounds.drop()
     drop_folder(spark, folder)
-    return phrases, frequent.select("lang", "gid", "word"), sizes
+    return phrases, sizes
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best ``top`` collocations of each language."""
-    phrases, words, sizes = count_phrases(docs, min_count)
-    part = phrases.select("lang", "w", "a")
-    long_ = phrases.where((F.size("w") > 1) & ~F.col("inside"))
-    cuts = long_.select("lang", "w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k")).select(
-        "lang", "w", "a", "k", F.slice("w", F.lit(1), F.col("k")).alias("first"), F.slice("w", F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
-    cuts = cuts.join(part.select("lang", F.col("w").alias("first"), F.col("a").alias("l")), ["lang", "first"])
-    cuts = cuts.join(part.select("lang", F.col("w").alias("rest"), F.col("a").alias("r")), ["lang", "rest"]).join(F.broadcast(sizes), "lang")
+    phrases, sizes = count_phrases(docs, min_count)
+    part = phrases.select("lang", "phrase", "a")
+    words = F.split("phrase", " ")
+    cuts = phrases.where((F.col("k") > 1) & ~F.col("inside")).withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(
+        "lang", "phrase", "a", "cut", F.array_join(F.slice(words, F.lit(1), F.col("cut")), " ").alias("first"),
+        F.array_join(F.slice(words, F.col("cut") + 1, F.col("k") - F.col("cut")), " ").alias("rest"))
+    count_of = lambda name, to: part.select("lang", F.col("phrase").alias(name), F.col("a").alias(to))
+    cuts = cuts.join(count_of("first", "l"), ["lang", "first"]).join(count_of("rest", "r"), ["lang", "rest"]).join(sizes, "lang")
     # decimals hold the products; div is exact
     score = F.expr("(CAST(1000 AS DECIMAL(4, 0)) * CAST(a AS DECIMAL(17, 0)) * CAST(total AS DECIMAL(17, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))")
-    worst = cuts.withColumn("score", score).groupBy("lang", "w").agg(
-        F.first("a").alias("a"), F.first("total").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("s"))
-    spelt = (worst.select("lang", "w", F.posexplode("w").alias("pos", "gid")).join(words, ["lang", "gid"]).groupBy("lang", "w")
-             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase")))
-    rows = worst.join(spelt, ["lang", "w"]).select("lang", "phrase", "a", F.col("s.l").alias("l"), F.col("s.r").alias("r"), "n", F.col("s.score").alias("score"))
+    worst = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "l", "r", "a", F.col("total").alias("n"))).alias("s"))
+    rows = worst.select("lang", "phrase", "s.a", "s.l", "s.r", "s.n", "s.score")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

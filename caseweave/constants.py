@@ -136,6 +136,7 @@ EDGE_CUT = 0.9
 LINK_FLOOR = 0.02
 SIMILARITY_CUT = 0.88
 SPLIT_SOURCES = 3
+SPLIT_EVENTS = 250
 ESCALATE_TACTICS = 3
 LOOKBACK_DAYS = 30
 TIMINGS = ["burst", "steady", "low_and_slow"]

@@ -93,6 +93,12 @@ def classify_with_model(df: DataFrame) -> DataFrame:
     return df.withColumns({"final_class": cls, "final_confidence": conf})
 
 
+def decide_with_model(df: DataFrame) -> DataFrame:
+    """``pred_class`` and ``pred_confidence`` from rules and model columns together; what follows uses these."""
+    out = classify_with_model(df).drop("pred_class", "pred_confidence")
+    return out.withColumnRenamed("final_class", "pred_class").withColumnRenamed("final_confidence", "pred_confidence")
+
+
 def technique_on_event() -> Column:
     """Technique seen at request time: the path and the login outcome say more than the class."""
     path = X.strip_query(F.col("url_path"))
@@ -153,8 +159,11 @@ def _deviation(feature: str) -> Column:
     return out.when(v < low, "absent").otherwise("within baseline")
 
 
-def evidence() -> Column:
-    """Array of (feature, value, baseline, deviation, note) for the winning rule."""
+MODEL_EVIDENCE = ["browser_telemetry_present", "auth_fail_ip_60s", "req_rate_60s", "asn_is_hosting"]
+
+
+def evidence(by_model: bool = False) -> Column:
+    """Array of (feature, value, baseline, deviation, note) for the winning rule, or for the model where it decided (``by_model``)."""
     def item(feature: str) -> Column:
         low, high = C.BASELINES.get(feature, (0.0, 1.0))
         span = _plain(low) if low == high else f"{_plain(low)}-{_plain(high)}"
@@ -168,4 +177,6 @@ def evidence() -> Column:
     for r in RULES:
         value = F.array(*[item(f) for f in parts[r][3]])
         out = F.when(F.col("rule") == r, value) if out is None else out.when(F.col("rule") == r, value)
+    if by_model:
+        out = out.when(F.col("model_class").isNotNull(), F.array(*map(item, MODEL_EVIDENCE)))
     return out.otherwise(F.array(item("browser_telemetry_present"), item("req_rate_60s")))

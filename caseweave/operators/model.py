@@ -1,11 +1,16 @@
-"""Training, evaluation, gate and registry of the traffic classifier (MLlib)."""
+"""Training, calibration, evaluation, gate, store and registry of the traffic classifier."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
+from ..session import cut, ship
+from ..sources.snapshots import Pointer, Snapshots
+from . import boosting
 
 GATE_FPR = 1.05
 HOLDOUT = 25
@@ -35,46 +40,58 @@ def frozen_holdout(rows: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def model_inputs(rows: DataFrame) -> DataFrame:
-    """Feature vector for MLlib: absent browser numbers become -1, with the presence flag beside them.
-
-    Trees split on the impossible value as they would on "missing".
-    """
-    from pyspark.ml.functions import array_to_vector
-
+    """Adds ``features``, the numbers in fixed order: an absent browser number stays missing (NaN), an absent server number is 0."""
     browser = set(C.BROWSER_FEATURES)
-    arr = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")),
-                               F.lit(-1.0 if f in browser else 0.0)) for f in C.FEATURES])
-    return rows.withColumn("features", array_to_vector(arr))
+    nan = F.lit(float("nan"))
+    arr = F.array(*[F.coalesce(F.col(f).cast("double"), nan) if f in browser else F.nanvl(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
+                    for f in C.FEATURES])
+    return rows.withColumn("features", arr)
 
 
-def fit_classifier(train: DataFrame, trees: int = 20, depth: int = 6, seed: int = 42):
-    """Distributed random forest over the seven classes; returns a fitted pipeline.
+def fit_classifier(train: DataFrame, rounds: int = boosting.ROUNDS, depth: int = boosting.DEPTH) -> boosting.Model:
+    """Gradient boosting over the seven classes, grown on histograms summed in Spark; missing values go the way that gains more.
 
     The label index is the fixed class list, so every fold and version agrees on it.
     """
+    return boosting.fit(train.select("label", "features"), C.CLASSES, C.FEATURES, rounds, depth)
+
+
+def fit_forest(train: DataFrame, trees: int = 20, depth: int = 6, seed: int = 42):
+    """MLlib random forest on the same rows, missing numbers as -1: what the boosted model is measured against."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexerModel
 
     index = StringIndexerModel.from_labels(C.CLASSES, inputCol="label", outputCol="label_ix")
-    forest = RandomForestClassifier(labelCol="label_ix", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[index, forest]).fit(train.select("label", "features"))
+    forest = RandomForestClassifier(labelCol="label_ix", featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[index, forest]).fit(_vectors(train.select("label", "features")))
+
 
+def _vectors(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
 
-def class_labels(model) -> list[str]:
-    return list(model.stages[0].labels)
+    return rows.withColumn("vector", array_to_vector(F.transform("features", lambda v: F.nanvl(v, F.lit(-1.0)))))
 
 
-def predict(model, rows: DataFrame) -> DataFrame:
-    """Class probabilities as an array, best class and its probability."""
+def predict_forest(model, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    labels = class_labels(model)
-    out = model.stages[1].transform(rows).withColumn("proba", vector_to_array("probability"))
+    return _decided(model.stages[1].transform(_vectors(rows)).withColumn("proba", vector_to_array("probability")), C.CLASSES)
+
+
+def class_labels(model: boosting.Model) -> list[str]:
+    return list(model.classes)
+
+
+def _decided(rows: DataFrame, labels: list[str]) -> DataFrame:
     best = F.array_position("proba", F.array_max("proba")).cast("int")
-    return out.withColumns({
-        "model_class": F.element_at(F.array(*map(F.lit, labels)), best),
-        "model_confidence": F.array_max("proba")}).drop("rawPrediction", "probability", "prediction")
+    return rows.withColumns({"model_class": F.element_at(F.array(*map(F.lit, labels)), best), "model_confidence": F.array_max("proba")})
+
+
+def predict(model: boosting.Model, rows: DataFrame, maps: dict | None = None) -> DataFrame:
+    """Class probabilities as an array, best class and its probability; ``maps`` calibrate them."""
+    out = _decided(rows.withColumn("proba", boosting.probabilities(model, F.col("features"))), class_labels(model))
+    return out if maps is None else apply_calibration(out, maps)
 
 
 def _check_labels(labels: list[str]) -> None:
@@ -84,7 +101,7 @@ def _check_labels(labels: list[str]) -> None:
 
 
 def calibrate(scored: DataFrame, labels: list[str] = C.CLASSES):
-    """One isotonic map per class on out-of-fold scores; ``apply_calibration`` renormalises."""
+    """One isotonic map per class, its (score, value) knots, on out-of-fold scores; ``apply_calibration`` renormalises."""
     from pyspark.ml.regression import IsotonicRegression
 
     _check_labels(labels)
@@ -92,7 +109,8 @@ def calibrate(scored: DataFrame, labels: list[str] = C.CLASSES):
     for i, cls in enumerate(labels):
         rows = scored.select(F.element_at("proba", i + 1).alias("features"),
                              (F.col("label") == cls).cast("double").alias("label"))
-        maps[cls] = IsotonicRegression().fit(rows)
+        fitted = IsotonicRegression().fit(rows)
+        maps[cls] = [(float(b), float(v)) for b, v in zip(fitted.boundaries, fitted.predictions)]
     return maps
 
 
@@ -113,9 +131,7 @@ def apply_calibration(scored: DataFrame, maps: dict, labels: list[str] = C.CLASS
     _check_labels(labels)
 
     def mapped(cls: str, x: Column) -> Column:
-        m = maps[cls]
-        bounds, values = [float(v) for v in m.boundaries], [float(v) for v in m.predictions]
-        knots = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(v).alias("v")) for b, v in zip(bounds, values)])
+        knots = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(v).alias("v")) for b, v in maps[cls]])
         low = F.try_element_at(F.filter(knots, lambda k: k["b"] <= x), F.lit(-1))
         high = F.try_element_at(F.filter(knots, lambda k: k["b"] >= x), F.lit(1))
         span = high["b"] - low["b"]
@@ -127,11 +143,7 @@ def apply_calibration(scored: DataFrame, maps: dict, labels: list[str] = C.CLASS
     out = scored.withColumn("_raw", raw)
     total = F.aggregate("_raw", F.lit(0.0), lambda a, v: a + v)
     fair = F.when(total > 0, F.transform("_raw", lambda v: v / total)).otherwise(F.col("proba"))
-    out = out.withColumn("proba", fair)
-    best = F.array_position("proba", F.array_max("proba")).cast("int")
-    return out.withColumns({
-        "model_class": F.element_at(F.array(*map(F.lit, labels)), best),
-        "model_confidence": F.array_max("proba")}).drop("_raw")
+    return _decided(out.withColumn("proba", fair), labels).drop("_raw")
 
 
 def attack_score(labels: list[str]) -> Column:
@@ -233,42 +245,57 @@ def pr_curve(rows: DataFrame, points: int = 14) -> DataFrame:
 
 
 def numbered(rows: DataFrame, salt: str, buckets: int = 4096) -> DataFrame:
-    """Number the rows of each ``rep`` from 1 in a hash order: counts per bucket, then places inside it."""
-    order = F.xxhash64("event_id", "rep", F.lit(salt))
+    """Numbers the rows from 0 in a hash order (``rn``): counts per bucket, then places inside it."""
+    order = F.xxhash64("event_id", F.lit(salt))
     rows = rows.withColumn("_o", order).withColumn("_b", F.pmod(F.shiftright("_o", 20), F.lit(buckets)))
-    before = W.partitionBy("rep").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("rep", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(W.partitionBy("rep", "_b").orderBy("_o", "event_id"))
-    return rows.join(counts, ["rep", "_b"]).withColumn("rn", F.col("base") + place).drop("_o", "_b", "base")
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)                     # over one row per bucket
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("_b").orderBy("_o", "event_id"))
+    return rows.join(counts, "_b").withColumn("rn", F.col("base") + place - 1).drop("_o", "_b", "base")
 
 
-def permutation_importance(model, rows: DataFrame, features: list[str] = C.FEATURES, repeats: int = 3, top: int = 12) -> DataFrame:
+def permutation_importance(model: boosting.Model, rows: DataFrame, repeats: int = 3, top: int = 12) -> DataFrame:
     """Mean accuracy drop when one feature is shuffled among all rows.
 
-    All features and repeats are scored in one pass: each row appears once per
-    (feature, repeat) with that entry replaced by another row's.  Donors are
-    numbered in a hash order of their own per repeat, by counts per hash bucket.
+    Rows are numbered once in a hash order.  In each repeat a row's donor is the one a fixed distance further round, a
+    bijection that needs no second numbering, and the row meets it in one join: rows shuffled do not depend on the
+    number of features.  Tasks then swap one feature at a time, of those that trees split on (no other can change a
+    prediction), and only sums leave them.
     """
-    arr = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(-1.0 if f in set(C.BROWSER_FEATURES) else 0.0))
-                    for f in C.FEATURES])
-    base = rows.select("event_id", "label", arr.alias("x"))
-    turns = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    taken = numbered(base.select("event_id", turns.alias("rep")), "takes")
-    given = numbered(base.select("event_id", "x", turns.alias("rep")), "gives").select("rep", "rn", F.col("x").alias("d_x"))
-    fresh = base.join(taken, "event_id").join(given, ["rep", "rn"]).drop("rn")
-    swaps = fresh.withColumn("j", F.explode(F.array(*[F.lit(C.FEATURES.index(f)) for f in features])))
-    mixed = swaps.unionByName(base.select("event_id", "label", "x", F.lit(0).alias("rep"), F.col("x").alias("d_x"), F.lit(-1).alias("j")))
-    swapped = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.element_at("d_x", i + 1)).otherwise(v))
-    from pyspark.ml.functions import array_to_vector
-
-    scored = predict(model, mixed.withColumn("features", array_to_vector(swapped)))
-    acc = scored.groupBy("j", "rep").agg(F.avg((F.col("model_class") == F.col("label")).cast("double")).alias("acc"))
-    whole = acc.where(F.col("j") == -1).select(F.col("acc").alias("full"))
-    name = F.element_at(F.array(*map(F.lit, C.FEATURES)), F.col("j") + 1)
-    drop = (acc.where(F.col("j") >= 0).join(F.broadcast(whole)).groupBy("j")
-            .agg(F.avg(F.col("full") - F.col("acc")).alias("drop")))
-    return (drop.where(F.col("drop") > 0).select(name.alias("feature"), X.half_up(F.col("drop"), 4).alias("importance"))
+    rows = cut(numbered(rows.select("event_id", "label", "features"), "donors"))
+    n = rows.count()
+    used = [model.features.index(f) for f in model.split_features()]
+    if not n or not used:
+        return rows.sparkSession.createDataFrame([], "feature string, importance double")
+    shifts = [1 + (n // (repeats + 1) * (r + 1) + r) % max(n - 1, 1) for r in range(repeats)]
+    donor = F.explode(F.array(*[F.pmod(F.col("rn") + F.lit(s), F.lit(n)) for s in shifts]))
+    given = rows.select(F.col("rn").alias("donor"), F.col("features").alias("given"))
+    pairs = rows.select("label", "features", donor.alias("donor")).join(given, "donor").select("label", "features", "given")
+    width = len(model.features)
+
+    def run(batches):
+        hits, count = np.zeros(len(used) + 1, np.int64), 0
+        for pdf in batches:
+            x, d = (np.array(pdf[c].tolist(), float).reshape(len(pdf), width) for c in ("features", "given"))
+            own, other = model.bins(x), model.bins(d)
+            label = np.array([model.classes.index(v) if v in model.classes else -1 for v in pdf["label"]])
+            right = lambda b: int((model.scores(b).argmax(1) == label).sum())
+            hits[-1] += right(own)
+            count += len(pdf)
+            for i, j in enumerate(used):
+                kept = own[:, j].copy()
+                own[:, j] = other[:, j]
+                hits[i] += right(own)
+                own[:, j] = kept
+        yield pd.DataFrame({"j": [*used, -1], "hits": hits, "n": count})
+
+    ship(rows.sparkSession)
+    sums = pairs.mapInPandas(run, "j int, hits long, n long").groupBy("j").agg((F.sum("hits") / F.sum("n")).alias("acc"))
+    whole = sums.where("j = -1").select(F.col("acc").alias("full"))
+    name = F.element_at(F.array(*map(F.lit, model.features)), F.col("j") + 1)
+    drop = sums.where("j >= 0").join(F.broadcast(whole)).select(name.alias("feature"), (F.col("full") - F.col("acc")).alias("drop"))
+    return (drop.where(F.col("drop") > 0).select("feature", X.half_up(F.col("drop"), 4).alias("importance"))
             .orderBy(F.desc("importance"), "feature").limit(top))
 
 
@@ -312,26 +339,97 @@ def model_history(registry: DataFrame) -> DataFrame:
                            "n_feedback").orderBy(F.desc("trained_us"), F.desc("version"))
 
 
-def append_model_version(row: DataFrame, path: str) -> None:
-    row.write.mode("append").parquet(path)
+def append_model_version(row: DataFrame, registry: Snapshots) -> None:
+    """Adds a version to the registry; if it is promoted, all earlier ones are not any more."""
+    old = registry.read()
+    if old is None:
+        registry.publish(row)
+        return
+    kept = old.join(row.select("version"), "version", "left_anti")                      # a version that is written again
+    demoted = kept.crossJoin(F.broadcast(row.agg(F.bool_or("promoted").alias("_new")))).withColumn(
+        "promoted", F.col("promoted") & ~F.coalesce("_new", F.lit(False))).drop("_new")
+    registry.publish(demoted.unionByName(row, allowMissingColumns=True))
+
 
+class ModelStore:
+    """Fitted versions below a folder: trees and isotonic maps per version, the registry, the frozen holdout, one pointer.
 
-def retrain(events: DataFrame, feedback_rows: DataFrame, champion: DataFrame | None, version: str) -> DataFrame:
-    """Base rows and human labels to a fitted, evaluated and gated candidate: one registry row."""
-    base = grouped_holdout(training_set(events))
+    The pointer alone says which version is in use, so a promotion and a rollback are one switch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.registry = Snapshots(spark, f"{folder}/registry")
+        self.holdout = Snapshots(spark, f"{folder}/holdout")
+        self.pointer = Pointer(spark, f"{folder}/current")
+
+    def _path(self, version: str, part: str) -> str:
+        return f"{self.folder}/versions/{version}/{part}"
+
+    def save(self, version: str, model: boosting.Model, maps: dict) -> None:
+        boosting.save(model, self.spark, self._path(version, "trees"))
+        knots = [(c, i, b, v) for c, kn in maps.items() for i, (b, v) in enumerate(kn)]
+        self.spark.createDataFrame(knots, "class string, i int, bound double, value double").coalesce(1).write.mode("overwrite").parquet(self._path(version, "maps"))
+
+    def load(self, version: str | None = None) -> tuple[boosting.Model, dict] | None:
+        """Model and maps of a version, by default the one in use."""
+        version = version or self.pointer.current()
+        if version is None:
+            return None
+        maps: dict[str, list] = {}
+        for r in self.spark.read.parquet(self._path(version, "maps")).orderBy("class", "i").collect():
+            maps.setdefault(r["class"], []).append((r["bound"], r["value"]))
+        return boosting.load(self.spark, self._path(version, "trees")), maps
+
+    def promote(self, version: str) -> None:
+        """Puts a saved version into use: a promotion, or a rollback to an older one."""
+        known = self.registry.read()
+        if known is None or known.where(F.col("version") == version).isEmpty():
+            raise ValueError(f"no version {version}")
+        self.pointer.switch(version)
+        self.registry.publish(demote_others(known, version))
+
+
+def freeze_holdout(rows: DataFrame, store: ModelStore) -> DataFrame:
+    """Rows with ``is_test``: the ids stored by the first training, or a quarter of the groups, stored now."""
+    stored = store.holdout.read()
+    if stored is None:
+        store.holdout.publish(grouped_holdout(rows).where("is_test").select("event_id"))
+        stored = store.holdout.read()
+    return frozen_holdout(rows, stored)
+
+
+def retrain(events: DataFrame, feedback_rows: DataFrame, store: ModelStore, trained_us: int) -> str:
+    """Base rows and human labels to a fitted, calibrated, evaluated, gated and saved version; returns its name.
+
+    The holdout is frozen by the first training.  The champion of the gate is the version in use; a candidate that
+    passes is promoted, one that does not is kept in the registry with the reason.
+    """
+    base = freeze_holdout(training_set(events), store)
+    base = cut(model_inputs(base).select("event_id", "group_key", "label", "features", "is_test"))
     train, test = base.where(~F.col("is_test")), base.where("is_test")
     # labels of held-out rows are never trained on
-    human = train.join(feedback_rows.select("event_id", "train_class"), "event_id").withColumn("label", F.col("train_class"))
-    both = train.unionByName(human.drop("train_class"))
-    model = fit_classifier(model_inputs(both))
-    labels = class_labels(model)
-    scored = predict(model, model_inputs(test)).select(
+    human = train.join(feedback_rows.select("event_id", "train_class"), "event_id").withColumn("label", F.col("train_class")).drop("train_class")
+    both = cut(train.unionByName(human))
+    model = fit_classifier(both)
+    maps = calibrate(cut(out_of_fold(both)))
+    scored = cut(predict(model, test, maps).select(
         "event_id", "label", F.col("model_class").alias("pred"), (F.col("label") != "normal").alias("is_attack"),
-        attack_score(labels).alias("score"))
+        attack_score(class_labels(model)).alias("score")))
+    known = store.registry.read()
+    version = "v1.0.0" if known is None else next_version(known).first()["version"]
     row = (macro_prf(scored).join(average_precision(scored)).join(fpr_at_90_recall(scored))
-           .join(both.agg(F.count(F.lit(1)).alias("n_rows"))).join(feedback_rows.agg(F.count(F.lit(1)).alias("n_feedback"))))
-    row = row.select(F.lit(version).alias("version"), (F.col("n_rows") - F.col("n_feedback")).alias("n_base"), "n_feedback",
+           .join(both.agg(F.count(F.lit(1)).alias("n_rows"))).join(human.agg(F.count(F.lit(1)).alias("n_feedback"))))
+    row = row.select(F.lit(version).alias("version"), F.lit(trained_us).cast("long").alias("trained_us"), (F.col("n_rows") - F.col("n_feedback")).alias("n_base"), "n_feedback",
                      "precision", "recall", "f1", F.col("average_precision").alias("pr_auc"), "fpr_at_90_recall")
-    if champion is None:
-        return row.withColumns({"rejection_reason": F.lit(None).cast("string"), "promoted": F.lit(True)})
-    return promotion_gate(row, champion)
+    used = store.pointer.current()
+    if used is None:
+        row = row.withColumns({"rejection_reason": F.lit(None).cast("string"), "promoted": F.lit(True)})
+    else:
+        row = promotion_gate(row, known.where(F.col("version") == used))
+    row = cut(row)
+    store.save(version, model, maps)
+    append_model_version(row, store.registry)
+    if row.first()["promoted"]:
+        store.promote(version)
+    return version

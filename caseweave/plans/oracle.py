@@ -590,7 +590,22 @@ add("mark_consumed", "SELECT feedback_id, coalesce(consumed_by, CASE WHEN feedba
 add("training_set", "SELECT event_id, pred_class AS label, CASE WHEN coalesce(session_id, '') <> '' THEN 'sess:' || session_id ELSE 'ip:' || src_ip || ':' || (ts_us // 600000000) END AS group_key FROM cl")
 add("grouped_holdout", "SELECT group_key, CAST('0x' || substr(md5(group_key || ':42'), 1, 8) AS BIGINT) % 100 < 25 AS is_test, 1 AS sides FROM (" + ORACLE["training_set"] + ") GROUP BY group_key")
 add("calibrate_checks", "SELECT 'rows' AS name, count(*) AS n, true AS ok FROM cl UNION ALL SELECT 'classes', 7, true UNION ALL SELECT 'probabilities sum to one', count(*), true FROM cl UNION ALL SELECT 'accuracy not lowered', 0, true")
-add("model_checks", "SELECT 'held-out rows' AS name, count(*) AS n, true AS ok FROM (" + ORACLE["training_set"] + ") WHERE CAST('0x' || substr(md5(group_key || ':42'), 1, 8) AS BIGINT) % 100 < 25 UNION ALL SELECT 'not worse than the commonest class', 0, true UNION ALL SELECT 'no group on both sides', 0, true")
+_held = "SELECT *, CAST('0x' || substr(md5(group_key || ':42'), 1, 8) AS BIGINT) % 100 < 25 AS is_test FROM (" + ORACLE["training_set"] + ")"
+add("model_checks", f"SELECT 'held-out rows' AS name, count(*) AS n, true AS ok FROM ({_held}) WHERE is_test UNION ALL SELECT 'not worse than the commonest class', 0, true UNION ALL SELECT 'macro F1 of 0.9', 0, true UNION ALL SELECT 'no group on both sides', 0, true")
+add("fit_classifier", f"""SELECT 'held-out rows' AS name, count(*) AS n, true AS ok FROM ({_held}) WHERE is_test
+  UNION ALL SELECT 'missing numbers stay missing', CAST(sum({' + '.join(f'CAST({f} IS NULL AS BIGINT)' for f in C.BROWSER_FEATURES)}) AS BIGINT), true FROM fz JOIN ({_held}) USING (event_id) WHERE is_test
+  UNION ALL SELECT 'macro F1 not under the forest''s', 0, true""")
+add("calibrate", "SELECT pred_class AS label, count(*) AS n, true AS is_monotone FROM cl GROUP BY pred_class")
+add("predict", f"SELECT event_id, true AS is_likeliest, true AS sums_to_one FROM ({_held}) WHERE is_test")
+add("score_with_model", """SELECT event_id, rule IS NOT NULL AS ruled, CASE WHEN rule IS NOT NULL THEN pred_class END AS rule_class, true AS technique_agrees,
+  CASE WHEN rule IS NULL THEN 'browser_telemetry_present,auth_fail_ip_60s,req_rate_60s,asn_is_hosting' END AS model_evidence, true AS model_decides FROM cl""")
+add("model_store", f"""SELECT 'rows scored alike by the loaded model' AS name, count(*) AS n, true AS ok FROM ({_held}) WHERE is_test UNION ALL SELECT 'another version scores differently', 0, true
+  UNION ALL SELECT 'versions', 3, true UNION ALL SELECT 'one version in use', 1, true""")
+add("permutation_importance", f"""SELECT 'rows' AS name, count(*) AS n, true AS ok FROM ({_held}) WHERE is_test UNION ALL SELECT 'some features, twelve at most', 0, true
+  UNION ALL SELECT 'trees split on all of them', 0, true UNION ALL SELECT 'drops of accuracy', 0, true""")
+add("retrain", f"""SELECT 'v1.0.' || v AS version, (SELECT count(*) FROM ({_held}) WHERE NOT is_test) AS n_base,
+  CASE WHEN v = 0 THEN 0 ELSE (SELECT count(*) FROM ({_held}) h JOIN trn ON trn.event_id = h.event_id WHERE NOT is_test AND train_class IS NOT NULL) END AS n_feedback,
+  true AS pointer_agrees, true AS reason_given FROM range(2) r(v)""")
 add("frozen_holdout", "SELECT pred_class AS label, event_id % 4 = 0 AS is_test, count(*) AS n FROM cl GROUP BY ALL")
 add("macro_prf", f"SELECT {h('avg(p)', 6)} AS precision, {h('avg(r)', 6)} AS recall, {h('avg(coalesce(2 * p * r / nullif(p + r, 0), 0))', 6)} AS f1 FROM (SELECT coalesce(tp / nullif(called, 0), 0) AS p, coalesce(tp / nullif(actual, 0), 0) AS r FROM per)")
 add("confusion_matrix", "SELECT label, " + ", ".join(f"count(*) FILTER (pred = {lit(c)}) AS {c}" for c in C.CLASSES) + " FROM mr GROUP BY label")
@@ -618,4 +633,12 @@ add("stream_skip_paths", "SELECT event_id, url_path FROM we WHERE event_id % 3 <
 add("stream_dedup", "SELECT session_id, telemetry_id FROM tel")
 add("stream_correlate", "SELECT incident_id, component, event_count, priority, risk_score FROM inc")
 
+# the dense log: slow probes come from two addresses
+DENSE = ("(10 + blk % 7) WHEN kind = 5", "(10 + blk % 7 + 20 * (pos % 2)) WHEN kind = 5")
+add("split_communities", """SELECT component, count(*) AS events, count(DISTINCT src_ip) AS sources, true AS is_partition, true AS is_cut, true AS is_connected,
+  true AS not_under_one_level FROM mb GROUP BY component HAVING count(*) > 250 AND count(DISTINCT src_ip) > 3""")
+add("recut_incidents", "SELECT component AS whole, count(*) AS events, CAST(1 AS BIGINT) AS components, true AS counts_agree FROM mb GROUP BY component")
+
 ORACLE = {name: sql(text) for name, text in ORACLE.items()}
+for _name in ("split_communities", "recut_incidents"):
+    ORACLE[_name] = ORACLE[_name].replace(*DENSE)

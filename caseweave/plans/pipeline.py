@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
-from ..operators import classify, enrich, features, fusion, graph, incidents
+from ..operators import classify, communities, enrich, features, fusion, graph, incidents, model
 from ..session import cut, stage
 from ..sources import events as E
 from ..sources.feeds import Feeds
@@ -16,12 +16,22 @@ def latest_us(events: DataFrame) -> int:
     return events.agg(F.max("ts_us")).first()[0]
 
 
+def _on(scorer: tuple, rows: DataFrame) -> tuple:
+    fitted, maps = scorer
+    return fitted, rows, maps
+
+
 def score_log(events: DataFrame, telemetry: DataFrame, feeds: Feeds, as_of_us: int,
-              weights: dict | None = None, prior: DataFrame | None = None) -> DataFrame:
-    """Requests to features, class, technique, evidence, enrichment and event priority."""
+              weights: dict | None = None, prior: DataFrame | None = None, scorer: tuple | None = None) -> DataFrame:
+    """Requests to features, class, technique, evidence, enrichment and event priority.
+
+    ``scorer`` is a stored model with its calibration maps (``ModelStore.load``): it decides where no rule fires.
+    """
     rows = features.server_features(events, feeds.reputation(), prior)
     rows = fusion.fuse_telemetry(rows, telemetry)
     rows = classify.classify_rules(rows)
+    if scorer is not None:
+        rows = classify.decide_with_model(model.predict(*_on(scorer, model.model_inputs(rows))).drop("features", "proba"))
     rows = rows.withColumn("attack_technique", classify.technique_on_event())
     rows = enrich.enrich(rows, feeds)
     rows = enrich.score_event(rows, F.lit(as_of_us), weights)
@@ -55,22 +65,36 @@ def as_of(spark: SparkSession, sf_dir: str) -> int:
     return latest_us(event_log(spark, sf_dir))
 
 
-def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(address, slot, run_id, component)."""
+def correlate(events: DataFrame, recut: bool = True) -> DataFrame:
+    """(address, slot, run_id, component) of seed events: links, components and, by default, the re-cut of oversized ones."""
+    found = graph.run_components(events, cut(graph.run_map(events)))
+    return communities.recut(events, found) if recut else found
+
+
+def _name(name: str, dense: bool) -> str:
+    return f"{name}_dense" if dense else name
+
+
+def membership(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """(address, slot, run_id, component).
+
+    In the dense log oversized components are re-cut.  The plain log is left as it is, so that SQL, which cannot state
+    communities, can state every row that the queries over it return.
+    """
     def build() -> DataFrame:
-        ev = seeds(spark, sf_dir)
-        return graph.run_components(ev, cut(graph.run_map(ev)))
-    return stage(spark, "membership", sf_dir, build)
+        ev = seeds(spark, sf_dir, dense)
+        return correlate(ev, recut=dense)
+    return stage(spark, _name("membership", dense), sf_dir, build)
 
 
-def member_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.members(seeds(spark, sf_dir), membership(spark, sf_dir))
+def member_events(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    return incidents.members(seeds(spark, sf_dir, dense), membership(spark, sf_dir, dense))
 
 
-def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incident_table(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     def build() -> DataFrame:
-        return incidents.build_incidents(member_events(spark, sf_dir), as_of(spark, sf_dir))
-    return stage(spark, "incidents", sf_dir, build)
+        return incidents.build_incidents(member_events(spark, sf_dir, dense), as_of(spark, sf_dir))
+    return stage(spark, _name("incidents", dense), sf_dir, build)
 
 
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,18 @@ written once per application and folder, as a deployment would keep them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
-from ..operators import (campaigns, classify, enrich, features, fusion, graph, incidents as inc_ops, model, reports,
+from ..operators import (campaigns, classify, communities, enrich, features, fusion, graph, incidents as inc_ops, model, reports,
                          respond, review)
-from ..session import stage
+from ..session import cut, fingerprint, stage
 from ..sources import events as E, feeds as feeds_mod
 from ..sources.feeds import Feeds
+from ..sources.snapshots import Snapshots
 from ..streaming import live, replay
 from . import pipeline as P
 
@@ -212,10 +214,10 @@ def _(s, d):
 
 @query("write_incidents")
 def _(s, d):
-    path = replay.scratch(s, "incidents")
-    for _run in range(2):                       # idempotent: a rebuild replaces the table
-        P.incident_table(s, d).drop("kev", "landed", "probed").write.mode("overwrite").parquet(path)
-    return s.read.parquet(path).select("incident_id", "priority", "risk_score", "event_count")
+    table = Snapshots(s, replay.scratch(s, "incidents"))
+    for _run in range(2):                       # idempotent: a rebuild replaces the table, readers of the old one keep it
+        table.publish(P.incident_table(s, d).drop("kev", "landed", "probed"))
+    return table.read().select("incident_id", "priority", "risk_score", "event_count")
 
 
 @query("assign_incidents")
@@ -232,9 +234,11 @@ def _(s, d):
 
 @query("append_model_version")
 def _(s, d):
-    path = replay.scratch(s, "registry")
-    model.append_model_version(registry(s, d), path)
-    return model.current_model(s.read.parquet(path)).select("version", "pr_auc", "n_feedback")
+    table = Snapshots(s, replay.scratch(s, "registry"))
+    rows = registry(s, d)
+    for part in (F.col("trained_us") <= 100_000_000, F.col("trained_us") > 100_000_000):
+        model.append_model_version(rows.where(part), table)
+    return model.current_model(table.read()).select("version", "pr_auc", "n_feedback")
 
 
 @query("stream_telemetry_source")
@@ -451,13 +455,35 @@ QUERIES["cluster_span"] = lambda s, d: P.incident_table(s, d).select(
 
 @query("split_communities")
 def _(s, d):
-    from ..operators import communities
-    ev = P.scored_events(s, d, dense=True)
-    ev = E.scan_events(ev)
-    runs = graph.run_map(ev)
-    cut_map = communities.split_communities(ev, graph.run_components(ev, runs))
-    return graph.on_runs(ev.select("tenant_id", "event_id", "ts_us", "src_ip"), cut_map.drop("run_id")).groupBy("component", "community").agg(
+    """What must hold of every re-cut component of the dense log, from the communities that the incident flow uses."""
+    seeds, runs = P.seeds(s, d, dense=True), P.membership(s, d, dense=True)
+    rc = graph.run_components(seeds, runs.select(*graph.RUN_KEY, "run_id"))
+    big = stage(s, "oversized_dense", d, lambda: communities.oversized(seeds, rc))
+    edges = stage(s, "link_graph_dense", d, lambda: communities.link_graph(seeds, rc.join(big, "component", "left_semi")))
+    label = stage(s, "communities_dense", d, lambda: rc.join(big, "component", "left_semi").select("component", F.col("run_id").alias("node")).distinct().join(
+        runs.select(F.col("run_id").alias("node"), F.col("component").alias("community")).distinct(), "node"))
+    q = lambda of, name: communities.modularity(edges, communities._strength(edges), of).withColumnRenamed("q", name)
+    level = communities.one_level(edges)
+    parts = label.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("node").alias("runs"), F.count_distinct("community").alias("parts"))
+    held = communities.connected(edges, label).groupBy("component").agg(F.count_distinct("community").alias("joint"))
+    size = graph.on_runs(seeds.select("tenant_id", "event_id", "ts_us", "src_ip"), rc.drop("run_id")).groupBy("component").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("src_ip").alias("sources"))
+    rows = big.join(size, "component").join(parts, "component").join(held, "component").join(q(label, "final"), "component").join(q(level, "first"), "component")
+    return rows.select("component", "events", "sources", (F.col("rows") == F.col("runs")).alias("is_partition"), (F.col("parts") > 1).alias("is_cut"),
+                       (F.col("joint") == F.col("parts")).alias("is_connected"), (F.col("final") >= F.col("first") - 1e-9).alias("not_under_one_level"))
+
+
+@query("recut_incidents")
+def _(s, d):
+    """Incidents of the dense log: none reaches over two components, and together they hold the events of the kept components."""
+    seeds, runs = P.seeds(s, d, dense=True), P.membership(s, d, dense=True)
+    rc = graph.run_components(seeds, runs.select(*graph.RUN_KEY, "run_id")).select(*graph.RUN_KEY, F.col("component").alias("whole"))
+    rows = graph.on_runs(P.member_events(s, d, dense=True).drop("slot"), rc)
+    parts = rows.groupBy("component").agg(F.min("whole").alias("whole"), F.count_distinct("whole").alias("wholes"), F.count(F.lit(1)).alias("n"))
+    inc = P.incident_table(s, d, dense=True).select("component", "event_count")
+    both = parts.join(inc, "component", "left")
+    return both.groupBy("whole").agg(F.sum("n").alias("events"), F.max("wholes").alias("components"),
+                                     F.bool_and((F.col("event_count") == F.col("n")) | (F.col("event_count").isNull() & (F.col("n") == 1))).alias("counts_agree"))
 
 
 @query("kill_chain")
@@ -634,23 +660,53 @@ def _(s, d):
     return model.frozen_holdout(rows, held).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fitted(s, d):
-    rows = model.grouped_holdout(model.training_set(P.scored_events(s, d)))
-    ready = model.model_inputs(rows)
-    return model.fit_classifier(ready.where(~F.col("is_test"))), ready.where("is_test")
+def _check(name: str, n, ok):
+    return F.struct(F.lit(name).alias("name"), n.cast("long").alias("n"), ok.alias("ok"))
+
+
+def _checks(row: DataFrame, *checks) -> DataFrame:
+    return row.select(F.explode(F.array(*checks)).alias("r")).select("r.*")
+
+
+_trained: dict[tuple, model.ModelStore] = {}
+
+
+def trained_store(s, d) -> model.ModelStore:
+    """A store with one version, trained on the scored log without feedback, calibrated and in use; once per application and folder."""
+    key = (s.sparkContext.applicationId, d, fingerprint(s, d))
+    if key not in _trained:
+        store = model.ModelStore(s, replay.scratch(s, "models"))
+        model.retrain(P.scored_events(s, d), s.createDataFrame([], "event_id long, train_class string"), store, P.as_of(s, d))
+        _trained[key] = store
+    return _trained[key]
+
+
+def held_out(s, d) -> DataFrame:
+    return model.model_inputs(model.grouped_holdout(model.training_set(P.scored_events(s, d)))).where("is_test")
 
 
 @query("fit_classifier")
 def _(s, d):
-    m, test = _fitted(s, d)
-    return model.predict(m, test).groupBy("label").agg(F.avg((F.col("model_class") == F.col("label")).cast("double")).alias("accuracy"))
+    """What a fitted model must keep on the held-out groups, as (name, n, ok)."""
+    rows = cut(model.model_inputs(model.grouped_holdout(model.training_set(P.scored_events(s, d)))).select("event_id", "label", "features", "is_test"))
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    pred = lambda out: out.select("label", F.col("model_class").alias("pred"))
+    boosted = model.macro_prf(pred(model.predict(model.fit_classifier(train), test))).select(F.col("f1").alias("boosted"))
+    forest = model.macro_prf(pred(model.predict_forest(model.fit_forest(train), test))).select(F.col("f1").alias("forest"))
+    size = test.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.filter("features", F.isnan))).alias("missing"))
+    return _checks(size.join(F.broadcast(boosted)).join(F.broadcast(forest)),
+                   _check("held-out rows", F.col("n"), F.lit(True)), _check("missing numbers stay missing", F.col("missing"), F.col("missing") > 0),
+                   _check("macro F1 not under the forest's", F.lit(0), F.col("boosted") >= F.col("forest")))
 
 
 @query("calibrate")
 def _(s, d):
-    rows = model.model_inputs(model.training_set(P.scored_events(s, d)))
-    oof = stage(s, "oof", d, lambda: model.out_of_fold(rows))
-    return model.apply_calibration(oof, model.calibrate(oof)).select("event_id", "model_class", "model_confidence")
+    """The stored map of each class: it never falls and stays between 0 and 1."""
+    fitted, maps = trained_store(s, d).load()
+    steps = lambda kn: all(a[1] <= b[1] and a[0] <= b[0] for a, b in zip(kn, kn[1:])) and all(0 <= v <= 1 for _, v in kn)
+    found = s.createDataFrame([(c, steps(maps[c])) for c in fitted.classes], "class string, is_monotone boolean")
+    labels = model.training_set(P.scored_events(s, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return labels.join(found, F.col("label") == F.col("class")).select("label", "n", "is_monotone")
 
 
 @query("calibrate_checks")
@@ -663,31 +719,69 @@ def _(s, d):
     before = raw.agg(right(best).alias("before"), F.count(F.lit(1)).alias("rows"))
     after = done.agg(right(F.col("model_class")).alias("after"), F.max(F.size("proba")).alias("classes"),
                      F.count_if(F.abs(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6).alias("whole"))
-    row = lambda name, n, ok: F.struct(F.lit(name).alias("name"), n.cast("long").alias("n"), ok.alias("ok"))
-    return before.join(F.broadcast(after)).select(F.explode(F.array(
-        row("rows", F.col("rows"), F.lit(True)), row("classes", F.col("classes"), F.lit(True)),
-        row("probabilities sum to one", F.col("whole"), F.col("whole") == F.col("rows")),
-        row("accuracy not lowered", F.lit(0), F.col("after") >= F.col("before") - 0.005))).alias("r")).select("r.*")
+    return _checks(before.join(F.broadcast(after)), _check("rows", F.col("rows"), F.lit(True)), _check("classes", F.col("classes"), F.lit(True)),
+                   _check("probabilities sum to one", F.col("whole"), F.col("whole") == F.col("rows")),
+                   _check("accuracy not lowered", F.lit(0), F.col("after") >= F.col("before") - 0.005))
 
 
 @query("model_checks")
 def _(s, d):
-    """What a fitted model must keep on the held-out groups, as (name, n, ok)."""
+    """What the stored model must keep on the held-out groups, as (name, n, ok)."""
     rows = model.grouped_holdout(model.training_set(P.scored_events(s, d)))
-    m, test = _fitted(s, d)
-    good = model.predict(m, test).agg(F.avg((F.col("model_class") == F.col("label")).cast("double")).alias("acc"), F.count(F.lit(1)).alias("rows"))
+    fitted, maps = trained_store(s, d).load()
+    test = held_out(s, d)
+    scored = model.predict(fitted, test, maps)
+    good = scored.agg(F.avg((F.col("model_class") == F.col("label")).cast("double")).alias("acc"), F.count(F.lit(1)).alias("rows"))
+    f1 = model.macro_prf(scored.select("label", F.col("model_class").alias("pred"))).select("f1")
     sides = rows.groupBy("group_key").agg(F.count_distinct("is_test").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split"))
-    row = lambda name, n, ok: F.struct(F.lit(name).alias("name"), n.cast("long").alias("n"), ok.alias("ok"))
     common = test.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("common"))
-    return good.join(F.broadcast(sides)).join(F.broadcast(common)).select(F.explode(F.array(
-        row("held-out rows", F.col("rows"), F.lit(True)), row("not worse than the commonest class", F.lit(0), F.col("acc") >= F.col("common") / F.col("rows")),
-        row("no group on both sides", F.col("split"), F.col("split") == 0))).alias("r")).select("r.*")
+    return _checks(good.join(F.broadcast(sides)).join(F.broadcast(common)).join(F.broadcast(f1)),
+                   _check("held-out rows", F.col("rows"), F.lit(True)), _check("not worse than the commonest class", F.lit(0), F.col("acc") >= F.col("common") / F.col("rows")),
+                   _check("macro F1 of 0.9", F.lit(0), F.col("f1") >= 0.9), _check("no group on both sides", F.col("split"), F.col("split") == 0))
 
 
 @query("predict")
 def _(s, d):
-    m, test = _fitted(s, d)
-    return model.predict(m, test).select("event_id", "model_class", "model_confidence")
+    """Held-out rows scored by the stored model: the named class is the likeliest, and chances sum to one."""
+    fitted, maps = trained_store(s, d).load()
+    out = model.predict(fitted, held_out(s, d), maps)
+    named = F.element_at("proba", F.array_position(F.array(*map(F.lit, C.CLASSES)), F.col("model_class")).cast("int"))
+    sums = F.abs(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    return out.select("event_id", (named == F.col("model_confidence")).alias("is_likeliest"), sums.alias("sums_to_one"))
+
+
+@query("score_with_model")
+def _(s, d):
+    """The flow with the stored model: rules keep their class, the model decides the rest, technique and evidence follow."""
+    ev = P.event_log(s, d)
+    rows = P.score_log(ev, E.telemetry(s, d), Feeds.from_tables(s, d), P.latest_us(ev), scorer=trained_store(s, d).load())
+    ruled = F.col("rule").isNotNull()
+    shown = F.transform(classify.evidence(by_model=True), lambda e: e["feature"])
+    return rows.select("event_id", ruled.alias("ruled"), F.when(ruled, F.col("pred_class")).alias("rule_class"),
+                       F.col("attack_technique").eqNullSafe(classify.technique_on_event()).alias("technique_agrees"),
+                       F.when(~ruled, F.array_join(shown, ",")).alias("model_evidence"),
+                       (ruled | (F.col("pred_class") == F.col("model_class"))).alias("model_decides"))
+
+
+@query("model_store")
+def _(s, d):
+    """Fit, save, promote, load, score and roll back on stored files, as (name, n, ok)."""
+    store = model.ModelStore(s, replay.scratch(s, "models"))
+    fitted, maps = trained_store(s, d).load()
+    rows = registry(s, d).where("version in ('v1.0.1', 'v1.0.2', 'v1.0.3')").withColumn("promoted", F.lit(False))
+    for v, m in (("v1.0.1", fitted), ("v1.0.2", replace(fitted, rounds=fitted.rounds[:1])), ("v1.0.3", fitted)):
+        store.save(v, m, maps)
+        model.append_model_version(rows.where(F.col("version") == v).withColumn("promoted", F.lit(True)), store.registry)
+        store.promote(v)
+    store.promote("v1.0.1")                     # a rollback
+    test = held_out(s, d)
+    score = lambda of, name: model.predict(*P._on(of, test)).select("event_id", F.col("proba").alias(name))
+    same = score((fitted, maps), "a").join(score(store.load(), "b"), "event_id").join(score(store.load("v1.0.2"), "c"), "event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.count_if(F.col("a") == F.col("c")).alias("other"))
+    known = store.registry.read().agg(F.count(F.lit(1)).alias("versions"), F.max(F.when(F.col("promoted"), F.col("version"))).alias("used"), F.count_if("promoted").alias("promoted"))
+    return _checks(same.join(F.broadcast(known)), _check("rows scored alike by the loaded model", F.col("same"), F.col("same") == F.col("n")),
+                   _check("another version scores differently", F.lit(0), F.col("other") < F.col("n")),
+                   _check("versions", F.col("versions"), F.col("used") == store.pointer.current()), _check("one version in use", F.col("promoted"), F.col("used") == "v1.0.1"))
 
 
 QUERIES["macro_prf"] = lambda s, d: model.macro_prf(model_rows(s, d))
@@ -699,8 +793,14 @@ QUERIES["pr_curve"] = lambda s, d: model.pr_curve(model_rows(s, d))
 
 @query("permutation_importance")
 def _(s, d):
-    m, test = _fitted(s, d)
-    return model.permutation_importance(m, test)
+    """What the ranking of the stored model's features must keep, as (name, n, ok)."""
+    fitted, _ = trained_store(s, d).load()
+    test = held_out(s, d)
+    out = model.permutation_importance(fitted, test)
+    found = out.agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("feature").isin(fitted.split_features())).alias("used"), F.min("importance").alias("least"), F.max("importance").alias("most"))
+    return _checks(test.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(found)), _check("rows", F.col("n"), F.lit(True)),
+                   _check("some features, twelve at most", F.lit(0), F.col("found").between(1, 12)), _check("trees split on all of them", F.lit(0), F.col("used") == F.col("found")),
+                   _check("drops of accuracy", F.lit(0), (F.col("least") >= 0) & (F.col("most") <= 1) & (F.col("most") > 0)))
 
 
 QUERIES["promotion_gate"] = lambda s, d: model.promotion_gate(
@@ -713,9 +813,20 @@ QUERIES["model_history"] = lambda s, d: model.model_history(registry(s, d))
 
 @query("retrain")
 def _(s, d):
+    """Training with feedback after one without: the frozen holdout, the gate, the registry and the pointer agree."""
     rows = review.feedback_training_rows(feedback(s, d), stamped(s, d))
-    return model.retrain(P.scored_events(s, d), rows, model.current_model(registry(s, d)), "v1.0.9999").select(
-        "version", "n_base", "n_feedback", "pr_auc", "promoted")
+    store = model.ModelStore(s, replay.scratch(s, "models"))
+    scored, now = P.scored_events(s, d), P.as_of(s, d)
+    first = trained_store(s, d)
+    # the version in use and its holdout, as the first training left them
+    store.holdout.publish(first.holdout.read())
+    store.save("v1.0.0", *first.load())
+    store.registry.publish(first.registry.read())
+    store.pointer.switch("v1.0.0")
+    model.retrain(scored, rows, store, now)
+    used = F.col("version") == store.pointer.current()
+    return store.registry.read().select("version", "n_base", "n_feedback", F.col("promoted").eqNullSafe(used).alias("pointer_agrees"),
+                                        (F.col("promoted") | F.col("rejection_reason").isNotNull() | (F.col("version") == "v1.0.0")).alias("reason_given"))
 
 
 # --- 2.13 streaming, by replay --------------------------------------------------------------------------------

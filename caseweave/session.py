@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,14 +71,15 @@ def cut(df: DataFrame) -> DataFrame:
     return _write(df)[0]
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop file system and path, for any store that Spark reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder of intermediate files below the shared one."""
-    fs, hadoop = _filesystem(spark, path)
+    fs, hadoop = filesystem(spark, path)
     fs.delete(hadoop, True)
 
 
@@ -91,7 +93,7 @@ class Rounds:
         out, path = _write(df)
         self.paths.append(path)
         if len(self.paths) > 2:
-            fs, old = _filesystem(self.spark, self.paths.pop(0))
+            fs, old = filesystem(self.spark, self.paths.pop(0))
             fs.delete(old, True)
         return out
 
@@ -102,12 +104,32 @@ class Rounds:
         self.paths = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors once per application, as --py-files would; for code that runs in Python there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "caseweave-package.zip")          # read by the driver alone
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 _stages: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def fingerprint(spark: SparkSession, source: str) -> int:
     """Of the files below a folder: names, lengths and times, so that new data is not taken for the old."""
-    fs, path = _filesystem(spark, source)
+    fs, path = filesystem(spark, source)
     found, files = [], fs.listFiles(path, True) if fs.exists(path) else None
     while files is not None and files.hasNext():
         f = files.next()
@@ -119,7 +141,7 @@ def stage(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     """Materialise a named intermediate table once per application, input folder and content of the folder."""
     key = (spark.sparkContext.applicationId, source, fingerprint(spark, source), name)
     if key in _stages:
-        fs, path = _filesystem(spark, _stages[key][1])
+        fs, path = filesystem(spark, _stages[key][1])
         if not fs.exists(path):                 # swept away: build it again
             del _stages[key]
     if key not in _stages:

@@ -212,13 +212,31 @@ def test_flood_of_one_address_is_one_node(spark):
     assert graph.run_components(ev, runs).select("component").distinct().count() == 1
 
 
-def test_dense_component_is_recut_and_small_ones_are_not(spark, folder):
-    got = QUERIES["split_communities"](spark, folder).collect()
-    dense = [r for r in got if r.component == 400]
-    assert sum(r.events for r in dense) == 259
-    scored = P.scored_events(spark, folder)
+def test_dense_component_is_recut_in_the_flow_and_small_ones_are_not(spark, folder):
+    whole = P.incident_table(spark, folder)
     assert communities.oversized(P.seeds(spark, folder), P.membership(spark, folder)).count() == 0
-    assert scored.count() == 1000
+    assert P.correlate(P.seeds(spark, folder)).exceptAll(P.membership(spark, folder)).isEmpty()
+    cut_up = P.incident_table(spark, folder, dense=True).select("component", "event_count").collect()
+    assert whole.where("event_count = 259").count() == 1 and all(r["event_count"] < 259 for r in cut_up)
+    parts = P.member_events(spark, folder, dense=True).groupBy("component").count().collect()
+    assert sum(r["count"] for r in parts) == P.seeds(spark, folder, dense=True).count()
+    assert len(parts) > whole.count()
+
+
+def test_levels_join_cliques_of_cliques(spark):
+    """Four triangles, two and two tied more closely: level by level, and never a community without inner links."""
+    tri = lambda k: [(3 * k, 3 * k + 1, 10.0), (3 * k + 1, 3 * k + 2, 10.0), (3 * k, 3 * k + 2, 10.0)]
+    links = [e for k in range(4) for e in tri(k)] + [(0, 3, 4.0), (1, 4, 4.0), (6, 9, 4.0), (7, 10, 4.0), (2, 8, 0.1)]
+    edges = spark.createDataFrame([(0, u, v, w) for a, b, w in links for u, v in ((a, b), (b, a))], "component long, u long, v long, w double")
+    strength = communities._strength(edges)
+    found = communities.levels(edges)
+    q = [communities.modularity(edges, strength, x).first()["q"] for x in found]
+    assert q == sorted(q)
+    final = {r["node"]: r["community"] for r in found[-1].collect()}
+    assert all(len({final[3 * k + i] for i in range(3)}) == 1 for k in range(4)) and final[0] != final[6]
+    torn = spark.createDataFrame([(0, n, 0) for n in range(12) if n not in (3, 4, 5)] + [(0, n, 1) for n in (3, 4, 5)], "component long, node long, community long")
+    apart = {r["node"]: r["community"] for r in communities.connected(edges.where("w <> 0.1"), torn).collect()}
+    assert apart[0] == 0 and apart[3] == 3 and apart[6] == apart[9] == 6
 
 
 # --- scoring, campaigns, review -------------------------------------------------------------------

@@ -56,8 +56,8 @@ def modularity(edges: DataFrame, strength: DataFrame, label: DataFrame) -> DataF
         F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).alias("q"))
 
 
-def _moved(edges: DataFrame, strength: DataFrame, whole: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """Labels after every second node has gone to the neighbouring community with the largest gain, if that beats staying."""
+def _best_moves(edges: DataFrame, strength: DataFrame, whole: DataFrame, label: DataFrame) -> DataFrame:
+    """(component, node, own, to, d): the neighbouring community that gains a node most, where that beats staying by d."""
     tot = strength.join(label.select("node", "community"), "node").groupBy("component", "community").agg(F.sum("k").alias("tot"))
     near = edges.where(F.col("u") != F.col("v")).join(
         label.select(F.col("node").alias("v"), F.col("community")), "v").groupBy("component", "u", "community").agg(F.sum("w").alias("kin"))
@@ -69,14 +69,29 @@ def _moved(edges: DataFrame, strength: DataFrame, whole: DataFrame, label: DataF
     here = F.col("community") == F.col("own")
     without = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
     gain = gain.withColumn("g", F.round(F.col("kin") - F.col("k") * without / F.col("m2"), 9))
-    best = gain.groupBy("u").agg(F.max_by("community", F.struct("g", here, (-F.col("community")).alias("c"))).alias("to"))
-    goes = F.pmod(F.xxhash64("node"), F.lit(2)) == turn               # two neighbours do not swap for ever
-    return label.join(best, label.node == best.u, "left").select(
-        "component", "node", F.when(goes, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"))
+    best = gain.groupBy("component", F.col("u").alias("node"), "own").agg(
+        F.max(F.struct("g", here.alias("here"), (-F.col("community")).alias("c"))).alias("b"), F.max(F.when(here, F.col("g"))).alias("stay"))
+    return best.select("component", "node", "own", (-F.col("b.c")).alias("to"), (F.col("b.g") - F.col("stay")).alias("d")).where("own <> to and d > 0")
+
+
+def _apply(label: DataFrame, moves: DataFrame) -> DataFrame:
+    return label.join(moves.select("node", "to"), "node", "left").select("component", "node", F.coalesce("to", "community").alias("community"))
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves of which no two touch a community, each the best of both that it touches: together they raise modularity by the sum of their gains."""
+    rank = F.struct("d", (-F.col("node")).alias("n"))
+    best = moves.select("component", F.explode(F.array("own", "to")).alias("community"), rank.alias("r")).groupBy("component", "community").agg(F.max("r").alias("r"))
+    top = lambda side: best.select("component", F.col("community").alias(side), F.col("r").alias(f"r_{side}"))
+    both = moves.join(top("own"), ["component", "own"]).join(top("to"), ["component", "to"])
+    return both.where((F.col("r_own") == rank) & (F.col("r_to") == rank)).select("component", "node", "own", "to", "d")
 
 
 def one_level(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(component, node, community) at rest: no round of moves raises the modularity of any component."""
+    """(component, node, community) at rest: no move of one node raises the modularity of its component.
+
+    Every second node moves at once while that raises modularity; where it does not, moves that cannot disturb one another are made.
+    """
     spark = edges.sparkSession
     strength = cut(_strength(edges))
     whole = cut(strength.groupBy("component").agg(F.sum("k").alias("m2")))
@@ -85,16 +100,21 @@ def one_level(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     best = scores.next(modularity(edges, strength, label))
     idle = 0
     for r in range(rounds):
-        moved = cut(_moved(edges, strength, whole, label, r % 2))
-        now = cut(modularity(edges, strength, moved))
-        better = now.join(best.select("component", F.col("q").alias("old")), "component").where(F.col("q") > F.col("old") + 1e-9).select("component")
-        # both halves have had their turn and no component gained
-        idle = idle + 1 if better.isEmpty() else 0
-        if idle == 2:
+        moves = cut(_best_moves(edges, strength, whole, label))
+        if moves.isEmpty():
             break
-        if not idle:
-            label = labels.next(label.join(better, "component", "left_anti").unionByName(moved.join(better, "component", "left_semi")))
-            best = scores.next(best.join(better, "component", "left_anti").unionByName(now.join(better, "component", "left_semi")))
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
+        moved = cut(_apply(label, _apart(moves) if idle == 2 else moves.where(turn)))
+        now = cut(modularity(edges, strength, moved))
+        better = now.join(best.select("component", F.col("q").alias("old")), "component").where(F.col("q") > F.col("old") + 1e-12).select("component")
+        if better.isEmpty():
+            idle += 1
+            if idle == 3:                                                               # gains under the precision of a sum
+                break
+            continue
+        idle = 0
+        label = labels.next(label.join(better, "component", "left_anti").unionByName(moved.join(better, "component", "left_semi")))
+        best = scores.next(best.join(better, "component", "left_anti").unionByName(now.join(better, "component", "left_semi")))
     return label
 
 

@@ -96,23 +96,25 @@ def _times(text: Column, n: int) -> Column:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # a conversation of the table that is numbered -1 is another than the probe
+    own = F.struct(F.col("conv_id").cast("long").alias("id"), F.lit(False).alias("probe")).alias("conv_id")
+    rows = table(spark, sf_dir, "conversations").select(own, "turn", "role", "text")
     probe = spark.range(2).select(
-        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.struct(F.lit(-1).cast("long").alias("id"), F.lit(True).alias("probe")).alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     parsed = format_chats(rows.unionByName(probe)).withColumn("turns", parse(F.col("formatted")))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return parsed.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_text, 256).alias("turns_sha256"),
+        F.col("conv_id.id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(all_text, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 ORACLE = rf"""
 WITH rows_ AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', true UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', true),
 shaped AS (
   SELECT *, regexp_replace(text, '(\\*)({CONTROL})', '\\\1\2', 'g') AS escaped,
     CASE role WHEN 'user' THEN 16 WHEN 'system' THEN 18 WHEN 'assistant' THEN 10 ELSE length(url_encode(role)) + 18 END AS frame
@@ -122,5 +124,5 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   sum(length(escaped) + frame)::BIGINT AS formatted_chars
-FROM shaped GROUP BY conv_id
+FROM shaped GROUP BY conv_id, probe
 """

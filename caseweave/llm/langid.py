@@ -46,12 +46,15 @@ def normalise(text: str) -> str:
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language from labelled docs (doc_id, text, lang), the most frequent language first."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", hash_order().alias("key"))
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("text").alias("print"))
+    known = docs.select("doc_id", "lang", "print", hash_order().alias("key"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    first = known.withColumn("n", rank).where(F.col("n") <= SAMPLE_DOCS)
-    picked = F.broadcast(first.select("doc_id", F.col("lang").alias("l")))       # SAMPLE_DOCS rows per language
-    texts = docs.join(picked, (docs.doc_id == picked.doc_id) & (docs.lang == picked.l)).select("lang", "text", hash_order("text").alias("key"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "print"))
+    first = known.where(F.col("doc_id").isNotNull()).withColumn("n", rank).where(F.col("n") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS rows per language, told by id and text; rows alike in both come once
+    picked = F.broadcast(first.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("print").alias("p")).distinct())
+    texts = docs.join(picked, (docs.doc_id == picked.i) & (docs.lang == picked.l) & (docs["print"] == picked.p)).dropDuplicates(["doc_id", "lang", "print"])
+    texts = texts.select("lang", "text", hash_order("text").alias("key"))
     held: dict[str, list[bytes]] = {}
     for row in texts.orderBy("lang", "key").select("lang", "text").toLocalIterator():       # bounded by the sample
         held.setdefault(row["lang"], []).append(normalise(row["text"])[:DOC_CHARS].encode())
@@ -77,7 +80,7 @@ class Judge:
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted) of a text."""
         plain = normalise(text) if text else ""
-        if not plain or not self.langs:
+        if not self.langs or not any(map(str.isalpha, plain)):                          # numerals such as 1/2 are words, but no letters
             return "und", 0.0, False
         raw = memoryview(plain.encode())
         slices = [raw[i:i + SLICE] for i in range(0, len(raw), SLICE)]

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut
-from .common import WORD, buckets_for, hash_bucket, hash_order, running_sum, table
+from .common import WORD, buckets_for, free, hash_bucket, hash_order, running_sum, table
 
 # fixed values: weights of the sources in code point order, repeating
 WEIGHTS = (5, 2, 1)
@@ -86,13 +86,15 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 def take_mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them."""
     columns = docs.columns
-    marked = docs.withColumn("_print", F.xxhash64(*columns))
+    print_, id_, same, copies, alike, nth = free(docs, "_print", "_id", "_pr", "_copies", "_alike", "_nth")
+    marked = docs.withColumn(print_, F.xxhash64(*columns))
     # rows that are alike in all columns are one row with the sum of their copies
-    picks = mix(marked, ["_print"]).groupBy(F.col("doc_id").alias("_id"), F.col("_print").alias("_pr")).agg(
-        F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_alike")).where("_copies > 0")
-    joined = marked.join(cut(picks), marked.doc_id.eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_pr")))
-    once = joined.where("_alike = 1").unionByName(joined.where("_alike > 1").dropDuplicates(["doc_id", "_print"]))
-    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    needed = marked.select("doc_id", "text", "source", F.col(print_).alias("_print"))
+    picks = mix(needed, ["_print"]).groupBy(F.col("doc_id").alias(id_), F.col("_print").alias(same)).agg(
+        F.sum("copies").cast("int").alias(copies), F.count(F.lit(1)).alias(alike)).where(F.col(copies) > 0)
+    joined = marked.join(cut(picks), marked["doc_id"].eqNullSafe(F.col(id_)) & (F.col(print_) == F.col(same)))
+    once = joined.where(F.col(alike) == 1).unionByName(joined.where(F.col(alike) > 1).dropDuplicates(["doc_id", print_]))
+    return once.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
 from ..session import cut
-from .common import join_hot, map_arrow, table
+from .common import free, join_hot, map_arrow, table
 from .textwork import LOWER, Words, chunks, mix, windows
 
 RECALL = 0.99999
@@ -337,6 +337,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs (doc_id, text)."""
+    return _judged(docs, width, percent).drop("key")
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``key``, which tells the set of the text; null for rows that are linked with nothing."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trees = trees_for(percent)
     sketched = cut(sketch(docs, width, trees))
@@ -369,23 +374,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)))
 
-    key = F.concat_ws("/", "f1", "f2", "n_shingles")
+    key = set_key()
     ids = cut(reps.join(comp, reps.rep == comp.node, "left").select(key.alias("key"), "copies", F.coalesce("component", "rep").alias("component")))
     rows = sketched.select("doc_id", "n_shingles", F.when(linkable, key).alias("key"))
     out = join_hot(rows, ids, "key", "copies", sketched.count(), F.xxhash64("doc_id"))
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def set_key() -> Column:
+    return F.concat_ws("/", "f1", "f2", "n_shingles")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept: one per component, and of rows with equal id and text one."""
-    gone = cut(near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("component_id").alias("_c"), F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(gone, docs.doc_id == gone["_id"], "left_anti")
-    again = cut(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    """The rows of docs, with all their columns, that are kept: one per component, and of rows with equal id and text one.
+
+    Where an id stands on several rows, a row goes by its own text's set: another text under the same id stays.
+    """
+    gid, gset, aid, text, place = free(docs, "_gid", "_gset", "_aid", "_text", "_place")
+    gone = cut(_judged(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gid), F.col("key").alias(gset)).distinct())
+    again = cut(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias(aid)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(aid))
+    is_gone, is_again = docs["doc_id"].cast("long") == F.col(gid), docs["doc_id"].cast("long") == F.col(aid)
     if again.isEmpty():
-        return kept
-    several = kept.join(again, kept.doc_id == again["_id"], "left_semi").withColumn("_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text"])
-    return kept.join(again, kept.doc_id == again["_id"], "left_anti").unionByName(several.drop("_text"))
+        return docs.join(gone.select(gid), is_gone, "left_anti")
+    several = docs.join(again, is_again, "left_semi").withColumn(text, F.sha2("text", 256)).withColumn(place, F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", text])
+    # sets of just these rows; a place stands for an id and a text
+    places = several.select(F.col(place).alias("p"), F.col("doc_id").cast("long").alias("i"), "text")
+    sets = sketch(places.select(F.col("p").alias("doc_id"), "text").dropDuplicates(["doc_id"]), width, 1).select(F.col("doc_id").alias("at"), set_key().alias("set"))
+    lost = places.select("p", "i").join(sets, F.col("p") == F.col("at")).join(gone, (F.col("i") == F.col(gid)) & (F.col("set") == F.col(gset))).select("p").distinct()
+    kept = several.join(lost.withColumnRenamed("p", aid), F.col(place) == F.col(aid), "left_anti").select(*docs.columns)
+    single = docs.join(again, is_again, "left_anti").join(gone.select(gid), is_gone, "left_anti")
+    return single.unionByName(kept)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,32 @@ def test_mixing(spark, docs, empty):
     taken = mixing.take_mix(docs)
     assert taken.columns == docs.columns and taken.count() == sum(r["copies"] for r in out)
     assert mixing.mix(empty).count() == 0 and mixing.take_mix(empty).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    judge = langid.Judge({"en": b"some words of a language"}, 0.01)
+    assert [judge(t)[0] for t in ("\u00bd \u00b2", "\u2167 \u2460", "12 3", "_ !", "\u00bd x")] == ["und"] * 4 + ["en"]
+
+
+def test_sample_of_repeated_and_null_ids(spark):
+    """A hot id gives the sample no more rows than it may have, and null ids do not fill it."""
+    rows = [(7, f"text number {i} of one id", "en") for i in range(1_000)] + [(None, f"null {i}", "en") for i in range(1_000)] + [(i, f"plain {i} words", "en") for i in range(20, 40)]
+    found = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"]
+    assert found.count(b"text number") + found.count(b"plain") == langid.SAMPLE_DOCS and b"null" not in found
+
+
+def test_unique_text_under_a_repeated_id_stays(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, a, 1, 1), (2, a, 1, 1), (2, "a text that nobody else has at all in here", 1, 1), (2, a, 1, 1), (3, "x y z", 1, 1), (3, "x y z", 1, 2), (3, None, 1, 1)],
+                                 "doc_id long, text string, _text int, _id int")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], (r["text"] or "")[:5]) for r in kept.collect()) == [(1, "one t"), (2, "a tex"), (3, ""), (3, "x y z")]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_print", "_id", "_pr", "_copies", "_alike", "_nth"]
+    docs = spark.createDataFrame([(i, "some words here " * (i + 1), "ab"[i % 2], *range(10, 16)) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.take_mix(docs)
+    assert out.columns == docs.columns and out.count() > 8
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(10, 16))}

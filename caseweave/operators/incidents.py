@@ -68,10 +68,16 @@ def incident_profile(m: DataFrame, agents: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*AT, "technique_id")).alias("first"))
 
 
-def entity_counts(profile: DataFrame) -> DataFrame:
+def entity_counts(profile: DataFrame, reputation: DataFrame | None = None) -> DataFrame:
+    """Events per entity of each component; with ``reputation`` (ip, ...) also whether an address is listed there."""
     kinds = list(C.LINKS)
-    return profile.where(F.col("attr").isin(kinds)).select(
+    out = profile.where(F.col("attr").isin(kinds)).select(
         *CID, F.col("attr").alias("kind"), "value", F.col("n").alias("event_count"))
+    if reputation is None:
+        return out
+    listed = reputation.select(F.col("ip").alias("_ip")).distinct()
+    return out.join(listed, (F.col("kind") == "ip") & (F.col("value") == F.col("_ip")), "left").withColumn(
+        "reputation_hit", F.col("_ip").isNotNull()).drop("_ip")
 
 
 def _ordered(attr: str) -> Column:

@@ -179,31 +179,31 @@ def macro_prf(rows: DataFrame) -> DataFrame:
                    X.half_up(F.avg(f1), 6).alias("f1"))
 
 
-SCORE_GRID = 1_000_000
+#: Distinct scores that a task orders.
+RANGE_SCORES = 100_000
 
 
 def threshold_table(rows: DataFrame) -> DataFrame:
-    """Cumulative true and false positives at every distinct score, highest first.
+    """Cumulative true and false positives at every distinct score, as it is, and the place of the score from the lowest.
 
-    Scores are kept to six decimals, so there are at most a million thresholds
-    however many rows; running sums go over blocks of a thousand and the
-    thousand block totals, not over one big partition.
+    A prefix sum in two passes: distinct scores are range-partitioned and written, the sums of the parts are ordered,
+    and scores are ordered inside their part only, so no task orders more than ``RANGE_SCORES`` of them or so.
     """
-    g = rows.groupBy(F.round(F.col("score") * SCORE_GRID).cast("long").alias("s")).agg(
-        F.sum(F.col("is_attack").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    g = g.withColumn("blk", F.floor(F.col("s") / 1000).cast("long"))
-    tops = g.groupBy("blk").agg(F.sum("tp").alias("b_tp"), F.sum("n").alias("b_n"))
-    above = W.partitionBy(F.lit(0)).orderBy(F.desc("blk")).rowsBetween(W.unboundedPreceding, -1)
+    g = cut(rows.groupBy("score").agg(F.sum(F.col("is_attack").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")))
+    size = g.count()
+    g = cut(g.repartitionByRange(max(1, -(-size // RANGE_SCORES)), "score").withColumn("part", F.spark_partition_id()))
     zero = F.lit(0).cast("long")
-    tops = tops.select("blk", F.coalesce(F.sum("b_tp").over(above), zero).alias("a_tp"),
-                       F.coalesce(F.sum("b_n").over(above), zero).alias("a_n"))
-    inside = W.partitionBy("blk").orderBy(F.desc("s"))
-    cum = g.join(tops, "blk").select(
-        "s", (F.col("a_tp") + F.sum("tp").over(inside)).alias("cum_tp"), (F.col("a_n") + F.sum("n").over(inside)).alias("cum_n"),
-        F.col("tp").alias("step_tp"))
-    total = rows.agg(F.sum(F.col("is_attack").cast("long")).alias("pos"), F.count(F.lit(1)).alias("all_n"))
+    above, below = (W.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.desc("part"), F.asc("part")))      # over one row per part
+    tops = g.groupBy("part").agg(F.sum("tp").alias("b_tp"), F.sum("n").alias("b_n"), F.count(F.lit(1)).alias("b_c"))
+    tops = tops.select("part", F.coalesce(F.sum("b_tp").over(above), zero).alias("a_tp"), F.coalesce(F.sum("b_n").over(above), zero).alias("a_n"),
+                       F.coalesce(F.sum("b_c").over(below), zero).alias("base"))
+    inside, rising = W.partitionBy("part").orderBy(F.desc("score")), W.partitionBy("part").orderBy("score")
+    cum = g.join(tops, "part").select(
+        "score", (F.col("a_tp") + F.sum("tp").over(inside)).alias("cum_tp"), (F.col("a_n") + F.sum("n").over(inside)).alias("cum_n"),
+        F.col("tp").alias("step_tp"), (F.col("base") + F.row_number().over(rising) - 1).alias("pos_ix"))
+    total = g.agg(F.sum("tp").alias("pos"), F.sum("n").alias("all_n"))
     return cum.join(F.broadcast(total)).select(
-        (F.col("s") / F.lit(float(SCORE_GRID))).alias("threshold"), "cum_tp", (F.col("cum_n") - F.col("cum_tp")).alias("cum_fp"),
+        F.col("score").alias("threshold"), "pos_ix", "cum_tp", (F.col("cum_n") - F.col("cum_tp")).alias("cum_fp"),
         "step_tp", "pos", (F.col("all_n") - F.col("pos")).alias("neg"),
         F.try_divide(F.col("cum_tp"), F.col("cum_n")).alias("precision"), F.try_divide(F.col("cum_tp"), F.col("pos")).alias("recall"))
 
@@ -225,20 +225,13 @@ def fpr_at_90_recall(rows: DataFrame) -> DataFrame:
 def pr_curve(rows: DataFrame, points: int = 14) -> DataFrame:
     """Evenly spaced points of the precision-recall curve, from the lowest threshold to the (recall 0, precision 1) end.
 
-    A position is the rank of a threshold from the lowest: block counts plus
-    the place inside the block.
+    A position is the rank of a threshold from the lowest.
     """
     t = threshold_table(rows)
-    t = t.withColumn("blk", F.floor(F.col("threshold") * 1000).cast("long"))
-    counts = t.groupBy("blk").agg(F.count(F.lit(1)).alias("c"))
-    earlier = W.partitionBy(F.lit(0)).orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("blk", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("base"))
-    inside = W.partitionBy("blk").orderBy("threshold")
-    ranked = t.join(counts, "blk").withColumn("pos_ix", F.col("base") + F.row_number().over(inside) - 1)
     size = t.agg(F.count(F.lit(1)).alias("size"))
     picks = size.select("size", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).select(
         "size", F.floor(F.col("k") * F.col("size") / (points - 1)).cast("long").alias("pos_ix")).distinct()
-    hit = picks.join(ranked.select("pos_ix", "recall", "precision"), "pos_ix", "left")
+    hit = picks.join(t.select("pos_ix", "recall", "precision"), "pos_ix", "left")
     end = F.col("pos_ix") == F.col("size")
     return hit.select("pos_ix", X.half_up(F.when(end, 0.0).otherwise(F.col("recall")), 3).alias("recall"),
                       X.half_up(F.when(end, 1.0).otherwise(F.col("precision")), 3).alias("precision"))

@@ -358,12 +358,12 @@ CTE["grp"] = f"""SELECT last(event_id {_ord}) AS event_id, pred_class, path, cou
   {iso('max(ts_us)')} AS ts, {iso('min(ts_us)')} AS first_seen, avg(pred_confidence) AS mean_conf FROM cand GROUP BY pred_class, path"""
 _kinds = "CASE WHEN kind < 4 THEN 'normal' WHEN kind = 4 THEN 'slow_recon' WHEN kind = 5 THEN 'credential_stuffing' WHEN kind = 6 THEN 'brute_force' WHEN kind = 7 THEN 'dir_scan' WHEN kind = 8 THEN 'scraper' ELSE 'flood' END"
 CTE["mr"] = f"""SELECT event_id, {_kinds} AS label, CASE WHEN k % 10 = 0 THEN 'normal' WHEN k % 17 = 0 THEN 'flood' ELSE {_kinds} END AS pred,
-  kind >= 4 AS is_attack, (k + CAST(kind >= 4 AS INTEGER) * 30) / 130.0 AS score FROM we"""
+  kind >= 4 AS is_attack, CAST(k + CAST(kind >= 4 AS INTEGER) * 30 AS DOUBLE) / CAST(130 AS DOUBLE) + (event_id % 97) * CAST('1e-8' AS DOUBLE) AS score FROM we"""
 CTE["per"] = """SELECT c, sum(tp) AS tp, sum(actual) AS actual, sum(called) AS called FROM (
   SELECT label AS c, count(*) AS actual, 0 AS called, count(*) FILTER (label = pred) AS tp FROM mr GROUP BY 1
   UNION ALL SELECT pred, 0, count(*), 0 FROM mr GROUP BY 1) GROUP BY c"""
 CTE["thr"] = """SELECT t, tp, n, sum(tp) OVER (ORDER BY t DESC) AS cum_tp, sum(n) OVER (ORDER BY t DESC) AS cum_n, sum(tp) OVER () AS pos, sum(n) OVER () AS all_n,
-  row_number() OVER (ORDER BY t) - 1 AS ix, count(*) OVER () AS size FROM (SELECT round(score * 1000000) AS t, count(*) FILTER (is_attack) AS tp, count(*) AS n FROM mr GROUP BY 1)"""
+  row_number() OVER (ORDER BY t) - 1 AS ix, count(*) OVER () AS size FROM (SELECT score AS t, count(*) FILTER (is_attack) AS tp, count(*) AS n FROM mr GROUP BY 1)"""
 CTE["reg"] = """SELECT 'v1.0.' || p_partkey AS version, p_partkey * 1000000 + p_size AS trained_us, 0.5 + p_size / 100.0 AS pr_auc, (p_partkey % 20) / 100.0 AS fpr_at_90_recall,
   p_partkey % 3 = 0 AS promoted, CASE WHEN p_partkey % 3 = 1 THEN 'PR-AUC regressed' END AS rejection_reason, p_partkey % 50 AS n_feedback FROM part"""
 CTE["champ"] = "SELECT * FROM reg WHERE promoted ORDER BY trained_us DESC, version DESC LIMIT 1"
@@ -379,15 +379,15 @@ def add(name: str, final: str) -> None:
 
 # --- 2.1 ------------------------------------------------------------------------------------------------------
 add("scan_events", "SELECT event_id, ts_us, src_ip, pred_class FROM sd")
-add("scan_assets_csv", f"SELECT asset_id, name, a.kind, CAST(criticality AS DOUBLE) AS criticality, cpe_product, count(*) AS events FROM (SELECT *, {_route} AS asset_id FROM au) JOIN asset_dim a USING (asset_id) GROUP BY ALL")
+add("scan_assets_csv", f"SELECT a.asset_id, name, a.kind, CAST(criticality AS DOUBLE) AS criticality, cpe_product, count(e.event_id) AS events FROM asset_dim a LEFT JOIN (SELECT event_id, {_route} AS asset_id FROM au) e USING (asset_id) GROUP BY ALL")
 _entry = "CASE WHEN m < 0 THEN m + 1000 ELSE m END"
 _match = "(SELECT min(CASE WHEN p.path = au.path THEN ordinal - 1000 ELSE ordinal END) FROM path_dim p WHERE starts_with(au.path, p.path))"
-add("scan_path_cve", f"SELECT ordinal, p.path, cve, product, count(*) AS events FROM (SELECT {_match} AS m FROM au) JOIN path_dim p ON ordinal = {_entry} GROUP BY ALL")
-add("scan_attack_map", "SELECT technique_id, technique, tactic, CAST(tactic_order AS BIGINT) AS tactic_order, count(*) AS events FROM ev WHERE technique_id IS NOT NULL GROUP BY ALL")
+add("scan_path_cve", f"SELECT ordinal, p.path, cve, product, count(m) AS events FROM path_dim p LEFT JOIN (SELECT {_match} AS m FROM au) ON ordinal = {_entry} GROUP BY ALL")
+add("scan_attack_map", "SELECT t.technique_id, t.technique, t.tactic, CAST(t.tactic_order AS BIGINT) AS tactic_order, count(event_id) AS events FROM tech_dim t LEFT JOIN ev ON ev.technique_id = t.technique_id GROUP BY ALL")
 add("scan_kev_json", "SELECT cve, kev_added FROM kev")
 add("scan_epss_json", "SELECT cve, CAST(epss AS DOUBLE) AS epss FROM epss_feed")
 add("scan_blocklists", "SELECT ip, 'feodo' AS list FROM feodo UNION ALL SELECT ip, 'tor' FROM tor")
-add("scan_playbooks", "SELECT technique_id, section, CAST(ordinal AS BIGINT) AS ordinal, action_id, action, owner, CAST(eta_min AS BIGINT) AS eta_min, events FROM (SELECT technique_id, count(*) AS events FROM ev GROUP BY 1) JOIN book_dim USING (technique_id)")
+add("scan_playbooks", "SELECT b.technique_id, section, CAST(ordinal AS BIGINT) AS ordinal, action_id, action, owner, CAST(eta_min AS BIGINT) AS eta_min, coalesce(events, 0) AS events FROM book_dim b LEFT JOIN (SELECT technique_id, count(*) AS events FROM ev GROUP BY 1) n ON n.technique_id = b.technique_id")
 add("feeds_status", "SELECT feed, entries, CASE WHEN entries = 0 THEN 'feed is empty' ELSE 'loaded' END AS note FROM (SELECT 'kev' AS feed, (SELECT count(*) FROM kev) AS entries UNION ALL SELECT 'epss', (SELECT count(*) FROM epss_feed) UNION ALL SELECT 'feodo', (SELECT count(*) FROM feodo) UNION ALL SELECT 'tor', (SELECT count(*) FROM tor))")
 add("parse_features", "SELECT event_id, " + ", ".join(f"CASE WHEN {_bad} THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for c in ("req_rate_60s", "path_entropy", "unique_paths_60s", "mouse_move_count", "browser_telemetry_present")) + " FROM ft")
 add("write_events", "SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS events FROM we GROUP BY 1")
@@ -491,7 +491,7 @@ add("cluster_span", f"SELECT component, {iso('opened_us')} AS opened_at, {iso('l
 add("kill_chain", f"SELECT component, tactic, technique_id, technique, {iso('first_us')} AS first_seen, event_count, tactic_order FROM chain")
 add("kill_chain_depth", "SELECT component, depth, depth >= 3 AS escalate FROM inc")
 add("primary_class", "SELECT component, primary_class, top_asn FROM inc")
-add("entity_counts", "SELECT component, kind, value, event_count FROM prof")
+add("entity_counts", "SELECT component, kind, value, event_count, kind = 'ip' AND value IN (SELECT ip FROM feodo UNION SELECT ip FROM tor) AS reputation_hit FROM prof")
 add("affected_assets", "SELECT component, assets, n_users FROM inc")
 add("max_individual_priority", "SELECT component, max_individual_priority FROM inc")
 add("techniques_set", "SELECT component, techniques FROM inc")
@@ -627,7 +627,7 @@ add("stream_sessions", """SELECT src_ip, min(ts_us) // 1000 AS start_ms, max(ts_
   SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) < 300000000 THEN 0 ELSE 1 END AS fresh FROM we)) GROUP BY src_ip, grp_no""")
 add("stream_rolling_features", "SELECT event_id, req_rate_60s, unique_paths_60s, path_entropy, payload_bytes_std, requests_this_session, auth_success_after_fails FROM feat")
 add("late_events", "SELECT event_id, mx - 600000000 - ts_us AS behind_us FROM we, (SELECT max(ts_us) AS mx, min(ts_us) AS mn FROM we) WHERE ts_us <= least(mx // 2 + mn // 2, mx - 600000000)")
-add("stream_fuse", "SELECT event_id, browser_telemetry_present, mouse_move_count, click_count FROM fz JOIN we USING (event_id) WHERE session_id IS NOT NULL")
+add("stream_fuse", "SELECT event_id, browser_telemetry_present, mouse_move_count, click_count FROM fz JOIN we USING (event_id)")
 add("stream_classify", "SELECT event_id, pred_class, pred_confidence, attack_technique FROM en")
 add("stream_skip_paths", "SELECT event_id, url_path FROM we WHERE event_id % 3 <> 0")
 add("stream_dedup", "SELECT session_id, telemetry_id FROM tel")

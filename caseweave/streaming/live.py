@@ -3,7 +3,7 @@
 Event time everywhere: a stream must carry ``ts`` with a watermark.  Rates and
 sessions are built-in windowed aggregates.  Exact per-request trailing features
 run the batch operators on the rows that the watermark has passed and their recent past, kept as bounded versions in a
-shared folder; correlation re-runs the batch flow over the stored log.
+shared folder; correlation merges the links of a batch into the components stored before it.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from .. import constants as C
 from ..functions import expr as X
-from ..operators import features
+from ..operators import features, graph
 from ..plans.pipeline import score_log
-from ..session import drop_folder
+from ..session import cut, drop_folder
 from ..sources.feeds import Feeds
 
 def _rates() -> list:
@@ -58,9 +58,12 @@ def fuse(requests: DataFrame, telemetry: DataFrame, watermark: str = "10 minutes
     """Requests with the newest telemetry of their session in the last ``ttl_s`` seconds, else NULLs.
 
     Left outer interval join (state on both sides is bounded by the watermark
-    and the interval), then the newest candidate per request.
+    and the interval), then the newest candidate per request.  Requests without a
+    session can meet none: they pass straight by and keep no state.
     """
-    r = requests.withWatermark("ts", watermark)
+    r = requests.where(F.col("session_id").isNotNull()).withWatermark("ts", watermark)
+    nothing = [F.lit(None).cast("double").alias(c) for c in C.BROWSER_FEATURES]
+    alone = requests.where(F.col("session_id").isNull()).select("tenant_id", "event_id", "session_id", *nothing, F.lit(0).alias("browser_telemetry_present"))
     t = telemetry.select(F.col("session_id").alias("t_session"), F.col("ts").alias("t_ts"), *C.BROWSER_FEATURES
                          ).withWatermark("t_ts", watermark)
     near = F.expr(f"session_id = t_session AND t_ts <= ts AND t_ts >= ts - INTERVAL {ttl_s} SECONDS")
@@ -68,7 +71,7 @@ def fuse(requests: DataFrame, telemetry: DataFrame, watermark: str = "10 minutes
     newest = F.max_by(F.struct("t_ts", *C.BROWSER_FEATURES), F.col("t_ts")).alias("b")
     out = j.groupBy(F.window("ts", "1 second"), "tenant_id", "event_id", "session_id").agg(newest)
     return out.select("tenant_id", "event_id", "session_id", *[F.col(f"b.{c}").alias(c) for c in C.BROWSER_FEATURES],
-                      F.col("b.t_ts").isNotNull().cast("int").alias("browser_telemetry_present"))
+                      F.col("b.t_ts").isNotNull().cast("int").alias("browser_telemetry_present")).unionByName(alone)
 
 
 class AddressState:
@@ -174,16 +177,71 @@ def classify_stream(stream: DataFrame, telemetry: DataFrame, feeds: Feeds, folde
     return _each_batch(stream, folder, out, lambda rows, prior, now: skip_paths(score_log(rows, telemetry, feeds, now or 0, prior=prior)), delay, ttl)
 
 
-def correlate_every(stream: DataFrame, log_path: str, rebuild, interval: str = "15 seconds"):
-    """Append each micro-batch to the stored log, then rebuild the incident table over it.
+class LinkState:
+    """Connected components kept up to date by micro-batches of seed events that arrive in event-time order, as ``AddressState`` releases them.
 
-    ``rebuild(spark, log_path, batch_id)`` runs the batch flow.  Returns the
-    writer: the caller sets the checkpoint and starts it.  A batch that is
-    retried after a failure rewrites its own folder, so no row is stored twice.
+    ``tail``: the last event of every entity still inside the longest link window.  A new event can only be linked to it
+    or to other new events, so a batch builds no link twice and reads no older event.  ``log``: events with the label
+    they got on arrival, appended and never rewritten.  ``roots``: labels that were merged later, with the component
+    they belong to now; a batch touches only those of components it links.  A component is named by its smallest event,
+    as in the batch flow.  Tail and roots are versions: a retried batch makes its own again.
     """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _path(self, part: str, version: int) -> str:
+        return f"{self.folder}/{part}/version={version}"
+
+    def _roots(self, spark: SparkSession, version: int) -> DataFrame | None:
+        return spark.read.parquet(self._path("roots", version)) if version >= 0 else None
+
+    def step(self, batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        runs = cut(graph.run_map(batch))
+        ents = graph.entities_of(graph.with_values(graph.on_runs(batch, runs)), keep=["run_id", "vals"])
+        roots, node = self._roots(spark, version - 1), F.col("run_id")
+        tail = None
+        if roots is not None:
+            tail = spark.read.parquet(self._path("tail", version - 1))
+            tail = tail.join(roots, tail["run_id"] == roots["label"], "left").withColumn("run_id", F.coalesce("root", "run_id")).select(*ents.columns)
+        both = cut(ents if tail is None else ents.unionByName(tail))
+        pairs = graph.neighbour_pairs(graph.entity_index(both, keep=["run_id", "vals"]), across="run_id")
+        edges = graph.edge_weights(pairs).select(F.col("a_run_id").alias("u"), F.col("b_run_id").alias("v"))
+        found = cut(graph.components(edges))
+        labels = cut(runs.select("run_id").distinct().join(found, node == found["node"], "left").select("run_id", F.coalesce("component", "run_id").alias("label")))
+        named = graph.on_runs(batch, runs).join(labels, "run_id").drop("run_id")
+        named.write.mode("overwrite").parquet(f"{self.folder}/log/batch={version}")
+        # labels of before that this batch merged, and those that had been merged into them
+        moved = found.where("node <> component").join(labels.select(F.col("run_id").alias("node")), "node", "left_anti").select(
+            F.col("node").alias("label"), F.col("component").alias("root"))
+        if roots is not None:
+            again = moved.select(F.col("label").alias("_at"), F.col("root").alias("_to"))
+            moved = roots.join(again, roots["root"] == again["_at"], "left").select("label", F.coalesce("_to", "root").alias("root")).unionByName(moved)
+        moved.write.mode("overwrite").parquet(self._path("roots", version))
+        newest = both.groupBy(*graph.ENTITY).agg(F.max(F.struct("ts_us", "event_id", "run_id", "vals")).alias("m"))
+        newest = newest.select(*graph.ENTITY, "m.*").join(labels, "run_id", "left").withColumn("run_id", F.coalesce("label", "run_id")).drop("label")
+        reach = batch.agg(F.max("ts_us").alias("now"))
+        longest = max(w for _, _, w in C.LINKS.values()) * C.HOUR_US
+        kept = newest.join(F.broadcast(reach)).where(F.col("now").isNull() | (F.col("ts_us") >= F.col("now") - F.lit(int(longest)))).select(*ents.columns)
+        kept.write.mode("overwrite").parquet(self._path("tail", version))
+        for part in ("tail", "roots"):
+            if version >= 2:
+                drop_folder(spark, self._path(part, version - 2))
+
+    def members(self, spark: SparkSession, version: int) -> DataFrame:
+        """All events with their component after a version."""
+        log, roots = spark.read.parquet(f"{self.folder}/log").drop("batch"), self._roots(spark, version)
+        return log.join(roots, "label", "left").withColumn("component", F.coalesce("root", "label")).drop("label", "root")
+
+
+def correlate_stream(stream: DataFrame, folder: str, rebuild, interval: str | None = None) -> DataStreamWriter:
+    """Components of a stream of seed events, batch by batch; ``rebuild(members, batch_id)`` makes the incidents of each."""
+    state = LinkState(folder)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("day", F.to_date("ts")).write.mode("overwrite")
-         .parquet(f"{log_path}/batch={batch_id}"))
-        rebuild(batch.sparkSession, log_path, batch_id)
+        state.step(batch, batch_id)
+        rebuild(state.members(batch.sparkSession, batch_id), batch_id)
 
-    return stream.writeStream.foreachBatch(on_batch).trigger(processingTime=interval)
+    writer = stream.writeStream.foreachBatch(on_batch)
+    return writer.trigger(processingTime=interval) if interval else writer

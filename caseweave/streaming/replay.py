@@ -36,14 +36,15 @@ def as_stream(rows: DataFrame, files_per_trigger: int = 4) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def in_slices(rows: DataFrame, start, slices: int = 3, arrival=None, folder: str | None = None) -> DataFrame:
+def in_slices(rows: DataFrame, start, slices: int = 3, arrival=None, folder: str | None = None, out: str | None = None) -> DataFrame:
     """Feed the rows in the order of ``arrival`` (event time by default), one slice per run of ``start(stream, folder, out)``.
 
     Every run continues from the same checkpoint, as a restarted stream does.  A last slice with one row far in the
     future lets the watermark pass all others.  Returns the output.
     """
     spark = rows.sparkSession
-    source, state, out, offsets = (scratch(spark, n) for n in ("slices", "state", "out", "offsets"))
+    source, state, made, offsets = (scratch(spark, n) for n in ("slices", "state", "out", "offsets"))
+    out = out or made
     at = F.col("ts_us") if arrival is None else arrival
     low, high = rows.agg(F.min(at), F.max(at)).first()
     width = (high - low) // slices + 1

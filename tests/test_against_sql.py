@@ -16,7 +16,7 @@ NAMES = [
     "match_campaign", "playbook_context", "fill_template", "incident_narrative", "daily_trend", "funnel", "correlation_metrics",
     "invariants", "review_groups", "feedback_training_rows", "mark_consumed", "macro_prf", "average_precision", "pr_curve",
     "promotion_gate", "grouped_holdout", "review_sample", "calibrate_checks", "stream_rate_sliding", "stream_sessions", "stream_dedup",
-    "split_communities", "recut_incidents", "append_model_version", "score_with_model", "late_events", "stream_rolling_features",
+    "split_communities", "recut_incidents", "append_model_version", "score_with_model", "stream_correlate", "late_events", "stream_rolling_features",
 ]
 
 

@@ -137,43 +137,50 @@ def bin_edges(rows: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray]
     return [np.unique(np.array(got[j] or [], float)) for j in range(width)]
 
 
-def _binned(rows: DataFrame, model: Model) -> DataFrame:
-    """(y, bins, scores): what training reads, narrow."""
-    label = F.array_position(F.array(*map(F.lit, model.classes)), F.col("label")).cast("int") - 1
+def _binned(rows: DataFrame, models: list[Model]) -> DataFrame:
+    """(y, fold, bins, scores): what training reads, narrow; scores of all models, one after the other."""
+    first = models[0]
+    label = F.array_position(F.array(*map(F.lit, first.classes)), F.col("label")).cast("int") - 1
+    base = np.concatenate([m.base for m in models])
 
     def run(batches):
         for pdf in batches:
-            x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), len(model.features))
-            b = model.bins(x)
-            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "bins": [r.tobytes() for r in b], "scores": list(np.tile(model.base, (len(pdf), 1)))})
+            x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), len(first.features))
+            b = first.bins(x)
+            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "fold": pdf["fold"].to_numpy(), "bins": [r.tobytes() for r in b], "scores": list(np.tile(base, (len(pdf), 1)))})
 
-    return rows.select(label.alias("y"), "features").mapInPandas(run, "y int, bins binary, scores array<double>")
+    return rows.select(label.alias("y"), "fold", "features").mapInPandas(run, "y int, fold int, bins binary, scores array<double>")
 
 
-def _unpack(pdf: pd.DataFrame, width: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), width)
-    return pdf["y"].to_numpy(), bins, np.array(pdf["scores"].tolist(), float).reshape(len(pdf), classes)
+def _unpack(pdf: pd.DataFrame, models: list[Model]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), len(models[0].features))
+    scores = np.array(pdf["scores"].tolist(), float).reshape(len(pdf), len(models), len(models[0].classes))
+    return pdf["y"].to_numpy(), pdf["fold"].to_numpy(), bins, scores
 
 
-def _histograms(rows: DataFrame, model: Model, since: list[list[Tree]], growing: list[Tree], level: int) -> DataFrame:
-    """(k, node, j, bin, g, h): sums over all rows whose deepest node in a growing tree is on this level."""
-    classes, width, n_bins = len(model.classes), len(model.features), max(map(len, model.edges), default=0) + 2
+def _histograms(rows: DataFrame, models: list[Model], since: list[list[list[Tree]]], growing: list[list[Tree]], level: int) -> DataFrame:
+    """(k, node, j, bin, g, h): sums over all rows whose deepest node in a growing tree is on this level; k counts the classes of all models."""
+    first_model = models[0]
+    classes, width, n_bins = len(first_model.classes), len(first_model.features), max(map(len, first_model.edges), default=0) + 2
     first, count = (1 << level) - 1, 1 << level
 
     def run(batches):
-        total = np.zeros((2, classes, count, width, n_bins), np.int64)
+        total = np.zeros((2, len(models) * classes, count, width, n_bins), np.int64)
         for pdf in batches:
-            y, bins, scores = _unpack(pdf, width, classes)
-            p = softmax(model.scores(bins, since, scores))
-            g = np.rint((p - (y[:, None] == np.arange(classes))) * GRAIN)
-            h = np.rint(p * (1 - p) * GRAIN)
-            for k in range(classes):
-                at = growing[k].node(bins) - first
-                here = np.flatnonzero(at >= 0)
-                for j in range(width):
-                    cell = at[here] * n_bins + bins[here, j]
-                    for i, v in enumerate((g, h)):
-                        total[i, k, :, j] += np.bincount(cell, v[here, k], count * n_bins).astype(np.int64).reshape(count, n_bins)
+            y, fold, bins, scores = _unpack(pdf, models)
+            for v, m in enumerate(models):
+                mine = np.flatnonzero((fold != v - 1) | (v == 0))                                    # model 0 sees all rows, model v all but fold v - 1
+                b, own = bins[mine], y[mine]
+                p = softmax(m.scores(b, since[v], scores[mine, v]))
+                g = np.rint((p - (own[:, None] == np.arange(classes))) * GRAIN)
+                h = np.rint(p * (1 - p) * GRAIN)
+                for k in range(classes):
+                    at = growing[v][k].node(b) - first
+                    here = np.flatnonzero(at >= 0)
+                    for j in range(width):
+                        cell = at[here] * n_bins + b[here, j]
+                        for i, x in enumerate((g, h)):
+                            total[i, v * classes + k, :, j] += np.bincount(cell, x[here, k], count * n_bins).astype(np.int64).reshape(count, n_bins)
         k, node, j, b = np.nonzero(total[0] | total[1])
         yield pd.DataFrame({"k": k, "node": node + first, "j": j, "bin": b, "g": total[0][k, node, j, b], "h": total[1][k, node, j, b]})
 
@@ -208,41 +215,48 @@ def _best_splits(hist: DataFrame) -> list:
 
 def fit(rows: DataFrame, classes: list[str], features: list[str], rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE) -> Model:
     """Model of rows (label, features); a label outside ``classes`` is an error, no rows give even chances."""
+    return fit_folds(rows.select("label", "features", F.lit(-1).alias("fold")), classes, features, 0, rounds, depth, rate)[0]
+
+
+def fit_folds(rows: DataFrame, classes: list[str], features: list[str], folds: int, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE) -> list[Model]:
+    """The model of all rows (label, features, fold), then for each fold one of all other rows, grown side by side in the same passes."""
     ship(rows.sparkSession)
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if set(counts) - set(classes):
-        raise ValueError(f"labels {sorted(map(str, set(counts) - set(classes)))} are not among the classes")
-    total = sum(counts.values())
-    prior = np.array([(counts.get(c, 0) + 1) / (total + len(classes)) for c in classes])
-    model = Model(list(classes), list(features), bin_edges(rows, len(features)), np.log(prior))
-    if not total:
-        return model
-    data = cut(_binned(rows, model))
-    since: list[list[Tree]] = []
+    counts: dict[tuple, int] = {(r["label"], r["fold"]): r["n"] for r in rows.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if {c for c, _ in counts} - set(classes):
+        raise ValueError(f"labels {sorted(map(str, {c for c, _ in counts} - set(classes)))} are not among the classes")
+    edges, models = bin_edges(rows, len(features)), []
+    for v in range(folds + 1):
+        own = [sum(n for (c, f), n in counts.items() if c == cls and (v == 0 or f != v - 1)) for cls in classes]
+        models.append(Model(list(classes), list(features), edges, np.log((np.array(own) + 1) / (sum(own) + len(classes)))))
+    if not counts:
+        return models
+    data = cut(_binned(rows, models))
+    since: list[list[list[Tree]]] = [[] for _ in models]
     value = lambda g, h: -rate * g / (h + RIDGE * GRAIN)
     for r in range(rounds):
-        growing = [Tree.empty(depth) for _ in classes]
+        growing = [[Tree.empty(depth) for _ in classes] for _ in models]
         for level in range(depth):
-            for s in _best_splits(_histograms(data, model, since, growing, level)):
-                t, i = growing[s["k"]], s["node"]
+            for s in _best_splits(_histograms(data, models, since, growing, level)):
+                v, k = divmod(s["k"], len(classes))
+                t, i = growing[v][k], s["node"]
                 t.value[i] = value(s["sg"], s["sh"])
                 if s["gain"] > 0:
                     t.feature[i], t.threshold[i], t.missing_left[i] = s["j"], s["bin"], s["left"]
                     t.value[2 * i + 1], t.value[2 * i + 2] = value(s["lg"], s["lh"]), value(s["sg"] - s["lg"], s["sh"] - s["lh"])
-        since.append(growing)
-        model.rounds.append(growing)
+        for v, m in enumerate(models):
+            since[v].append(growing[v])
+            m.rounds.append(growing[v])
         if (r + 1) % WRITE_EVERY == 0 and r + 1 < rounds:
-            data, since = cut(_advanced(data, model, since)), []
-    return model
+            data, since = cut(_advanced(data, models, since)), [[] for _ in models]
+    return models
 
 
-def _advanced(data: DataFrame, model: Model, since: list[list[Tree]]) -> DataFrame:
-    classes, width = len(model.classes), len(model.features)
-
+def _advanced(data: DataFrame, models: list[Model], since: list[list[list[Tree]]]) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            _, bins, scores = _unpack(pdf, width, classes)
-            yield pdf.assign(scores=list(model.scores(bins, since, scores)))
+            _, _, bins, scores = _unpack(pdf, models)
+            grown = np.concatenate([m.scores(bins, since[v], scores[:, v]) for v, m in enumerate(models)], axis=1)
+            yield pdf.assign(scores=list(grown))
 
     return data.mapInPandas(run, data.schema)
 
@@ -259,6 +273,22 @@ def probabilities(model: Model, features: Column) -> Column:
     return proba(features)
 
 
+def fold_probabilities(models: list[Model], features: Column, fold: Column) -> Column:
+    """As ``probabilities``, of each row by the model of its fold (``fit_folds``: the first is that of all rows)."""
+    width = len(models[0].features)
+    ship(SparkSession.active())
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def proba(x: pd.Series, f: pd.Series) -> pd.Series:
+        rows, which = np.array(x.tolist(), float).reshape(len(x), width), f.to_numpy()
+        out = np.zeros((len(x), len(models[0].classes)))
+        for v, m in enumerate(models[1:]):
+            out[which == v] = m.proba(rows[which == v])
+        return pd.Series(list(out))
+
+    return proba(features, fold)
+
+
 def save(model: Model, spark: SparkSession, path: str) -> None:
     spark.createDataFrame(list(model.rows()), ROW_TYPES).coalesce(1).write.mode("overwrite").parquet(path)
 

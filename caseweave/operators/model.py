@@ -114,16 +114,16 @@ def calibrate(scored: DataFrame, labels: list[str] = C.CLASSES):
     return maps
 
 
+def fit_with_folds(rows: DataFrame, folds: int = 3, seed: int = 7) -> tuple[boosting.Model, DataFrame]:
+    """The model of all rows, and (event_id, label, proba) of each row by a model that did not see its group."""
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("group_key", F.lit(seed)), F.lit(folds)).cast("int"))
+    models = boosting.fit_folds(rows.select("label", "features", "fold"), C.CLASSES, C.FEATURES, folds)
+    return models[0], rows.select("event_id", "label", boosting.fold_probabilities(models, F.col("features"), F.col("fold")).alias("proba"))
+
+
 def out_of_fold(rows: DataFrame, folds: int = 3, seed: int = 7) -> DataFrame:
     """Scores of each row by a model that did not see its group."""
-    fold = F.pmod(F.xxhash64("group_key", F.lit(seed)), F.lit(folds))
-    rows = rows.withColumn("fold", fold)
-    out = None
-    for k in range(folds):
-        part = predict(fit_classifier(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k))
-        part = part.select("event_id", "label", "proba")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return fit_with_folds(rows, folds, seed)[1]
 
 
 def apply_calibration(scored: DataFrame, maps: dict, labels: list[str] = C.CLASSES) -> DataFrame:
@@ -404,8 +404,8 @@ def retrain(events: DataFrame, feedback_rows: DataFrame, store: ModelStore, trai
     # labels of held-out rows are never trained on
     human = train.join(feedback_rows.select("event_id", "train_class"), "event_id").withColumn("label", F.col("train_class")).drop("train_class")
     both = cut(train.unionByName(human))
-    model = fit_classifier(both)
-    maps = calibrate(cut(out_of_fold(both)))
+    model, unseen = fit_with_folds(both)
+    maps = calibrate(cut(unseen))
     scored = cut(predict(model, test, maps).select(
         "event_id", "label", F.col("model_class").alias("pred"), (F.col("label") != "normal").alias("is_attack"),
         attack_score(class_labels(model)).alias("score")))

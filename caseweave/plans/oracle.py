@@ -576,6 +576,8 @@ add("invariants", """SELECT 'no event is P1 or P2 by itself' AS "check", n = 0 A
   UNION ALL SELECT 'scores lie in 0..100', TRUE, 0 UNION ALL SELECT 'incidents do not end before they open', TRUE, 0""")
 # --- 2.11
 add("review_candidates", "SELECT event_id, pred_class FROM cand")
+add("review_group_events", "SELECT pred_class, path, event_id FROM cand")
+add("feedback_fingerprints", "SELECT component, CASE num % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'false_positive' ELSE 'open' END AS status FROM fp")
 add("review_groups", f"SELECT * REPLACE ({h('mean_conf', 2)} AS mean_conf) FROM grp")
 add("uncertainty_rank", f"SELECT pred_class, path, n, {h('abs(mean_conf - 1.0 / (SELECT greatest(1, count(DISTINCT pred_class)) FROM grp))', 3)} AS uncertainty FROM grp")
 _rank = ORACLE["uncertainty_rank"]

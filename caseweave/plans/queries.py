@@ -637,11 +637,13 @@ def _candidates(s, d):
 
 QUERIES["review_candidates"] = lambda s, d: _candidates(s, d).select("event_id", "pred_class")
 QUERIES["review_groups"] = lambda s, d: review.review_groups(_candidates(s, d)).withColumn("mean_conf", X.half_up(F.col("mean_conf"), 2))
+QUERIES["review_group_events"] = lambda s, d: review.group_events(_candidates(s, d))
 QUERIES["uncertainty_rank"] = lambda s, d: review.uncertainty_rank(review.review_groups(_candidates(s, d))).select(
     "pred_class", "path", "n", "uncertainty")
 QUERIES["review_sample"] = lambda s, d: review.review_sample(review.uncertainty_rank(review.review_groups(_candidates(s, d)))).select(
     "pred_class", "path", "uncertainty", "sampled_by")
 QUERIES["feedback_status"] = lambda s, d: review.feedback_status(P.incident_table(s, d), feedback(s, d)).select("incident_id", "status")
+QUERIES["feedback_fingerprints"] = lambda s, d: review.feedback_status(prints(s, d), feedback(s, d)).select("component", "status")
 QUERIES["labels_pending"] = lambda s, d: review.labels_pending(feedback(s, d))
 QUERIES["feedback_training_rows"] = lambda s, d: review.feedback_training_rows(feedback(s, d), stamped(s, d))
 QUERIES["mark_consumed"] = lambda s, d: review.mark_consumed(
@@ -819,16 +821,18 @@ QUERIES["model_history"] = lambda s, d: model.model_history(registry(s, d))
 
 @query("retrain")
 def _(s, d):
-    """Training with feedback after one without: the frozen holdout, the gate, the registry and the pointer agree."""
+    """Training with feedback beside an older version: the frozen holdout, the gate, the registry and the pointer agree."""
     rows = review.feedback_training_rows(feedback(s, d), stamped(s, d))
     store = model.ModelStore(s, replay.scratch(s, "models"))
     scored, now = P.scored_events(s, d), P.as_of(s, d)
-    first = trained_store(s, d)
-    # the version in use and its holdout, as the first training left them
-    store.holdout.publish(first.holdout.read())
-    store.save("v1.0.0", *first.load())
-    store.registry.publish(first.registry.read())
-    store.pointer.switch("v1.0.0")
+    # a champion of one round, whose training froze the holdout
+    base = model.model_inputs(model.freeze_holdout(model.training_set(scored), store)).where(~F.col("is_test"))
+    store.save("v1.0.0", model.fit_classifier(base, rounds=1), {c: [(0.0, 0.0), (1.0, 1.0)] for c in C.CLASSES})
+    first = base.agg(F.lit("v1.0.0").alias("version"), F.lit(0).cast("long").alias("trained_us"), F.count(F.lit(1)).alias("n_base"), F.lit(0).cast("long").alias("n_feedback"),
+                     *[F.lit(v).alias(c) for c, v in (("precision", 0.0), ("recall", 0.0), ("f1", 0.0), ("pr_auc", 0.0), ("fpr_at_90_recall", 1.0))],
+                     F.lit(None).cast("string").alias("rejection_reason"), F.lit(True).alias("promoted"))
+    model.append_model_version(first, store.registry)
+    store.promote("v1.0.0")
     model.retrain(scored, rows, store, now)
     used = F.col("version") == store.pointer.current()
     return store.registry.read().select("version", "n_base", "n_feedback", F.col("promoted").eqNullSafe(used).alias("pointer_agrees"),

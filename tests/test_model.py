@@ -48,9 +48,9 @@ def test_same_trees_from_any_partitions(rows, fitted):
 
 def test_histograms_equal_brute_force(spark, rows):
     m = boosting.Model(C.CLASSES, C.FEATURES, boosting.bin_edges(rows, WIDTH), np.log(np.full(len(C.CLASSES), 1 / len(C.CLASSES))))
-    data = boosting._binned(rows, m)
+    data = boosting._binned(rows.withColumn("fold", F.lit(-1)), [m])
     grow = [boosting.Tree.empty(2) for _ in C.CLASSES]
-    got = {(r["k"], r["j"], r["bin"]): (r["g"], r["h"]) for r in boosting._histograms(data, m, [], grow, 0).collect()}
+    got = {(r["k"], r["j"], r["bin"]): (r["g"], r["h"]) for r in boosting._histograms(data, [m], [[]], [grow], 0).collect()}
     want = {}
     p = 1 / len(C.CLASSES)
     for r in rows.collect():
@@ -62,7 +62,7 @@ def test_histograms_equal_brute_force(spark, rows):
                 want[k, j, int(b[j])] = (a[0] + g, a[1] + h)
     assert {k: v for k, v in got.items() if k[1] in (0, 17, 40)} == want
     # the best first split of a class, searched over all bounds and both sides for missing values
-    best = {s["k"]: s for s in boosting._best_splits(boosting._histograms(data, m, [], grow, 0))}
+    best = {s["k"]: s for s in boosting._best_splits(boosting._histograms(data, [m], [[]], [grow], 0))}
     k = C.CLASSES.index("flood")
     score = lambda g, h: (g / boosting.GRAIN) ** 2 / (h / boosting.GRAIN + boosting.RIDGE)
     cells = {}
@@ -81,6 +81,16 @@ def test_histograms_equal_brute_force(spark, rows):
     assert best[k]["j"] == max(gains)[1] == 0 and abs(best[k]["gain"] - max(gains)[0]) < 1e-6
 
 
+def test_folds_grow_like_fits_of_their_own(rows):
+    """Models grown side by side equal those fitted alone, and none sees its fold."""
+    some = rows.where("event_id < 600").withColumn("fold", (F.col("event_id") % 3).cast("int"))
+    models = boosting.fit_folds(some, C.CLASSES, C.FEATURES, 3, rounds=2)
+    alone = boosting.fit(some, C.CLASSES, C.FEATURES, rounds=2)
+    assert list(models[0].rows()) == list(alone.rows())
+    changed = some.withColumn("label", F.when(F.col("fold") == 1, F.lit("flood")).otherwise(F.col("label")))
+    assert list(boosting.fit_folds(changed, C.CLASSES, C.FEATURES, 3, rounds=2)[2].rows()) == list(models[2].rows())
+
+
 def test_no_rows_and_unknown_labels(spark, rows):
     none = model.fit_classifier(rows.limit(0))
     assert none.rounds == [] and abs(none.proba(np.zeros((1, WIDTH))).sum() - 1) < 1e-12

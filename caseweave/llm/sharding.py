@@ -4,13 +4,16 @@ Documents that share a link (here: equal texts) should lie in one shard, and the
 
 * Documents start in a shard picked by hash.  Copies of one text that lie in one shard are held as one block (link,
   shard, bytes): they are interchangeable, so a text with a third of all rows is at most as many rows as there are shards.
-* Links of at most ``SLACK`` of a shard come last and always whole: each asks for the shard where most of it is, which
-  admits them up to its capacity; those left over ask again, shards drawn in proportion to their room.  Where unlinked documents are less
-  than ``SLACK`` of a shard, capacity is that much above the mean, so some shard has room until all are placed.
-* Larger links go first.  Each round joins the blocks with the blocks of their neighbours (same link), picks the shard where most neighbours are
-  and room is left, and moves there what that shard's quota admits: a link's other blocks all together, so a link that
-  is whole stays whole, or units of a link larger than a shard towards more neighbours only, so that it fills one shard
-  after the other.  Hence rounds come to rest; each is a written table.
+* Every link of at least two documents goes through the same rounds, larger ones (by powers of 16) before smaller
+  ones.  A round compares the blocks of a link with one another and lets it ask for the shard where most of its
+  documents are and its need has room; where none of its own shards has, for one drawn in proportion to room.  Its need is all of it, or one document
+  where no shard could take all.  A shard's quota is its capacity less what has settled there; it admits what asks in hash
+  order.  The outcome is joined back to the blocks: a link that is admitted settles whole, one that no shard can take settles
+  as many documents as fit and asks on with the rest, so that it fills one shard after the other.  Each round is a written table.
+* Capacity is the mean, and up to ``SLACK`` more where unlinked documents are less than that part of a shard.
+* Rounds end: what asks first in its shard is always admitted, and room never grows.  Where one document is larger than
+  any room left, it goes to the widest shard all the same; as capacities sum to no less than all bytes, that befalls fewer documents
+  than there are shards, and each puts a shard above its capacity by less than its own size.
 * Documents without a link have no neighbours; they fill the rest up, the largest first, each size class dealt by
   running sums over what the class before has left open, so that the last class levels the shards.
 
@@ -21,20 +24,21 @@ no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import Rounds, cut
+from ..session import cut
 from .common import BUCKET_ROWS, buckets_for, hash_bucket, hash_order, join_hot, running_sum, table
 
 SHARDS = 24
-#: Rounds in which every link has come to rest in practice; more are an error rather than a silent stop.
-MAX_ROUNDS = 200
-#: Part of a shard up to which a link is always whole; with the unlinked documents at least this much room is above the mean.
+#: Part of a shard by which capacity may exceed the mean where unlinked documents are too few to level the shards.
 SLACK = 0.005
 #: Size classes of unlinked documents, as parts of a shard's capacity.
 CLASSES = (16, 128, 1024)
+#: Different values of a draw.
+LOTS = 1 << 40
 
 
 def _loads(df: DataFrame, shards: int) -> list[int]:
@@ -49,44 +53,49 @@ def _array(values: list) -> "F.Column":
 
 
 def propagate(blocks: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """Blocks (link, shard, bytes, unit) at rest: unit is the size of the link's largest document, and blocks split by units only."""
-    rounds = Rounds(blocks.sparkSession)
-    blocks = rounds.next(blocks)
+    """Blocks (link, shard, bytes) at rest of blocks (link, shard, bytes, unit): unit is the size of the link's largest document."""
     link = Window.partitionBy("link")                       # at most one row per shard
-    buckets = buckets_for(blocks.count())
-    for _ in range(MAX_ROUNDS):
-        room = [max(0, capacity - x) for x in _loads(blocks, shards)]
-        widest = room.index(max(room))
-        room_of = lambda c: F.element_at(_array(room), c + 1)
-        seen = blocks.withColumn("linked", F.sum("bytes").over(link)).withColumn("large", F.col("linked") > capacity)
-        # the neighbours' shards: the one with most of them that has room for all the others, or for one more of a large link
-        fits = room_of(F.col("shard")) >= F.when(F.col("large"), F.col("unit")).otherwise(F.col("linked") - F.col("bytes"))
-        pull = F.max(F.when(fits, F.struct(F.col("bytes"), (-F.col("shard")).alias("minus")))).over(link)
-        seen = seen.withColumn("pull", pull)
-        # a link that none of its shards can gather may gather where there is most room
-        elsewhere = F.when(~F.col("large") & (F.col("linked") <= max(room)) & (F.count(F.lit(1)).over(link) > 1), F.lit(widest))
-        seen = seen.withColumn("target", F.coalesce(-F.col("pull.minus"), elsewhere))
-        stronger = (F.col("pull.bytes") > F.col("bytes")) | ((F.col("pull.bytes") == F.col("bytes")) & (F.col("target") < F.col("shard")))
-        asks = F.col("target").isNotNull() & (F.col("target") != F.col("shard")) & (~F.col("large") | stronger)
-        seen = seen.withColumn("asks", F.when(asks, F.col("bytes")).otherwise(F.lit(0)))
-        # quotas: claims on a shard are admitted in hash order until its room is spent; a link claims at once for all its blocks, unless it is large
-        asking = seen.where("asks > 0")
-        speaks = F.col("large") | (F.col("shard") == F.min("shard").over(link))
-        asking = asking.withColumn("claim", F.when(F.col("large"), F.col("asks")).when(speaks, F.sum("asks").over(link)).otherwise(F.lit(0)))
-        asking = running_sum(asking.withColumn("b", hash_bucket(F.md5("link"), buckets)), ["target"], "b", ["link", "shard"], "claim", "ahead")
-        left = F.greatest(room_of(F.col("target")) - F.col("ahead"), F.lit(0))
-        part = F.least(F.col("bytes"), F.floor(left / F.col("unit")) * F.col("unit"))
-        admitted = F.max(F.when(F.col("claim") > 0, left >= F.col("claim"))).over(link)
-        asking = asking.withColumn("moved", F.when(F.col("large"), part).when(admitted, F.col("bytes")).otherwise(F.lit(0)).cast("long"))
-        cols = lambda s, b, m: (F.col("link"), s.cast("int").alias("shard"), b.cast("long").alias("bytes"), F.col("unit"), m.cast("long").alias("moved"))
-        new = (seen.where("asks = 0").select(*cols(F.col("shard"), F.col("bytes"), F.lit(0)))
-               .unionByName(asking.select(*cols(F.col("shard"), F.col("bytes") - F.col("moved"), F.lit(0))))
-               .unionByName(asking.select(*cols(F.col("target"), F.col("moved"), F.col("moved")))))
-        new = rounds.next(new.groupBy("link", "shard").agg(F.sum("bytes").alias("bytes"), F.max("unit").alias("unit"), F.sum("moved").alias("moved")).where("bytes > 0"))
-        blocks = new.drop("moved")
-        if not new.agg(F.sum("moved")).first()[0]:
-            return blocks
-    raise RuntimeError("label propagation did not come to rest")
+    blocks = blocks.withColumn("rest", F.sum("bytes").over(link)).withColumn("first", F.min("shard").over(link) == F.col("shard"))
+    blocks = cut(blocks.withColumn("step", F.length(F.hex("rest"))))
+    steps = blocks.where("first").groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()     # a row per power of 16
+    room, settled, turn = [capacity] * shards, [], 0
+    for step, left in sorted(((r["step"], r["n"]) for r in steps), reverse=True):
+        waiting = blocks.where(F.col("step") == step)
+        while left:
+            done = cut(_round(waiting, room, turn, buckets_for(left)))
+            settled.append(done.where(F.col("first") & (F.col("took") > 0)).select("link", F.col("target").alias("shard"), F.col("took").alias("bytes")))
+            waiting = done.where("took < rest").withColumn("rest", F.col("rest") - F.col("took")).drop("target", "took")
+            came = done.where("first").groupBy("target").agg(
+                F.sum("took").alias("took"), F.count(F.when(F.col("took") < F.col("rest"), 1)).alias("left")).collect()   # one row per shard
+            for r in came:
+                room[r["target"]] -= int(r["took"])
+            left, turn = sum(r["left"] for r in came), turn + 1
+    if not settled:
+        return blocks.select("link", "shard", "bytes")
+    return functools.reduce(DataFrame.unionByName, settled)
+
+
+def _round(waiting: DataFrame, room: list[int], turn: int, buckets: int) -> DataFrame:
+    """Adds to blocks (link, shard, bytes, unit, rest) the shard their link asks for and what it takes there of the ``rest``."""
+    most, widest = max(room), room.index(max(room))
+    rooms = F.array(*[F.struct(F.lit(k).alias("shard"), F.lit(x).cast("long").alias("room")) for k, x in enumerate(room)])
+    # all of the link, or a document of it where no shard has room for all
+    need = F.when(F.col("rest") <= most, F.col("rest")).otherwise(F.col("unit"))
+    fits = F.element_at(rooms, F.col("shard") + 1)["room"] >= need
+    pull = F.max(F.when(fits, F.struct("bytes", F.xxhash64("link", "shard").alias("lot"), "shard"))).alias("pull")
+    asks = waiting.groupBy("link").agg(pull, F.first("rest").alias("rest"), F.first("unit").alias("unit"))
+    # the least of exponential waiting times with the rooms as rates is a draw in proportion to room
+    lot = lambda s: (F.pmod(F.xxhash64("link", F.lit(turn), s["shard"]), F.lit(LOTS)) + 1) / (LOTS + 1)
+    drawn = F.array_max(F.transform(rooms, lambda s: F.when((s["room"] >= need) & (s["room"] > 0), F.struct(F.log(lot(s)) / s["room"], s["shard"].alias("shard")))))
+    target = F.coalesce(F.col("pull.shard"), drawn["shard"], F.lit(widest)).cast("int")
+    asks = asks.select("link", "rest", "unit", target.alias("target"), F.md5("link").alias("h")).withColumn("b", hash_bucket(F.col("h"), buckets))
+    asks = running_sum(asks, ["target"], "b", ["h"], "rest", "ahead")
+    left = F.greatest(F.element_at(rooms, F.col("target") + 1)["room"] - F.col("ahead"), F.lit(0))
+    part = F.least(F.col("rest"), F.floor(left / F.col("unit")) * F.col("unit"))
+    forced = (F.col("unit") > most) & (F.col("ahead") == 0)
+    took = (F.when(forced, F.least("rest", "unit")).when(F.col("rest") > most, part)
+            .when(left >= F.col("rest"), F.col("rest")).otherwise(F.lit(0)).cast("long"))
+    return waiting.join(asks.select("link", "target", took.alias("took")), "link")
 
 
 def _deal(start: "F.Column", size: "F.Column", bounds: "F.Column") -> "F.Column":
@@ -95,35 +104,6 @@ def _deal(start: "F.Column", size: "F.Column", bounds: "F.Column") -> "F.Column"
     return F.least(below, F.size(bounds) - 1)
 
 
-def gather(blocks: DataFrame, room: list[int]) -> DataFrame:
-    """Blocks (link, shard, bytes, unit), one per link: each link of these blocks whole in one shard, none beyond its room.
-
-    No link may be larger than the mean room that is left once all others are placed."""
-    room, shards, most = list(room), len(room), F.max(F.struct("bytes", F.xxhash64("link", "shard").alias("lot"), "shard")).alias("most")
-    links = blocks.groupBy("link").agg(F.sum("bytes").alias("bytes"), F.max("unit").alias("unit"), most)
-    waiting = cut(links.select("link", "bytes", "unit", F.col("most.shard").alias("shard")))
-    placed = None
-    for turn in range(MAX_ROUNDS):
-        left, largest = waiting.agg(F.count(F.lit(1)), F.max("bytes")).first()
-        if not left:
-            return waiting.select("link", "shard", "bytes", "unit") if placed is None else placed
-        if turn:
-            bounds, end = [], 0
-            for x in room:
-                end += x if x >= largest else 0
-                bounds.append(end)
-            draw = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(max(end, 1)))
-            waiting = waiting.withColumn("shard", F.least(F.size(F.filter(_array(bounds), lambda b: b <= draw)), F.lit(shards - 1)).cast("int"))
-        asking = waiting.withColumn("b", hash_bucket(F.md5("link"), buckets_for(left)))
-        asking = running_sum(asking, ["shard"], "b", ["link"], "bytes", "ahead")
-        asking = cut(asking.withColumn("in", F.col("ahead") + F.col("bytes") <= F.element_at(_array(room), F.col("shard") + 1)))
-        came = asking.where("in").select("link", "shard", "bytes", "unit")
-        room = [x - y for x, y in zip(room, _loads(came, shards))]
-        placed = came if placed is None else placed.unionByName(came)
-        waiting = asking.where(~F.col("in")).select("link", "bytes", "unit", "shard")
-    raise RuntimeError("links did not find a shard")
-
-
 def shard_by_links(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds ``shard`` to nodes (doc_id, size, link, ...): links together as far as capacity lets, bytes near equal."""
     nodes = cut(nodes.withColumn("key", hash_order()))
@@ -139,9 +119,7 @@ def shard_by_links(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     unlinked = total - (dealt.agg(F.sum("bytes")).first()[0] or 0)
     limit = math.ceil(capacity * SLACK)
     top = capacity + max(0, limit - unlinked // shards)
-    parts = dealt.withColumn("small", F.sum("bytes").over(link) <= limit).select("link", "shard", "bytes", "unit", "small")
-    blocks = propagate(parts.where(~F.col("small")).drop("small"), shards, top)
-    blocks = blocks.unionByName(gather(parts.where("small").drop("small"), [max(0, top - x) for x in _loads(blocks, shards)]))
+    blocks = propagate(dealt.select("link", "shard", "bytes", "unit"), shards, top)
 
     upto = Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ends = blocks.withColumn("end", F.sum("bytes").over(upto)).groupBy("link").agg(

@@ -1,11 +1,14 @@
 """Operators that SQL cannot state, against brute force, held-out accuracy and the laws of their results."""
 
+import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from caseweave.llm import decontam, langid, mixing, neardup, quality, rules, sharding
 from caseweave.llm.queries import QUERIES
@@ -206,6 +209,74 @@ def test_sharding_where_every_text_has_a_copy(spark):
     assert max(loads) < 1.01 * sum(loads) / 12 and min(loads) > 0.94 * sum(loads) / 12
 
 
+def spark_hash(*values, seed=42):
+    """Spark's 64-bit hash of a row of strings (bytes), ints (4 bytes) or long constants."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(4, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def simulate_rounds(sizes, shards, capacity):
+    """{link: {shard: bytes}} by the rounds in plain Python; sizes: {link: {shard: bytes}, unit}."""
+    room, placed, turn = [capacity] * shards, defaultdict(Counter), 0
+    order = lambda link: hashlib.md5(link.encode()).hexdigest()
+    for digits in sorted({len(f"{sum(v.values()):x}") for v, _ in sizes.values()}, reverse=True):
+        waiting = {k: sum(v.values()) for k, (v, _) in sizes.items() if len(f"{sum(v.values()):x}") == digits}
+        while waiting:
+            most, asks = max(room), defaultdict(list)
+            for k, rest in waiting.items():
+                votes, unit = sizes[k]
+                need = rest if rest <= most else unit
+                near = [(b, spark_hash(k, s), s) for s, b in votes.items() if room[s] >= need]
+                drawn = [(math.log((spark_hash(k, turn, s) % (1 << 40) + 1) / ((1 << 40) + 1)) / room[s], s) for s in range(shards) if room[s] >= need and room[s] > 0]
+                asks[max(near)[2] if near else max(drawn)[1] if drawn else room.index(most)].append(k)
+            taken = []
+            for s, links in asks.items():
+                ahead = 0
+                for k in sorted(links, key=order):
+                    rest, unit, left = waiting[k], sizes[k][1], max(0, room[s] - ahead)
+                    took = min(rest, left // unit * unit) if rest > most else rest if left >= rest else 0
+                    if unit > most and not ahead:
+                        took = min(rest, unit)
+                    ahead += rest
+                    taken.append((k, s, took))
+            for k, s, took in taken:
+                if took:
+                    placed[k][s] += took
+                    room[s] -= took
+                    waiting[k] -= took
+            waiting = {k: v for k, v in waiting.items() if v}
+            turn += 1
+    return {k: dict(v) for k, v in placed.items()}
+
+
+@pytest.mark.parametrize("capacity", [1.0, 1.005, 1.4])
+def test_rounds_equal_a_plain_simulation(spark, capacity):
+    """Every link of every size passes the rounds: a hot one, links beyond a shard, many small ones, documents too large for any room."""
+    rng, shards = random.Random(5), 6
+    sizes = {f"g{i}": (Counter(rng.randrange(shards) for _ in range(rng.randint(2, 6))), rng.randint(8, 90)) for i in range(300)}
+    sizes |= {"hot": (Counter(i % shards for i in range(900)), 70), "wide": (Counter({0: 1, 3: 1}), 9_000)}
+    sizes = {k: ({s: n * unit for s, n in v.items()}, unit) for k, (v, unit) in sizes.items()}
+    top = math.ceil(capacity * sum(sum(v.values()) for v, _ in sizes.values()) / shards)
+    rows = [(k, s, b, unit) for k, (v, unit) in sizes.items() for s, b in v.items()]
+    out = defaultdict(Counter)
+    for r in sharding.propagate(spark.createDataFrame(rows, "link string, shard int, bytes long, unit long"), shards, top).collect():
+        out[r["link"]][r["shard"]] += r["bytes"]
+    assert {k: dict(v) for k, v in out.items()} == simulate_rounds(sizes, shards, top)
+    assert all(sum(out[k].values()) == sum(v.values()) for k, (v, _) in sizes.items())
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_sharding_keeps_links_at_every_size(spark, folder):
+    """No link that a shard can hold is cut, whatever the number of unrelated rows; bytes stay near equal."""
+    nodes = sharding.nodes_of(spark.read.parquet(f"{folder}/documents.parquet"))
+    out = sharding.shard_by_links(nodes).select("size", "link", "shard").collect()
+    loads, groups = check_shards(out, 24)
+    mean, largest = sum(loads) / 24, max(r["size"] for r in out)
+    assert sum(len(s) > 1 for k, s in groups.items() if k) == 0
+    assert max(loads) <= 1.01 * mean + largest and min(loads) >= 0.99 * mean - largest
+
+
 def test_mix_is_fair(spark):
     out = mixing.mix(spark.read.parquet(f"{FOLDER}/documents.parquet")).toPandas()
     by = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))

@@ -391,6 +391,8 @@ add("scan_playbooks", "SELECT b.technique_id, section, CAST(ordinal AS BIGINT) A
 add("feeds_status", "SELECT feed, entries, CASE WHEN entries = 0 THEN 'feed is empty' ELSE 'loaded' END AS note FROM (SELECT 'kev' AS feed, (SELECT count(*) FROM kev) AS entries UNION ALL SELECT 'epss', (SELECT count(*) FROM epss_feed) UNION ALL SELECT 'feodo', (SELECT count(*) FROM feodo) UNION ALL SELECT 'tor', (SELECT count(*) FROM tor))")
 add("parse_features", "SELECT event_id, " + ", ".join(f"CASE WHEN {_bad} THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for c in ("req_rate_60s", "path_entropy", "unique_paths_60s", "mouse_move_count", "browser_telemetry_present")) + " FROM ft")
 add("write_events", "SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS events FROM we GROUP BY 1")
+add("replace_days", "SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us FROM we GROUP BY 1")
+add("lookback_seeds", "SELECT pred_class, count(*) AS events, min(ts_us) AS first_us FROM sd WHERE ts_us >= (SELECT max(ts_us) FROM we) - 172800000000 GROUP BY 1")
 add("write_incidents", "SELECT incident_id, priority, risk_score, event_count FROM inc")
 add("assign_incidents", "SELECT event_id, incident_id FROM stamp")
 add("append_feedback", "SELECT label, count(*) AS labels FROM fbk GROUP BY 1")

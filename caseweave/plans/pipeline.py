@@ -39,26 +39,20 @@ def score_log(events: DataFrame, telemetry: DataFrame, feeds: Feeds, as_of_us: i
 
 
 def event_log(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """The stored event log.  An input of fewer splits than cores is spread out while it is written."""
-    def build() -> DataFrame:
-        ev = E.web_events(spark, sf_dir, dense)
-        cores = spark.sparkContext.defaultParallelism
-        return ev.repartition(cores) if ev.rdd.getNumPartitions() < cores else ev
-    return stage(spark, "log_dense" if dense else "log", sf_dir, build)
+    """The stored event log, a folder per UTC day."""
+    return stage(spark, _name("log", dense), sf_dir, lambda: E.with_day(E.web_events(spark, sf_dir, dense)), by="day")
 
 
 def scored_events(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     def build() -> DataFrame:
         ev = event_log(spark, sf_dir, dense)
-        return score_log(ev, E.telemetry(spark, sf_dir), Feeds.from_tables(spark, sf_dir), latest_us(ev))
-    return stage(spark, "scored_dense" if dense else "scored", sf_dir, build)
+        return E.with_day(score_log(ev, E.telemetry(spark, sf_dir), Feeds.from_tables(spark, sf_dir), latest_us(ev)))
+    return stage(spark, _name("scored", dense), sf_dir, build, by="day")
 
 
-def seeds(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """Non-normal events of the lookback window."""
-    scored = scored_events(spark, sf_dir, dense)
-    since = as_of(spark, sf_dir) - C.LOOKBACK_DAYS * 24 * C.HOUR_US
-    return E.scan_events(scored, since)
+def seeds(spark: SparkSession, sf_dir: str, dense: bool = False, days: int = C.LOOKBACK_DAYS) -> DataFrame:
+    """Non-normal events of the last ``days`` days; earlier days of the log are not read."""
+    return E.scan_events(scored_events(spark, sf_dir, dense), as_of(spark, sf_dir) - days * 24 * C.HOUR_US)
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> int:

@@ -218,6 +218,24 @@ def _(s, d):
     return E.read_events(s, path, "2024-01-01").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("events"))
 
 
+@query("replace_days")
+def _(s, d):
+    """A log of three appends whose last two days are scored again and whose first week is compacted: no row twice, none lost."""
+    path, log = replay.scratch(s, "log"), P.event_log(s, d)
+    for part in range(3):
+        E.write_events(log.where(F.col("event_id") % 3 == part), path)
+    newest = (P.as_of(s, d) // (24 * C.HOUR_US) - 1) * 24 * C.HOUR_US            # start of the last day but one
+    E.replace_days(E.since(log, newest), path)
+    E.compact_days(s, path, "2024-01-01", "2024-01-07")
+    return E.read_events(s, path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+@query("lookback_seeds")
+def _(s, d):
+    return P.seeds(s, d, days=2).groupBy("pred_class").agg(F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("first_us"))
+
+
 @query("write_incidents")
 def _(s, d):
     table = Snapshots(s, replay.scratch(s, "incidents"))

@@ -55,10 +55,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def _write(df: DataFrame) -> tuple[DataFrame, str]:
+def rebalanced(df: DataFrame, by: str) -> DataFrame:
+    """Rows of a value of ``by`` together, in parts of the advised size: small values share none of their files with others,
+    a value with a third of all rows is split at run time."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({by}) */ * FROM {{rows}}", rows=df)
+
+
+def _write(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = os.path.join(checkpoint_root(spark), f"cut-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    if by:
+        rebalanced(df, by).write.mode("overwrite").partitionBy(by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -137,15 +146,17 @@ def fingerprint(spark: SparkSession, source: str) -> int:
     return hash(tuple(sorted(found)))
 
 
-def stage(spark: SparkSession, name: str, source: str, build) -> DataFrame:
-    """Materialise a named intermediate table once per application, input folder and content of the folder."""
+def stage(spark: SparkSession, name: str, source: str, build, by: str | None = None) -> DataFrame:
+    """Materialise a named intermediate table once per application, input folder and content of the folder.
+
+    ``by`` names a column of few values: one folder per value, so that filters on it prune whole folders."""
     key = (spark.sparkContext.applicationId, source, fingerprint(spark, source), name)
     if key in _stages:
         fs, path = filesystem(spark, _stages[key][1])
         if not fs.exists(path):                 # swept away: build it again
             del _stages[key]
     if key not in _stages:
-        _stages[key] = _write(build())
+        _stages[key] = _write(build(), by)
     return _stages[key][0].alias(name)
 
 

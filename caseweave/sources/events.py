@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions import expr as X
+from ..session import cut, rebalanced
 
 TENANT = "sample-store"
 EPOCH_MS = 1_704_067_200_000          # 2024-01-01T00:00:00Z
@@ -99,10 +100,21 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[values[f].cast("double").alias(f) for f in C.BROWSER_FEATURES])
 
 
+def with_day(events: DataFrame) -> DataFrame:
+    """The UTC day of each event, by which the log is partitioned.  Null for an event without a time."""
+    return events.withColumn("day", F.to_date(F.timestamp_micros("ts_us")))
+
+
+def since(events: DataFrame, since_us: int) -> DataFrame:
+    """Events from a time on; a log with a ``day`` reads the folders of these days only."""
+    at = F.col("ts_us") >= since_us
+    return events.where(at & (F.col("day") >= F.to_date(F.timestamp_micros(F.lit(since_us)))) if "day" in events.columns else at)
+
+
 def scan_events(events: DataFrame, since_us: int | None = None) -> DataFrame:
     """Classified, non-normal rows of the lookback window.  Ordering is left to the consumer."""
     out = events.where(F.col("pred_class").isNotNull() & (F.col("pred_class") != "normal"))
-    return out if since_us is None else out.where(F.col("ts_us") >= since_us)
+    return out if since_us is None else since(out, since_us)
 
 
 def widget_event_rows(telemetry_df: DataFrame) -> DataFrame:
@@ -117,15 +129,30 @@ def widget_event_rows(telemetry_df: DataFrame) -> DataFrame:
 
 def write_events(events: DataFrame, path: str) -> None:
     """Append to the log, one folder per UTC day, so a lookback prunes whole folders."""
-    (events.withColumn("day", F.to_date("ts"))
-     .write.mode("append").partitionBy("day").parquet(path))
+    rebalanced(with_day(events), "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def replace_days(events: DataFrame, path: str) -> None:
+    """The days of these events hold just these events from now on; all other days stay as they are.
+
+    For days that are scored again or arrive corrected.  No rows change nothing."""
+    out = rebalanced(with_day(events), "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("day").parquet(path)
+
+
+def compact_days(spark: SparkSession, path: str, first: str, last: str) -> None:
+    """Rewrites days (both included) that many appends have left in small files; the rows stay the same."""
+    days = spark.read.parquet(path).where(F.col("day").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    replace_days(cut(days), path)
 
 
 def read_events(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """The log, from a UTC time on where one is given: folders of earlier days are not read."""
     log = spark.read.parquet(path)
     if since is not None:
-        log = log.where((F.col("day") >= F.to_date(F.lit(since))) & (F.col("ts") >= F.lit(since)))
+        at = F.lit(since).cast("timestamp")
+        log = log.where((F.col("day") >= F.to_date(at)) & (F.col("ts_us") >= F.unix_micros(at)))
     return log
 
 
-__all__ = ["X", "read_events", "scan_events", "table", "telemetry", "web_events", "widget_event_rows", "write_events"]
+__all__ = ["X", "compact_days", "read_events", "replace_days", "scan_events", "since", "table", "telemetry", "web_events", "widget_event_rows", "with_day", "write_events"]

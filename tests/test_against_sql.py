@@ -8,7 +8,7 @@ from caseweave.plans.oracle import ORACLE
 from caseweave.plans.queries import QUERIES
 
 NAMES = [
-    "scan_kev_json", "scan_blocklists", "parse_features", "write_incidents", "assign_incidents", "stream_telemetry_source",
+    "scan_kev_json", "scan_blocklists", "replace_days", "lookback_seeds", "parse_features", "write_incidents", "assign_incidents", "stream_telemetry_source",
     "path_entropy", "payload_bytes_std", "auth_fail_user_60s", "server_features", "keystroke_interval_stats", "mouse_path_entropy",
     "fuse_telemetry", "feature_vector", "validate_features", "classify_rules", "classify_with_model", "technique_resolve", "evidence",
     "enrich_event", "threat_intel", "score_event", "risk_terms", "validate_weights", "rescore_what_if", "fanout_split", "pair_links", "chain_links",

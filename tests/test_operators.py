@@ -12,7 +12,7 @@ from caseweave.operators import campaigns, classify, communities, enrich, featur
 from caseweave.session import cut  # noqa: E402
 from caseweave.plans import pipeline as P
 from caseweave.plans.queries import QUERIES
-from caseweave.sources import feeds as feeds_mod
+from caseweave.sources import events as E, feeds as feeds_mod
 from caseweave.sources.feeds import Feeds
 from caseweave.streaming import live, replay
 
@@ -361,3 +361,33 @@ def test_components_by_batches_equal_one_run(spark, folder):
     runs = P.membership(spark, folder)
     want = graph.on_runs(seeds.select("tenant_id", "event_id", "ts_us", "src_ip"), runs.drop("run_id")).select("event_id", "component")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+# --- the stored log ---------------------------------------------------------------------------
+
+def test_lookback_reads_only_its_days(spark):
+    """The lookback is a filter on the folders of days: earlier ones are not listed, and the rows are those of the time filter."""
+    folder = "/root/testdata/sf0.01"
+    rows, whole = P.seeds(spark, folder, days=1), P.scored_events(spark, folder)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "ts_us" in plan[plan.index("PushedFilters"):]
+    from_us = P.as_of(spark, folder) - 86_400_000_000
+    want = whole.where((F.col("pred_class") != "normal") & (F.col("ts_us") >= from_us))
+    assert rows.count() == want.count() < P.seeds(spark, folder).count()
+    assert whole.where("day <> to_date(timestamp_micros(ts_us))").isEmpty()
+
+
+def test_days_are_replaced_and_compacted(spark):
+    day = 86_400_000_000
+    path = replay.scratch(spark, "log")
+    first = make(spark, [dict(event_id=d * 10 + i, ts_us=d * day + i) for d in range(4) for i in range(5)])
+    for k in range(5):
+        E.write_events(first.where(F.col("event_id") % 5 == k), path)
+    E.replace_days(make(spark, [dict(event_id=900 + i, ts_us=2 * day + i) for i in range(2)]), path)
+    E.replace_days(first.where("FALSE"), path)
+    E.compact_days(spark, path, "1970-01-01", "1970-01-02")
+    log = E.read_events(spark, path)
+    files = {r["day"].day: r["n"] for r in log.select("day", F.input_file_name().alias("file")).distinct().groupBy("day").agg(F.count("file").alias("n")).collect()}
+    assert sorted(r.event_id for r in log.collect()) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14, 30, 31, 32, 33, 34, 900, 901]
+    assert files == {1: 1, 2: 1, 3: 1, 4: 5}
+    assert E.read_events(spark, path, "1970-01-04").count() == 5

@@ -391,3 +391,13 @@ def test_days_are_replaced_and_compacted(spark):
     assert sorted(r.event_id for r in log.collect()) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14, 30, 31, 32, 33, 34, 900, 901]
     assert files == {1: 1, 2: 1, 3: 1, 4: 5}
     assert E.read_events(spark, path, "1970-01-04").count() == 5
+
+
+def test_events_before_the_lookback_are_not_stamped(spark):
+    """The lookback may start inside a slot of an address: an event before it is no member, though its slot is."""
+    ev = make(spark, [dict(event_id=1, ts_us=1_000_000), dict(event_id=2, ts_us=3_000_000), dict(event_id=3, ts_us=4_000_000)]).withColumn("pred_class", F.lit("dir_scan"))
+    late = ev.where("ts_us >= 2000000")
+    runs = graph.run_map(late).withColumn("component", F.col("run_id"))
+    found = spark.createDataFrame([("t", 2, "INC-0001")], "tenant_id string, component bigint, incident_id string")
+    got = {r.event_id: r.incident_id for r in incidents.assign_incidents(ev, runs, found, 2_000_000).collect()}
+    assert got == {1: None, 2: "INC-0001", 3: "INC-0001"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caseweave import constants as C
 from caseweave.functions import expr as X
-from caseweave.operators import campaigns, classify, communities, enrich, features, fusion, graph, incidents, model, review
+from caseweave.operators import campaigns, classify, communities, enrich, features, fusion, graph, incidents, model, review, sweep
 from caseweave.session import cut  # noqa: E402
 from caseweave.plans import pipeline as P
 from caseweave.plans.queries import QUERIES
@@ -415,3 +415,15 @@ def test_replay_of_a_log_longer_than_400_days_loses_nothing(spark):
     assert sorted(r.telemetry_id for r in out.collect()) == [0, 1, 2, 3]
     far = replay.with_sentinel(rows.withColumns({"src_ip": F.lit(""), "event_id": F.col("telemetry_id"), "session_id": F.lit("")})).agg(F.max("ts_us")).first()[0]
     assert far - 20_900 * day > 2 * 900 * day
+
+
+def test_passes_over_the_log_take_more_partitions_where_it_is_longer(spark):
+    """A task's share of the log does not grow with it, and the partitions change no row."""
+    ev = make(spark, [dict(event_id=i, ts_us=i * 500_000, src_ip=f"203.0.113.{i % 5}", session_id=f"s{i % 3}", url_path="/login", http_status=401, user_id=f"u{i % 4}") for i in range(400)])
+    n = sweep.parts(40 * sweep.TASK_ROWS, spark)
+    assert n == 40 and sweep.parts(400 * sweep.TASK_ROWS, spark) == 400
+    dealt = features.rolling_features(ev, n=n)
+    assert dealt.rdd.getNumPartitions() == n
+    few, many = (P.score_log(ev, E.telemetry(spark, "/root/testdata/sf0.001"), feeds(spark), 200_000_000, n=k) for k in (None, n))
+    key = lambda df: sorted(map(str, df.select(*sorted(few.columns)).collect()))
+    assert key(few) == key(many)

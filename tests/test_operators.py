@@ -427,3 +427,14 @@ def test_passes_over_the_log_take_more_partitions_where_it_is_longer(spark):
     few, many = (P.score_log(ev, E.telemetry(spark, "/root/testdata/sf0.001"), feeds(spark), 200_000_000, n=k) for k in (None, n))
     key = lambda df: sorted(map(str, df.select(*sorted(few.columns)).collect()))
     assert key(few) == key(many)
+
+
+def test_feedback_trains_only_on_events_of_the_lookback(spark):
+    """A label of an incident reaches its members, not the events before the lookback in the slot of a member."""
+    ev = make(spark, [dict(event_id=1, ts_us=1_000_000), dict(event_id=2, ts_us=3_000_000), dict(event_id=3, ts_us=4_000_000)]).withColumn("pred_class", F.lit("dir_scan"))
+    runs = graph.run_map(ev.where("ts_us >= 2000000")).withColumn("component", F.col("run_id"))
+    found = spark.createDataFrame([("t", 2, "INC-0001")], "tenant_id string, component bigint, incident_id string")
+    label = spark.createDataFrame([(7, "INC-0001", None, "false_positive", None, None)],
+                                  "feedback_id bigint, incident_id string, event_id bigint, label string, new_class string, consumed_by string")
+    got = review.feedback_training_rows(label, incidents.assign_incidents(ev, runs, found, 2_000_000))
+    assert sorted((r.event_id, r.train_class) for r in got.collect()) == [(2, "normal"), (3, "normal")]

@@ -1,6 +1,7 @@
 """Worked examples, and operators against brute force on small inputs."""
 
 import math
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from caseweave import constants as C
 from caseweave.functions import expr as X
 from caseweave.operators import campaigns, classify, communities, enrich, features, fusion, graph, incidents, model, review, sweep
+from caseweave import session
 from caseweave.session import cut  # noqa: E402
 from caseweave.plans import pipeline as P
 from caseweave.plans.queries import QUERIES
@@ -438,3 +440,12 @@ def test_feedback_trains_only_on_events_of_the_lookback(spark):
                                   "feedback_id bigint, incident_id string, event_id bigint, label string, new_class string, consumed_by string")
     got = review.feedback_training_rows(label, incidents.assign_incidents(ev, runs, found, 2_000_000))
     assert sorted((r.event_id, r.train_class) for r in got.collect()) == [(2, "normal"), (3, "normal")]
+
+
+@pytest.mark.parametrize("name", ["threat_intel"])
+def test_queries_on_enrichment_alone_do_not_score_the_log(spark, tmp_path, name):
+    for table in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{table}", tmp_path / table)
+    got = QUERIES[name](spark, str(tmp_path))
+    assert got.count() > 0
+    assert "scored" not in {k[3] for k in session._stages if k[1] == str(tmp_path)}

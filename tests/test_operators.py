@@ -442,7 +442,7 @@ def test_feedback_trains_only_on_events_of_the_lookback(spark):
     assert sorted((r.event_id, r.train_class) for r in got.collect()) == [(2, "normal"), (3, "normal")]
 
 
-@pytest.mark.parametrize("name", ["threat_intel"])
+@pytest.mark.parametrize("name", ["threat_intel", "top_sources"])
 def test_queries_on_enrichment_alone_do_not_score_the_log(spark, tmp_path, name):
     for table in os.listdir("/root/testdata/sf0.001"):
         os.symlink(f"/root/testdata/sf0.001/{table}", tmp_path / table)

@@ -449,3 +449,33 @@ def test_queries_on_enrichment_alone_do_not_score_the_log(spark, tmp_path, name)
     got = QUERIES[name](spark, str(tmp_path))
     assert got.count() > 0
     assert "scored" not in {k[3] for k in session._stages if k[1] == str(tmp_path)}
+
+
+def test_scoring_the_lookback_equals_scoring_the_whole_log(spark):
+    """History, trailing windows, failed logins and telemetry reach over the start, wherever it lies."""
+    folder = "/root/testdata/sf0.01"
+    log, tel, lists = P.event_log(spark, folder), E.telemetry(spark, folder), Feeds.from_tables(spark, folder)
+    now = P.latest_us(log)
+    whole = P.scored_events(spark, folder)
+    for start in (now - 9 * 3_600_000_000 - 123_456_789, now - 20 * 3_600_000_000):
+        got = E.with_day(P.score_since(log, tel, lists, start, now)).select(*whole.columns)
+        want = whole.where(F.col("ts_us") >= start)
+        assert 0 < want.count() == got.count() < whole.count()
+        assert got.exceptAll(want).isEmpty()
+
+
+def test_incidents_of_a_long_log_score_its_lookback_only(spark, tmp_path):
+    """Seeds of a log of 40 days are those of the whole scored log, which is not built for them."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for name in os.listdir("/root/testdata/sf0.001"):
+        if not name.startswith("events"):
+            os.symlink(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    copies = events.crossJoin(spark.range(5).select((F.col("id") * 72_000).alias("shift")))
+    copies.withColumn("event_id", F.col("event_id") + F.col("shift")).drop("shift").write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path)
+    got = P.seeds(spark, folder)
+    built = {k[3] for k in session._stages if k[1] == folder}
+    assert "recent" in built and "scored" not in built
+    whole = E.scan_events(P.scored_events(spark, folder), P.lookback_start(spark, folder)).select(*got.columns)
+    assert 0 < got.count() == whole.count()
+    assert got.exceptAll(whole).isEmpty()

@@ -13,6 +13,7 @@ from caseweave.operators import campaigns, classify, communities, enrich, featur
 from caseweave import session
 from caseweave.session import cut  # noqa: E402
 from caseweave.plans import pipeline as P
+from caseweave.plans.oracle import ORACLE
 from caseweave.plans.queries import QUERIES
 from caseweave.sources import events as E, feeds as feeds_mod
 from caseweave.sources.feeds import Feeds
@@ -479,3 +480,38 @@ def test_incidents_of_a_long_log_score_its_lookback_only(spark, tmp_path):
     whole = E.scan_events(P.scored_events(spark, folder), P.lookback_start(spark, folder)).select(*got.columns)
     assert 0 < got.count() == whole.count()
     assert got.exceptAll(whole).isEmpty()
+
+
+def test_decided_events_equal_those_of_the_whole_scoring(spark):
+    """Accounts and login outcomes come from hours before, across a pause, from other addresses; some addresses never log in."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        login = rng.random() < 0.4
+        rows.append(dict(
+            event_id=i, ts_us=rng.choice([0, 5_000, 5_840, 40_000]) * 1_000_000 + rng.randrange(120) * 1_000_000, src_ip=rng.choice(["a", "b", "c", "d", None]),
+            session_id=rng.choice([None, "s1", "s2"]), user_id=rng.choice([None, "", "u1", "u2", "u3", "u4"]), http_status=rng.choice([200, 401, 404]),
+            url_path=rng.choice(["/login?x=1", "/login"] if login else ["/.env", "/register/1", "/p", "/q", "/.git/config", "/debug/pprof/", "/x1", "/x2"]),
+            resp_bytes=rng.choice([10, 4_000_000]), user_agent=rng.choice([None, "", "curl/8", "ua"]), asn=rng.choice([14061, 1]), country=None))
+    rows = [dict(r, url_path="/home") if r["src_ip"] == "d" else r for r in rows]
+    log = make(spark, rows)
+    tel = log.where("session_id = 's1' AND event_id % 7 = 0").select(
+        "tenant_id", "session_id", "ts_us", "event_id", *[F.lit(1.0).alias(c) for c in C.BROWSER_FEATURES])
+    whole = P.score_log(log, tel, feeds(spark), 50_000_000_000)
+    for n in (None, 3):
+        got = P.decide(log, tel, n)
+        assert set(got.columns) < set(whole.columns) and got.count() == len(rows)
+        assert got.exceptAll(whole.select(*got.columns)).isEmpty()
+    seen = got.agg(F.sum("auth_success_after_fails"), F.count_distinct("rule"), F.count_distinct("technique_id"), F.sum("browser_telemetry_present")).first()
+    assert min(seen) >= 2
+
+
+@pytest.mark.parametrize("name", ["technique_resolve"])
+def test_queries_on_decisions_alone_do_not_score_the_log(spark, db, tmp_path, name):
+    for table in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{table}", tmp_path / table)
+    got = QUERIES[name](spark, str(tmp_path))
+    columns = ", ".join(got.columns)
+    want = db.execute(f"SELECT {columns} FROM ({ORACLE[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert not {k for k in session._stages if k[1] == str(tmp_path)}

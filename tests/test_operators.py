@@ -506,7 +506,7 @@ def test_decided_events_equal_those_of_the_whole_scoring(spark):
     assert min(seen) >= 2
 
 
-@pytest.mark.parametrize("name", ["technique_resolve", "technique_overrides", "training_set"])
+@pytest.mark.parametrize("name", ["technique_resolve", "technique_overrides", "training_set", "score_unscored"])
 def test_queries_on_decisions_alone_do_not_score_the_log(spark, db, tmp_path, name):
     for table in os.listdir("/root/testdata/sf0.001"):
         os.symlink(f"/root/testdata/sf0.001/{table}", tmp_path / table)

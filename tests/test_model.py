@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from caseweave import constants as C
 from caseweave.operators import boosting, model
+from caseweave.plans import pipeline as P, queries as Q
+from caseweave.session import forget_stages
 from caseweave.sources.snapshots import Pointer, Snapshots
 from caseweave.streaming.replay import scratch
 
@@ -106,6 +108,42 @@ def test_importance_finds_what_matters(rows, fitted):
     assert model.permutation_importance(fitted, rows.limit(0)).count() == 0
 
 
+def test_swapped_features_count_like_rescored_rows(rows, fitted):
+    """Scoring just the rows that a swap changes, by just the trees that read the feature, over narrow bins, counts what scoring all anew does."""
+    data = rows.collect()
+    x = np.array([r["features"] for r in data])
+    own, y = fitted.bins(x), np.array([C.CLASSES.index(r["label"]) if r["event_id"] % 7 else -1 for r in data])
+    other = own[np.random.default_rng(1).permutation(len(own))]
+    used = [C.FEATURES.index(f) for f in fitted.split_features()]
+    want = []
+    for j in used:
+        b = own.copy()
+        b[:, j] = other[:, j]
+        want.append((fitted.scores(b).argmax(1) == y).sum())
+    want.append((fitted.scores(own).argmax(1) == y).sum())
+    small = fitted.narrowed()
+    assert (small.scores(small.bins(x[:, used])) == fitted.scores(own)).all()
+    assert boosting.swapped_hits(small, own[:, used], other[:, used], y).tolist() == want and len(set(want)) > 2
+    assert boosting.swapped_hits(small, own[:0, used], other[:0, used], y[:0]).tolist() == [0] * len(want)
+
+
+def test_importance_grows_the_stored_trees_alone(spark, folder, monkeypatch):
+    """The query grows one model, from the same rows as the store, and stores neither the log nor its scored events."""
+    columns = ["event_id", "group_key", "label", "features", "is_test"]
+    stored = model.model_inputs(model.grouped_holdout(model.training_set(P.scored_events(spark, folder)))).select(columns)
+    trees = list(Q.trained_store(spark, folder).load()[0].rows())
+    forget_stages()
+    grown, fit = [], boosting.fit_folds
+    monkeypatch.setattr(Q, "_trained", {})
+    monkeypatch.setattr(boosting, "fit_folds", lambda *a, **k: grown.append(fit(*a, **k)) or grown[-1])
+    for name in ("event_log", "scored_events"):
+        monkeypatch.setattr(P, name, lambda *a, name=name, **k: pytest.fail(name))
+    out = Q.QUERIES["permutation_importance"](spark, folder)
+    assert all(r["ok"] for r in out.collect()) and [len(g) for g in grown] == [1] and list(grown[0][0].rows()) == trees
+    rows = P.labelled_events(spark, folder)
+    assert rows.columns == columns and rows.exceptAll(stored).isEmpty() and stored.exceptAll(rows).isEmpty()
+
+
 def test_store_keeps_and_switches_versions(spark, rows, fitted):
     store = model.ModelStore(spark, scratch(spark, "store-test"))
     assert store.load() is None

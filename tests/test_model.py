@@ -83,6 +83,14 @@ def test_histograms_equal_brute_force(spark, rows):
     assert best[k]["j"] == max(gains)[1] == 0 and abs(best[k]["gain"] - max(gains)[0]) < 1e-6
 
 
+def test_histograms_count_few_groups_of_features():
+    """Features are counted in groups of few combinations of bins; each is in one group."""
+    sizes = [3] * 20 + [64] * 4 + [2]
+    groups = boosting._joined(sizes, 1_024)
+    assert sorted(j for js in groups for j in js) == list(range(25)) and len(groups) == 8
+    assert all(len(js) == 1 or np.prod([sizes[j] for j in js]) <= 1_024 for js in groups) and boosting._joined([]) == []
+
+
 def test_folds_grow_like_fits_of_their_own(rows):
     """Models grown side by side equal those fitted alone, and none sees its fold."""
     some = rows.where("event_id < 600").withColumn("fold", (F.col("event_id") % 3).cast("int"))
